@@ -24,6 +24,8 @@ from driftspark.functions.hashing import HASH_BITS, hash_key
 CUT_SAMPLE_ROWS = 200_000
 # Above every real bucket.
 NULL_BUCKET = 2**30
+# Parts a hot value is spread over.
+SALTS = 64
 
 
 def bucket_bits(spark: SparkSession) -> int:
@@ -60,28 +62,46 @@ def fit_cuts(df: DataFrame, cols: Sequence[str], n_buckets: int) -> dict[str, li
 
 
 def to_long(df: DataFrame, cols: Sequence[str], cuts: dict[str, list[float]],
-            keep: Sequence[str] = (), keep_nulls: bool = False) -> DataFrame:
+            keep: Sequence[str] = (), keep_nulls: bool = False,
+            salt: str | None = None) -> DataFrame:
     """Unpivot ``cols`` to ``(feature_id, value, bucket)`` rows.
 
     ``feature_id`` is the position in ``cols``. A null goes to the bucket
-    above all others, or is left out.
+    above all others, or is left out. With ``salt`` (a column that differs
+    from row to row) the bucket of a hot value is spread over ``SALTS``
+    buckets: all its values are equal, so any order among them is right.
     """
     bkt = [f"_bkt{i}" for i in range(len(cols))]
     val = [f"_val{i}" for i in range(len(cols))]
-    wide = df.select(*keep, *[no_nan(c).alias(v) for c, v in zip(cols, val)])
+    extra = [F.pmod(F.col(salt), F.lit(SALTS)).cast("int").alias("_salt")] if salt else []
+    wide = df.select(*keep, *extra, *[no_nan(c).alias(v) for c, v in zip(cols, val)])
     wide = Bucketizer(
         inputCols=val, outputCols=bkt, handleInvalid="keep",
         splitsArray=[[-math.inf, *cuts[c], math.inf] for c in cols],
     ).transform(wide)
+
+    def bucket(i):
+        b = F.col(bkt[i]).cast("int")
+        if salt:
+            hot = hot_values(cuts[cols[i]])
+            b = b * SALTS
+            if hot:
+                b = b + F.when(F.col(val[i]).isin(hot), F.col("_salt")).otherwise(0)
+        return F.coalesce(b, F.lit(NULL_BUCKET)).alias("bucket")
+
     cells = F.array(*[
-        F.struct(F.lit(i).alias("feature_id"), F.col(v).alias("value"),
-                 F.coalesce(F.col(b).cast("int"), F.lit(NULL_BUCKET)).alias("bucket"))
-        for i, (v, b) in enumerate(zip(val, bkt))
+        F.struct(F.lit(i).alias("feature_id"), F.col(v).alias("value"), bucket(i))
+        for i, v in enumerate(val)
     ])
     long = wide.select(*keep, F.explode(cells).alias("_x")).select(*keep, "_x.*")
     return long if keep_nulls else long.where(F.col("value").isNotNull())
 
 
+def hot_values(cuts: Sequence[float]) -> list[float]:
+    """Values that :func:`fit_cuts` put in a bucket of their own."""
+    return [a for a, b in zip(cuts, cuts[1:]) if b == math.nextafter(a, math.inf)]
+
+
 def running(hist: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Add ``<c>_before`` (exclusive running sum over buckets) and ``<c>_all``.
 
