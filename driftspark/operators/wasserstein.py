@@ -89,7 +89,8 @@ def w1_exact(long: DataFrame, group: Sequence[str]) -> DataFrame:
     ``long`` has (group, bucket, value, side). W1 is the area between the two
     CDFs: in value order, the gap of the running shares times the distance to
     the next value. Each bucket is sorted on its own; what came before it and
-    where the next one starts is read from the histogram.
+    where the next one starts is read from the histogram. Null for a group
+    that has one side only.
     """
     g = list(group)
     hist = (long.groupBy(*g, "bucket")
@@ -104,7 +105,8 @@ def w1_exact(long: DataFrame, group: Sequence[str]) -> DataFrame:
     s0 = F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).over(rows) + F.col("c0_before")
     s1 = F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).over(rows) + F.col("c1_before")
     nxt = F.coalesce(F.lead("value").over(w), F.col("next_lo"), F.col("value"))
-    part = F.abs(s0 / F.col("c0_all") - s1 / F.col("c1_all")) * (nxt - F.col("value"))
+    n0, n1 = (F.nullif(F.col(c), F.lit(0)) for c in ("c0_all", "c1_all"))
+    part = F.abs(s0 / n0 - s1 / n1) * (nxt - F.col("value"))
     return (long.join(hist, [*g, "bucket"]).select(*g, part.alias("part"))
             .groupBy(*g).agg(F.sum("part").alias("w1")))
 

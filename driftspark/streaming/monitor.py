@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,7 +41,9 @@ class DriftMonitor:
 
     def results(self) -> DataFrame:
         found = self._read("results")
-        return self.spark.createDataFrame([], RESULT) if found is None else found.orderBy("batch")
+        if found is None:
+            return self.spark.createDataFrame([], RESULT)
+        return found.drop("part").orderBy("batch")
 
     def members(self) -> DataFrame:
         """The living ensemble with its weights."""
@@ -50,9 +53,16 @@ class DriftMonitor:
         return recency_weights(evict(models, self.cfg.max_ensemble_size), self.cfg.recency_decay)
 
     def handle(self, df: DataFrame, batch: int) -> None:
-        done = self.results().where("retrained or n > 0").select("batch", "retrained").collect()
+        done = self.results().select("batch", "retrained").collect()
         if any(r["batch"] == batch for r in done) or df.isEmpty():
             return
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self._step(df, batch, done)
+        finally:
+            df.unpersist()
+
+    def _step(self, df: DataFrame, batch: int, done: list) -> None:
         earlier = [r["batch"] for r in done if r["retrained"] and r["batch"] < batch]
         detector = DriftDetector(self.cfg, self.features, self.key)
         if earlier:
