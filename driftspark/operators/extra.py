@@ -64,7 +64,7 @@ def running_total(df: DataFrame, order: str, amount: Column, out: str = "total_b
 
     rows = tile_by_cuts(df.withColumn("_amount", amount), F.col(order),
                         fit_cuts(df, [order], 256)[order], "bucket")
-    hist = running(rows.groupBy("bucket").agg(F.sum("_amount").alias("_s")), [F.lit(0)], ["_s"])
+    hist = running(rows.groupBy("bucket").agg(F.sum("_amount").alias("_s")), [], ["_s"])
     w = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (rows.join(hist.select("bucket", "_s_before"), "bucket")
             .withColumn(out, F.coalesce(F.sum("_amount").over(w), F.lit(0)) + F.col("_s_before"))

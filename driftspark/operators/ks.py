@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.plans.buckets import (
     NULL_BUCKET,
-    any_of,
     feature_name,
     fit_cuts,
     no_nan,
@@ -29,16 +28,17 @@ def stack_sides(ref: DataFrame, det: DataFrame, cols: Sequence[str]) -> DataFram
             .unionByName(det.select(*cols, F.lit(1).alias("side"))))
 
 
-def _gap(ci: Column, cj: Column, ni: Column, nj: Column) -> Column:
-    return F.when((ni > 0) & (nj > 0), F.abs(ci / ni - cj / nj)).otherwise(F.lit(0.0))
+def _gap(ci: str, cj: str, ni: str, nj: str) -> str:
+    return f"CASE WHEN {ni} > 0 AND {nj} > 0 THEN abs(({ci}) / {ni} - ({cj}) / {nj}) ELSE 0D END"
 
 
 def ks_samples(df: DataFrame, features: Sequence[str], member: str,
-               samples: Sequence[Column], pairs: Sequence[tuple[int, int, int]],
-               n_buckets: int = 256, exact: bool = True, nulls: str = "drop") -> DataFrame:
+               samples: Sequence[str], pairs: Sequence[tuple[int, int, int]],
+               n_buckets: int = 256, exact: bool = True, nulls: str = "drop",
+               cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """KS distance of many pairs of (overlapping) samples at once.
 
-    ``samples`` are conditions on the column ``member``; ``pairs`` are
+    ``samples`` are SQL conditions on the column ``member``; ``pairs`` are
     ``(pair_id, i, j)`` over them. Returns ``(pair, feature, ks)``.
 
     Pass 1 counts each sample per bucket of each feature: a map-side
@@ -54,56 +54,48 @@ def ks_samples(df: DataFrame, features: Sequence[str], member: str,
         raise ValueError("feature columns must be non-empty")
     if nulls not in ("drop", "count"):
         raise ValueError(f"unknown null mode {nulls!r}")
-    cuts = fit_cuts(df, features, n_buckets)
+    cuts = cuts or fit_cuts(df, features, n_buckets)
     long = to_long(df, features, cuts, [member], keep_nulls=nulls == "count")
-    m = range(len(samples))
-    inside = [F.when(s, 1).otherwise(0) for s in samples]
+    m, k = range(len(samples)), range(len(pairs))
+    inside = [f"CASE WHEN {s} THEN 1 ELSE 0 END" for s in samples]
     c = [f"c{i}" for i in m]
-    hist = (long.groupBy("feature_id", "bucket")
-            .agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
-                 *[F.sum(x).alias(n) for x, n in zip(inside, c)]))
+    hist = long.groupBy("feature_id", "bucket").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"),
+        *[F.expr(f"sum({x}) AS {n}") for x, n in zip(inside, c)])
     hist = running(hist, ["feature_id"], c)
-    col = F.col
     end, bound = [], []
-    for _, i, j in pairs:
-        bi, bj = col(f"c{i}_before"), col(f"c{j}_before")
-        ei, ej = bi + col(f"c{i}"), bj + col(f"c{j}")
-        ni, nj = col(f"c{i}_all"), col(f"c{j}_all")
-        end.append(F.when(col("lo").isNotNull(), _gap(ei, ej, ni, nj)).otherwise(0.0))
-        bound.append(F.greatest(_gap(ei, bj, ni, nj), _gap(bi, ej, ni, nj)))
-    k = range(len(pairs))
-    per_feature = Window.partitionBy("feature_id")
-    ends = hist.select("*", *[e.alias(f"e{x}") for x, e in zip(k, end)],
-                       *[b.alias(f"u{x}") for x, b in zip(k, bound)])
-    best = ends.groupBy("feature_id").agg(*[F.max(f"e{x}").alias(f"k{x}") for x in k])
+    for x, (_, i, j) in enumerate(pairs):
+        before, after = [f"c{n}_before" for n in (i, j)], [f"c{n}_before + c{n}" for n in (i, j)]
+        size = [f"c{n}_all" for n in (i, j)]
+        end.append(f"CASE WHEN lo IS NULL THEN 0D ELSE {_gap(*after, *size)} END AS e{x}")
+        bound.append(f"greatest({_gap(after[0], before[1], *size)}, {_gap(before[0], after[1], *size)}) AS u{x}")
+    ends = hist.selectExpr("*", *end, *bound)
+    best = ends.groupBy("feature_id").agg(*[F.expr(f"max(e{x}) AS k{x}") for x in k])
     if exact:
-        open_ = (ends.select("*", *[F.max(f"e{x}").over(per_feature).alias(f"l{x}") for x in k])
-                 .where((col("lo") < col("hi"))
-                        & any_of([col(f"u{x}") > col(f"l{x}") for x in k]))
-                 .select("feature_id", "bucket", *[f"{n}_before" for n in c],
-                         *[f"{n}_all" for n in c]))
-        w = Window.partitionBy("feature_id", "bucket").orderBy("value")
-        # at most features x n_buckets rows are broadcast
-        inner = long.join(F.broadcast(open_), ["feature_id", "bucket"])
-        inner = inner.select("feature_id", *[
-            (F.sum(x).over(w) + col(f"{n}_before")).alias(f"t{i}")
-            for i, (x, n) in enumerate(zip(inside, c))], *[f"{n}_all" for n in c])
-        inner = inner.groupBy("feature_id").agg(*[
-            F.max(_gap(col(f"t{i}"), col(f"t{j}"), col(f"c{i}_all"), col(f"c{j}_all")))
-            .alias(f"r{x}") for x, (_, i, j) in zip(k, pairs)])
-        best = best.join(inner, "feature_id", "left").select(
-            "feature_id", *[F.greatest(f"k{x}", f"r{x}").alias(f"k{x}") for x in k])
-    rows = F.explode(F.array(*[F.struct(F.lit(p[0]).alias("pair"), col(f"k{x}").alias("ks"))
-                               for x, p in zip(k, pairs)])).alias("x")
-    return (best.select(feature_name(features).alias("feature"), rows)
-            .select("x.pair", "feature", "x.ks"))
+        rest = [f"{n}_{s}" for n in c for s in ("before", "all")]
+        unsettled = (ends.selectExpr("*", *[f"max(e{x}) OVER (PARTITION BY feature_id) AS l{x}" for x in k])
+                     .where("lo < hi AND (" + " OR ".join(f"u{x} > l{x}" for x in k) + ")")
+                     .select("feature_id", "bucket", *rest))
+        # at most features x n_buckets rows are broadcast; the running sums
+        # include the rows of an equal value
+        inner = (long.join(F.broadcast(unsettled), ["feature_id", "bucket"])
+                 .selectExpr("feature_id", *[f"{n}_all" for n in c], *[
+                     f"sum({x}) OVER (PARTITION BY feature_id, bucket ORDER BY value) + {n}_before AS t{i}"
+                     for i, (x, n) in enumerate(zip(inside, c))])
+                 .groupBy("feature_id").agg(*[
+                     F.expr(f"max({_gap(f't{i}', f't{j}', f'c{i}_all', f'c{j}_all')}) AS r{x}")
+                     for x, (_, i, j) in enumerate(pairs)]))
+        best = best.join(inner, "feature_id", "left").selectExpr(
+            "feature_id", *[f"greatest(k{x}, r{x}) AS k{x}" for x in k])
+    cells = ", ".join(f"named_struct('pair', {p[0]}, 'ks', k{x})" for x, p in enumerate(pairs))
+    return best.select("feature_id", F.expr(f"inline(array({cells}))")).select(
+        "pair", feature_name(features).alias("feature"), "ks")
 
 
 def ks_exact(ref: DataFrame, det: DataFrame, features: Sequence[str], **kw) -> DataFrame:
     """Exact two-sample KS distance per feature: ``(feature, ks)``."""
     both = stack_sides(ref, det, features)
-    side = F.col("side")
-    return ks_samples(both, features, "side", [side == 0, side == 1], [(0, 0, 1)], **kw).drop("pair")
+    return ks_samples(both, features, "side", ["side = 0", "side = 1"], [(0, 0, 1)], **kw).drop("pair")
 
 
 def quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
@@ -163,8 +155,7 @@ def ks_points(ref: DataFrame, det: DataFrame, features: Sequence[str], num_point
     hist = running(hist, ["feature_id"], ["c0", "c1"])
     last = F.element_at(F.array(*[F.lit(len(set(points[c]))) for c in names]),
                         F.col("feature_id") + 1)
-    gap = _gap(F.col("c0_before") + F.col("c0"), F.col("c1_before") + F.col("c1"),
-               F.col("c0_all"), F.col("c1_all"))
+    gap = F.expr(_gap("c0_before + c0", "c1_before + c1", "c0_all", "c1_all"))
     return (hist.groupBy("feature_id")
             .agg(F.max(F.when(F.col("bucket") < last, gap).otherwise(0.0)).alias("ks"))
             .select(feature_name(names).alias("feature"), "ks"))

@@ -24,7 +24,7 @@ def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str]) -> Da
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("neg"))
     hist = counts.groupBy(*by, "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    hist = running(hist, by or [F.lit(0)], ["p", "n"]).drop("p", "n")
+    hist = running(hist, by, ["p", "n"]).drop("p", "n")
     w = (Window.partitionBy(*by, "bucket").orderBy("_s")
          .rowsBetween(Window.unboundedPreceding, -1))
     return (counts.join(hist, [*by, "bucket"])

@@ -29,6 +29,8 @@ from driftspark.plans.buckets import fit_cuts, order_statistics, tile_by_cuts, t
 PERM_CHUNK = 64
 # Histogram buckets per permutation when a label border is looked for.
 CUT_BITS = 7
+# Rows of one direction that a task sorts at a time.
+ROWS_PER_BUCKET = 4096
 
 
 def permutation_cuts(keyed: DataFrame, perms: Sequence[int], n_first: int) -> dict[int, int]:
@@ -157,8 +159,12 @@ def _null_fresh(z: DataFrame, features: Sequence[str], pooled: list[float], cuts
 def swd_null(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
              n_projections: int = 50, n_permutations: int = 500, seed: int = 42,
              standardize: str = "reference", method: str = "exact", split: str = "exact",
-             fresh: bool = False, n_buckets: int = 32) -> DataFrame:
-    """``(perm, swd)``: perm 0 is the observed distance, 1.. the null values."""
+             fresh: bool = False, n_buckets: int | None = None) -> DataFrame:
+    """``(perm, swd)``: perm 0 is the observed distance, 1.. the null values.
+
+    Unless given, ``n_buckets`` follows from the row count: enough rows per
+    (direction, bucket) to be worth a task's while, few enough for its memory.
+    """
     dirs = directions(n_projections, len(features), seed)
     both = keyed_sides(ref, det, features, key, seed, method)
     keep = ["side", "a", "b"]
@@ -168,6 +174,8 @@ def swd_null(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Seque
     if not n.get(0) or not n.get(1):
         raise ValueError("both samples need rows without nulls")
     cuts = _cuts(wide, n_permutations, n[0], n[1], split)
+    if n_buckets is None:
+        n_buckets = max(1, min(4096, (n[0] + n[1]) // ROWS_PER_BUCKET))
     buckets = fit_cuts(wide, names, n_buckets)
     if fresh:
         pooled = sorted({v for c in names for v in buckets[c]})[:: max(1, len(names))]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftspark.functions.hashing import HASH_BITS, PERM_PRIME, hash_key, perm_hash, perm_parts
 from driftspark.operators.ks import ks_samples
 from driftspark.plans.buckets import (
+    fit_cuts,
     hash_rank,
     hash_tile_cuts,
     hash_tiles,
@@ -134,15 +135,14 @@ def bounded_target(k: int) -> int:
 
 
 def convergence(blocks: DataFrame, features: Sequence[str], t_from: int = 2, t_to: int = 20,
-                exact: bool = True, nulls: str = "drop") -> DataFrame:
+                exact: bool = True, nulls: str = "drop", cuts: dict | None = None) -> DataFrame:
     """KS distance between the first t-1 and the first t blocks, for all t in
     one plan: ``(t, feature, ks)``."""
     ts = list(range(t_from, t_to + 1))
-    b = F.col("block_id")
-    samples = [b < t for t in range(t_from - 1, t_to + 1)]
+    samples = [f"block_id < {t}" for t in range(t_from - 1, t_to + 1)]
     pairs = [(t, i, i + 1) for i, t in enumerate(ts)]
     return (ks_samples(prefix(blocks, t_to), features, "block_id", samples, pairs,
-                       n_buckets=256 if exact else 50, exact=exact, nulls=nulls)
+                       n_buckets=256 if exact else 50, exact=exact, nulls=nulls, cuts=cuts)
             .withColumnRenamed("pair", "t"))
 
 
@@ -177,9 +177,12 @@ def adaptive_sample(df: DataFrame, features: Sequence[str] | None, key: Sequence
     blocks = tile_by_cuts(df, hash_key(key, seed), cuts, "block_id")
     t_eff = min(p["t_max"], len(cuts) + 1)
     chosen, t = None, 2
+    # one set of cut points, from the first blocks, serves all steps
+    few = min(3, t_eff)
+    bins = fit_cuts(prefix(blocks, few), features, 256 if exact else 50, n * few // p["k"])
     while chosen is None and t <= t_eff:
-        stop = min(t_eff, 2 * t - 1)
-        chosen = choose_t(convergence(blocks, features, t, stop, exact, nulls), epsilon_a2, t_eff)
+        stop = min(t_eff, 3 if t == 2 else 3 * t)
+        chosen = choose_t(convergence(blocks, features, t, stop, exact, nulls, bins), epsilon_a2, t_eff)
         t = stop + 1
     if chosen is None:
         chosen = max(1, t_eff - 1)

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,19 +39,25 @@ def no_nan(c: str | Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def fit_cuts(df: DataFrame, cols: Sequence[str], n_buckets: int) -> dict[str, list[float]]:
+def fit_cuts(df: DataFrame, cols: Sequence[str], n_buckets: int,
+             n: int | None = None) -> dict[str, list[float]]:
     """Approximate quantile cut points per column, one aggregate job.
 
     A value met by two neighbouring quantiles is hot: it also gets a cut just
     above it, so that it sits alone in its bucket. Such a bucket never needs
-    sorting, whatever share of the rows it holds.
+    sorting, whatever share of the rows it holds. ``n`` saves a count when the
+    number of rows is known.
     """
-    n = df.count()
+    if n_buckets < 2:
+        return {c: [0.0] for c in cols}
+    n = df.count() if n is None else n
     if n > CUT_SAMPLE_ROWS:
         df = df.sample(CUT_SAMPLE_ROWS / n, seed=1)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(*[F.percentile_approx(no_nan(c), probs, 4 * n_buckets).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
+    probs = ", ".join(f"{i / n_buckets!r}D" for i in range(1, n_buckets))
+    # NaN as null; quantiles are looked for in ordinary values only
+    row = df.selectExpr(*[
+        f"percentile_approx(nullif(cast(`{c}` AS double), double('NaN')), array({probs}), {4 * n_buckets}) AS q{i}"
+        for i, c in enumerate(cols)]).first()
     cuts = {}
     for i, c in enumerate(cols):
         q = [v for v in (row[f"q{i}"] or []) if math.isfinite(v)]
@@ -71,30 +76,25 @@ def to_long(df: DataFrame, cols: Sequence[str], cuts: dict[str, list[float]],
     from row to row) the bucket of a hot value is spread over ``SALTS``
     buckets: all its values are equal, so any order among them is right.
     """
-    bkt = [f"_bkt{i}" for i in range(len(cols))]
-    val = [f"_val{i}" for i in range(len(cols))]
-    extra = [F.pmod(F.col(salt), F.lit(SALTS)).cast("int").alias("_salt")] if salt else []
-    wide = df.select(*keep, *extra, *[no_nan(c).alias(v) for c, v in zip(cols, val)])
+    ids = range(len(cols))
+    extra = [f"cast(pmod({salt}, {SALTS}) AS int) AS _salt"] if salt else []
+    wide = df.selectExpr(*keep, *extra, *[
+        f"nullif(cast(`{c}` AS double), double('NaN')) AS _val{i}" for i, c in enumerate(cols)])
     wide = Bucketizer(
-        inputCols=val, outputCols=bkt, handleInvalid="keep",
-        splitsArray=[[-math.inf, *cuts[c], math.inf] for c in cols],
+        inputCols=[f"_val{i}" for i in ids], outputCols=[f"_bkt{i}" for i in ids],
+        splitsArray=[[-math.inf, *cuts[c], math.inf] for c in cols], handleInvalid="keep",
     ).transform(wide)
 
     def bucket(i):
-        b = F.col(bkt[i]).cast("int")
+        b = f"cast(_bkt{i} AS int)"
         if salt:
-            hot = hot_values(cuts[cols[i]])
-            b = b * SALTS
-            if hot:
-                b = b + F.when(F.col(val[i]).isin(hot), F.col("_salt")).otherwise(0)
-        return F.coalesce(b, F.lit(NULL_BUCKET)).alias("bucket")
+            hot = ", ".join(f"{v!r}D" for v in hot_values(cuts[cols[i]]))
+            b = f"{b} * {SALTS}" + (f" + CASE WHEN _val{i} IN ({hot}) THEN _salt ELSE 0 END" if hot else "")
+        return f"coalesce({b}, {NULL_BUCKET})"
 
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("feature_id"), F.col(v).alias("value"), bucket(i))
-        for i, v in enumerate(val)
-    ])
-    long = wide.select(*keep, F.explode(cells).alias("_x")).select(*keep, "_x.*")
-    return long if keep_nulls else long.where(F.col("value").isNotNull())
+    cells = ", ".join(f"named_struct('feature_id', {i}, 'value', _val{i}, 'bucket', {bucket(i)})" for i in ids)
+    long = wide.selectExpr(*keep, f"inline(array({cells}))")
+    return long if keep_nulls else long.where("value IS NOT NULL")
 
 
 def hot_values(cuts: Sequence[float]) -> list[float]:
@@ -108,18 +108,17 @@ def running(hist: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataF
     ``hist`` has one row per (group, bucket), so the window is as small as the
     number of buckets.
     """
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return hist.select(
-        "*",
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums],
-        *[F.sum(c).over(whole).alias(f"{c}_all") for c in sums],
-    )
+    part = "PARTITION BY " + (", ".join(group) or "0")
+    before = f"{part} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return hist.selectExpr(
+        "*", *[f"coalesce(sum({c}) OVER ({before}), 0) AS {c}_before" for c in sums],
+        *[f"sum({c}) OVER ({part}) AS {c}_all" for c in sums])
 
 
 def feature_name(names: Sequence[str]) -> Column:
     """Name of ``feature_id`` as a string column."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature_id") + 1)
+    quoted = ", ".join("'" + n.replace("'", "\\'") + "'" for n in names)
+    return F.expr(f"element_at(array({quoted}), feature_id + 1)")
 
 
 def order_statistics(long: DataFrame, ranks: Callable[[int, int], Sequence[int]]):
@@ -130,7 +129,6 @@ def order_statistics(long: DataFrame, ranks: Callable[[int, int], Sequence[int]]
     passes: a histogram, then a sort of only those buckets that hold a wanted
     rank. What reaches the driver is bounded by features x (buckets + ranks).
     """
-    spark = long.sparkSession
     hist = (long.groupBy("feature_id", "bucket")
             .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
             .collect())
@@ -152,16 +150,14 @@ def order_statistics(long: DataFrame, ranks: Callable[[int, int], Sequence[int]]
                     wanted.append((fid, r["bucket"], rank - before, rank))
             before += r["n"]
     if wanted:
-        want = spark.createDataFrame(wanted, "feature_id int, bucket int, rn int, rank long")
-        w = Window.partitionBy("feature_id", "bucket").orderBy("value")
-        rows = (long.select("feature_id", "bucket", "value")
-                # one row per wanted rank: bounded by the arguments
-                .join(F.broadcast(want.select("feature_id", "bucket").distinct()),
-                      ["feature_id", "bucket"])
-                .withColumn("rn", F.row_number().over(w))
-                .join(F.broadcast(want), ["feature_id", "bucket", "rn"])
-                .select("feature_id", "rank", "value").collect())
-        found.update({(r["feature_id"], r["rank"]): r["value"] for r in rows})
+        # literals: one per wanted rank, bounded by the arguments
+        slots = ", ".join(sorted({f"'{fid}:{bkt}'" for fid, bkt, _, _ in wanted}))
+        names = {f"{fid}:{bkt}:{rn}": (fid, rank) for fid, bkt, rn, rank in wanted}
+        rows = (long.selectExpr("concat(feature_id, ':', bucket) AS slot", "value")
+                .where(f"slot IN ({slots})")
+                .selectExpr("value", "concat(slot, ':', row_number() OVER (PARTITION BY slot ORDER BY value)) AS name")
+                .where("name IN (" + ", ".join(f"'{n}'" for n in names) + ")").collect())
+        found.update({names[r["name"]]: r["value"] for r in rows})
     return found, totals
 
 
@@ -247,7 +243,3 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed: int, by: Sequence[str] =
             .withColumn(out, F.row_number().over(w) + F.col("_n_before"))
             .withColumnRenamed("_n_all", f"{out}_total")
             .drop("_g", "_h", "bucket", "_n_before"))
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,13 +48,15 @@ def file_windows(spark: SparkSession, directory: str, glob: str = "*.parquet") -
     """All files of a directory in one scan; ``window_id`` is the file's place
     in path order."""
     df = spark.read.option("pathGlobFilter", glob).parquet(directory)
-    files = sorted(df.inputFiles())
+    # the part after the scheme: its slashes are not written alike everywhere
+    files = sorted({re.sub("^[a-z0-9]+:/+", "/", f) for f in df.inputFiles()})
     if not files:
         raise RuntimeError(f"no {glob} files in {directory}")
     ids = spark.createDataFrame(list(zip(files, range(len(files)))), "_path string, window_id int")
     if len(files) <= MAX_BROADCAST_FILES:
         ids = F.broadcast(ids)
-    return df.withColumn("_path", F.col("_metadata.file_path")).join(ids, "_path").drop("_path")
+    path = F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/+", "/")
+    return df.withColumn("_path", path).join(ids, "_path").drop("_path")
 
 
 def listed_windows(spark: SparkSession, paths: Sequence[str], **kw) -> DataFrame:
