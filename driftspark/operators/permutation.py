@@ -16,14 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.functions.hashing import PERM_BITS, PERM_PRIME, perm_hash
-from driftspark.operators.wasserstein import (
-    directions,
-    keyed_sides,
-    project,
-    standardized,
-    w1_of,
-)
-from driftspark.plans.buckets import fit_cuts, order_statistics, tile_by_cuts, to_long
+from driftspark.operators.wasserstein import Projected, directions, w1_of
+from driftspark.plans.buckets import order_statistics, spread, tile_by_cuts
 
 # Label columns worked on at a time, which bounds a task's memory.
 PERM_CHUNK = 64
@@ -38,6 +32,9 @@ def permutation_cuts(keyed: DataFrame, perms: Sequence[int], n_first: int) -> di
     if n_first <= 0:
         return {p: -1 for p in perms}
     ids = F.array(*[F.lit(p) for p in perms])
+    if len(perms) > 1:
+        # every row is about to become one row per permutation
+        keyed = spread(keyed.select("a", "b"), "a")
     long = (keyed.select("a", "b", F.explode(ids).alias("feature_id"))
             .select("feature_id", perm_hash(F.col("a"), F.col("b"), F.col("feature_id")).alias("value"))
             .withColumn("bucket", F.shiftright("value", PERM_BITS - CUT_BITS).cast("int")))
@@ -45,13 +42,13 @@ def permutation_cuts(keyed: DataFrame, perms: Sequence[int], n_first: int) -> di
     return {fid: v for (fid, _), v in found.items()}
 
 
-def _cuts(wide: DataFrame, n_permutations: int, n0: int, n1: int, split: str) -> list[int]:
+def _cuts(keyed: DataFrame, n_permutations: int, n0: int, n1: int, split: str) -> list[int]:
     perms = list(range(1, n_permutations + 1))
     if split == "hash":
         return [int(PERM_PRIME * n0 / (n0 + n1)) - 1] * n_permutations
     if split != "exact":
         raise ValueError(f"unknown split {split!r}")
-    cuts = permutation_cuts(wide, perms, n0)
+    cuts = permutation_cuts(keyed, perms, n0)
     return [cuts[p] for p in perms]
 
 
@@ -123,15 +120,13 @@ def _null_by_labels(long: DataFrame, cuts: list[int], n_dirs: int) -> DataFrame:
             .groupBy("perm").agg((F.sum("w") / n_dirs).alias("swd")))
 
 
-def _null_by_rows(wide: DataFrame, names: list[str], buckets: dict, cuts: list[int],
-                  method: str) -> DataFrame:
+def _null_by_rows(long: DataFrame, cuts: list[int], method: str) -> DataFrame:
     """Same from one copy of the rows per permutation, for any W1 variant."""
     border = F.element_at(F.array(*[F.lit(c) for c in cuts]), F.greatest(F.col("perm"), F.lit(1)))
     moved = F.when(F.col("perm") == 0, F.col("side")).otherwise(
         F.when(perm_hash(F.col("a"), F.col("b"), F.col("perm")) <= border, 0).otherwise(1))
-    long = (to_long(wide, names, buckets, ["side", "a", "b"], salt="a")
-            .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
-            .withColumn("side", moved))
+    long = (long.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
+            .withColumn("side", moved).drop("a", "b"))
     return w1_of(method)(long, ["perm", "feature_id"]).groupBy("perm").agg(F.avg("w1").alias("swd"))
 
 
@@ -166,24 +161,20 @@ def swd_null(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Seque
     (direction, bucket) to be worth a task's while, few enough for its memory.
     """
     dirs = directions(n_projections, len(features), seed)
-    both = keyed_sides(ref, det, features, key, seed, method)
-    keep = ["side", "a", "b"]
-    z = standardized(both, features, standardize, keep)
-    wide, names = project(z, features, dirs, keep)
-    n = {r["side"]: r["count"] for r in wide.groupBy("side").count().collect()}
-    if not n.get(0) or not n.get(1):
+    p = Projected(ref, det, features, key, dirs, seed, standardize, method)
+    n0, n1 = p.n
+    if not n0 or not n1:
         raise ValueError("both samples need rows without nulls")
-    cuts = _cuts(wide, n_permutations, n[0], n[1], split)
+    border = _cuts(p.z, n_permutations, n0, n1, split)
     if n_buckets is None:
-        n_buckets = max(1, min(4096, (n[0] + n[1]) // ROWS_PER_BUCKET))
-    buckets = fit_cuts(wide, names, n_buckets)
+        n_buckets = max(1, min(4096, (n0 + n1) // ROWS_PER_BUCKET))
+    buckets = p.cuts(n_buckets)
     if fresh:
-        pooled = sorted({v for c in names for v in buckets[c]})[:: max(1, len(names))]
-        return _null_fresh(z, features, pooled, cuts, n_projections, seed, method)
+        pooled = sorted({v for c in p.names for v in buckets[c]})[:: max(1, len(p.names))]
+        return _null_fresh(spread(p.z, "a"), features, pooled, border, n_projections, seed, method)
     if method in ("exact", "sorted"):
-        long = to_long(wide, names, buckets, keep, salt="a")
-        return _null_by_labels(long, cuts, n_projections)
-    return _null_by_rows(wide, names, buckets, cuts, method)
+        return _null_by_labels(p.long(buckets), border, n_projections)
+    return _null_by_rows(p.long(buckets), border, method)
 
 
 def swd_report(null: DataFrame, alpha: float = 0.05, pvalue: str = "plus_one") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from driftspark.functions.hashing import perm_parts
 from driftspark.operators.ks import stack_sides
 from driftspark.operators.sampling import equal_sizes
-from driftspark.plans.buckets import feature_name, fit_cuts, running, to_long
+from driftspark.plans.buckets import CUT_SAMPLE_ROWS, feature_name, fit_cuts, running, spread, to_long
 
 # Above this many multiplications per row the projection leaves generated
 # code (whose methods grow too big to be compiled) for one matrix product per
@@ -34,20 +34,26 @@ def feature_moments(df: DataFrame, features: Sequence[str], by: Sequence[str] =
     return df.groupBy(*by).agg(*aggs)
 
 
-def standardized(both: DataFrame, features: Sequence[str], mode: str,
-                 keep: Sequence[str]) -> DataFrame:
+def side_moments(both: DataFrame, features: Sequence[str]) -> dict:
+    """Rows, mean and deviation of each side (0, 1) and of both (None)."""
+    aggs = [F.count("*").alias("n")] + [
+        f(c).alias(f"{c}_{n}") for c in features for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return {r["side"]: r.asDict() for r in both.rollup("side").agg(*aggs).collect()}
+
+
+def standardized(both: DataFrame, features: Sequence[str], mode: str, keep: Sequence[str],
+                 moments: dict | None = None) -> DataFrame:
     """z-scores; a constant feature is only centred.
 
     ``reference``: by the mean and deviation of side 0. ``pooled``: of both
     sides together. ``self``: each side by its own, which hides shifts of
-    location and scale. ``none``: values as they are. One small aggregate.
+    location and scale. ``none``: values as they are.
     """
+    if mode not in ("none", "reference", "pooled", "self"):
+        raise ValueError(f"unknown standardize mode {mode!r}")
     if mode == "none":
         return both.select(*keep, *[F.col(c).cast("double").alias(c) for c in features])
-    if mode not in ("reference", "pooled", "self"):
-        raise ValueError(f"unknown standardize mode {mode!r}")
-    by = [] if mode == "pooled" else ["side"]
-    rows = {r["side"] if by else None: r for r in feature_moments(both, features, by).collect()}
+    rows = moments or side_moments(both, features)
 
     def z(c, side):
         r = rows.get(side)
@@ -193,7 +199,7 @@ def keyed_sides(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Se
     if method == "sorted":
         both = equal_sizes(both, ["side", *key], seed)
     a, b = perm_parts(["side", *key], seed)
-    return both.withColumn("a", a).withColumn("b", b)
+    return both.withColumn("a", a).withColumn("b", b).select("side", "a", "b", *features)
 
 
 def w1_features(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
@@ -201,15 +207,33 @@ def w1_features(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Se
     """W1 per feature: ``(feature, w1)``."""
     both = keyed_sides(ref, det, features, key, seed, method)
     cuts = fit_cuts(both, features, n_buckets)
-    long = to_long(both, features, cuts, ["side"], salt="a")
+    long = to_long(spread(both, "a"), features, cuts, ["side"], salt="a")
     return w1_of(method)(long, ["feature_id"]).select(feature_name(features).alias("feature"), "w1")
 
 
-def projected_sides(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
-                    dirs: np.ndarray, seed: int, standardize: str, method: str):
-    both = keyed_sides(ref, det, features, key, seed, method)
-    keep = ["side", "a", "b"]
-    return project(standardized(both, features, standardize, keep), features, dirs, keep)
+class Projected:
+    """Both sides in z-scores (``z``) and along every direction (``wide``,
+    columns ``names``), with the row counts ``n`` of the sides."""
+
+    def __init__(self, ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
+                 dirs: np.ndarray, seed: int, standardize: str, method: str):
+        self.keep, self.features, self.dirs = ["side", "a", "b"], list(features), dirs
+        both = keyed_sides(ref, det, features, key, seed, method)
+        moments = side_moments(both, features)
+        self.n = [moments.get(s, {"n": 0})["n"] for s in (0, 1)]
+        self.z = standardized(both, features, standardize, self.keep, moments)
+        # every row is about to become one row per direction
+        self.wide, self.names = project(spread(self.z, "a"), features, dirs, self.keep)
+
+    def cuts(self, n_buckets: int) -> dict[str, list[float]]:
+        """Cut points per direction, from a sample taken before any shuffle."""
+        n, few = sum(self.n), self.z
+        if n > CUT_SAMPLE_ROWS:
+            few, n = few.sample(CUT_SAMPLE_ROWS / n, seed=1), CUT_SAMPLE_ROWS
+        return fit_cuts(project(few, self.features, self.dirs, [])[0], self.names, n_buckets, n)
+
+    def long(self, cuts: dict[str, list[float]]) -> DataFrame:
+        return to_long(self.wide, self.names, cuts, self.keep, salt="a")
 
 
 def swd_directions(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
@@ -217,8 +241,8 @@ def swd_directions(ref: DataFrame, det: DataFrame, features: Sequence[str], key:
                    method: str = "exact", n_buckets: int = 64) -> DataFrame:
     """W1 of every direction: ``(proj, w1)``."""
     dirs = directions(n_projections, len(features), seed)
-    wide, names = projected_sides(ref, det, features, key, dirs, seed, standardize, method)
-    long = to_long(wide, names, fit_cuts(wide, names, n_buckets), ["side"], salt="a")
+    p = Projected(ref, det, features, key, dirs, seed, standardize, method)
+    long = p.long(p.cuts(n_buckets)).drop("a", "b")
     return w1_of(method)(long, ["feature_id"]).withColumnRenamed("feature_id", "proj")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from driftspark.functions.hashing import HASH_BITS, hash_key
 
 # Rows looked at when cut points are estimated.
-CUT_SAMPLE_ROWS = 200_000
+CUT_SAMPLE_ROWS = 50_000
 # Above every real bucket.
 NULL_BUCKET = 2**30
 # Parts a hot value is spread over.
@@ -33,6 +33,13 @@ def bucket_bits(spark: SparkSession) -> int:
     return min(16, max(5, (2 * width - 1).bit_length()))
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Even partitions by row key, ahead of steps that multiply the rows: one
+    shuffle of the rows themselves, small beside what follows, so that neither
+    a few large input files nor a skewed layout decides the parallelism."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def no_nan(c: str | Column) -> Column:
     """Double value with NaN turned into null."""
     v = (F.col(c) if isinstance(c, str) else c).cast("double")
