@@ -66,9 +66,9 @@ def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "predicti
     sides = F.explode(F.array(
         F.struct(F.col("y").alias("c"), F.col("n").alias("is"), F.lit(0).cast("long").alias("said"), hit.alias("hit")),
         F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("is"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")),
-    )).alias("x")
-    per_class = (cells.select(*by, sides).groupBy(*by, "x.c")
-                 .agg(F.sum("x.is").alias("is"), F.sum("x.said").alias("said"), F.sum("x.hit").alias("hit")))
+    )).alias("_x")
+    per_class = (cells.select(*by, sides).groupBy(*by, "_x.c")
+                 .agg(F.sum("_x.is").alias("is"), F.sum("_x.said").alias("said"), F.sum("_x.hit").alias("hit")))
     f1 = 2 * F.col("hit") / (F.col("is") + F.col("said"))
     return per_class.groupBy(*by).agg((F.sum(F.col("is") * f1) / F.sum("is")).alias("f1"))
 
@@ -82,8 +82,8 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
         for i, (a, b) in enumerate(cells)])
     grid = F.explode(F.array(*[
         F.struct(F.lit(a).alias("label"), F.lit(b).alias("prediction"), F.col(f"n_{i}").alias("cnt"))
-        for i, (a, b) in enumerate(cells)])).alias("x")
-    return wide.select(*by, grid).select(*by, "x.*")
+        for i, (a, b) in enumerate(cells)])).alias("_x")
+    return wide.select(*by, grid).select(*by, "_x.*")
 
 
 def _bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
