@@ -23,6 +23,8 @@ def stack_sides(ref: DataFrame, det: DataFrame, cols: Sequence[str]) -> DataFram
     """Both samples in one frame, ``side`` 0 for ``ref`` and 1 for ``det``."""
     if not cols:
         raise ValueError("feature columns must be non-empty")
+    if "side" in cols:
+        raise ValueError("a column may not be named side: rename it first")
     cols = list(dict.fromkeys(cols))
     return (ref.select(*cols, F.lit(0).alias("side"))
             .unionByName(det.select(*cols, F.lit(1).alias("side"))))
@@ -35,7 +37,7 @@ def _gap(ci: str, cj: str, ni: str, nj: str) -> str:
 def ks_samples(df: DataFrame, features: Sequence[str], member: str,
                samples: Sequence[str], pairs: Sequence[tuple[int, int, int]],
                n_buckets: int = 256, exact: bool = True, nulls: str = "drop",
-               cuts: dict[str, list[float]] | None = None) -> DataFrame:
+               cuts: dict[str, list[float]] | None = None, bounds: bool = False) -> DataFrame:
     """KS distance of many pairs of (overlapping) samples at once.
 
     ``samples`` are SQL conditions on the column ``member``; ``pairs`` are
@@ -48,7 +50,8 @@ def ks_samples(df: DataFrame, features: Sequence[str], member: str,
     pass 2; a bucket holding a single value never is.
 
     ``nulls="drop"`` leaves nulls out; ``"count"`` keeps them in the sample
-    size only. ``exact=False`` stops after pass 1.
+    size only. ``exact=False`` stops after pass 1; with ``bounds`` it then adds
+    ``ks_most``, so that the exact distance lies in [ks, ks_most].
     """
     if not features:
         raise ValueError("feature columns must be non-empty")
@@ -70,7 +73,8 @@ def ks_samples(df: DataFrame, features: Sequence[str], member: str,
         end.append(f"CASE WHEN lo IS NULL THEN 0D ELSE {_gap(*after, *size)} END AS e{x}")
         bound.append(f"greatest({_gap(after[0], before[1], *size)}, {_gap(before[0], after[1], *size)}) AS u{x}")
     ends = hist.selectExpr("*", *end, *bound)
-    best = ends.groupBy("feature_id").agg(*[F.expr(f"max(e{x}) AS k{x}") for x in k])
+    most = [F.expr(f"greatest(max(e{x}), max(CASE WHEN lo < hi THEN u{x} END)) AS m{x}") for x in k]
+    best = ends.groupBy("feature_id").agg(*[F.expr(f"max(e{x}) AS k{x}") for x in k], *(most if bounds else []))
     if exact:
         rest = [f"{n}_{s}" for n in c for s in ("before", "all")]
         unsettled = (ends.selectExpr("*", *[f"max(e{x}) OVER (PARTITION BY feature_id) AS l{x}" for x in k])
@@ -87,9 +91,11 @@ def ks_samples(df: DataFrame, features: Sequence[str], member: str,
                      for x, (_, i, j) in enumerate(pairs)]))
         best = best.join(inner, "feature_id", "left").selectExpr(
             "feature_id", *[f"greatest(k{x}, r{x}) AS k{x}" for x in k])
-    cells = ", ".join(f"named_struct('pair', {p[0]}, 'ks', k{x})" for x, p in enumerate(pairs))
+    extra = ["ks_most"] if bounds and not exact else []
+    cells = ", ".join(f"named_struct('pair', {p[0]}, 'ks', k{x}" + (f", 'ks_most', m{x})" if extra else ")")
+                      for x, p in enumerate(pairs))
     return best.select("feature_id", F.expr(f"inline(array({cells}))")).select(
-        "pair", feature_name(features).alias("feature"), "ks")
+        "pair", feature_name(features).alias("feature"), "ks", *extra)
 
 
 def ks_exact(ref: DataFrame, det: DataFrame, features: Sequence[str], **kw) -> DataFrame:
@@ -147,7 +153,7 @@ def ks_points(ref: DataFrame, det: DataFrame, features: Sequence[str], num_point
         tiles = tile_by_cuts(tiles, F.col(c), points[c], f"_t{i}")
     cells = F.array(*[F.struct(F.lit(i).alias("feature_id"), F.col(c).alias("value"),
                                F.coalesce(F.col(f"_t{i}"), F.lit(NULL_BUCKET)).alias("bucket")) for i, c in enumerate(names)])
-    long = tiles.select("side", F.explode(cells).alias("x")).select("side", "x.*")
+    long = tiles.select("side", F.explode(cells).alias("_x")).select("side", "_x.*")
     if nulls == "drop":
         long = long.where(F.col("value").isNotNull())
     hist = (long.groupBy("feature_id", "bucket")

@@ -34,9 +34,9 @@ def permutation_cuts(keyed: DataFrame, perms: Sequence[int], n_first: int) -> di
     ids = F.array(*[F.lit(p) for p in perms])
     if len(perms) > 1:
         # every row is about to become one row per permutation
-        keyed = spread(keyed.select("a", "b"), "a")
-    long = (keyed.select("a", "b", F.explode(ids).alias("feature_id"))
-            .select("feature_id", perm_hash(F.col("a"), F.col("b"), F.col("feature_id")).alias("value"))
+        keyed = spread(keyed.select("_a", "_b"), "_a")
+    long = (keyed.select("_a", "_b", F.explode(ids).alias("feature_id"))
+            .select("feature_id", perm_hash(F.col("_a"), F.col("_b"), F.col("feature_id")).alias("value"))
             .withColumn("bucket", F.shiftright("value", PERM_BITS - CUT_BITS).cast("int")))
     found, _ = order_statistics(long, lambda _, n: [min(n, n_first)])
     return {fid: v for (fid, _), v in found.items()}
@@ -55,7 +55,7 @@ def _cuts(keyed: DataFrame, n_permutations: int, n0: int, n1: int, split: str) -
 def _labels(pdf: pd.DataFrame, cuts: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """Is the row on side 0, for permutations lo..hi-1 (0 is the real side)."""
     perms = np.arange(lo, hi, dtype=np.int64)
-    h = (pdf["a"].to_numpy()[:, None] * (perms + 1) + pdf["b"].to_numpy()[:, None]) % PERM_PRIME
+    h = (pdf["_a"].to_numpy()[:, None] * (perms + 1) + pdf["_b"].to_numpy()[:, None]) % PERM_PRIME
     out = h <= cuts[lo:hi]
     if lo == 0:
         out[:, 0] = pdf["side"].to_numpy() == 0
@@ -63,7 +63,7 @@ def _labels(pdf: pd.DataFrame, cuts: np.ndarray, lo: int, hi: int) -> np.ndarray
 
 
 def _null_by_labels(long: DataFrame, cuts: list[int], n_dirs: int) -> DataFrame:
-    """(perm, swd) of all relabellings from rows (feature_id, bucket, value, side, a, b)."""
+    """(perm, swd) of all relabellings from rows (feature_id, bucket, value, side, _a, _b)."""
     n_perm = len(cuts) + 1
     border = np.array([0, *cuts], dtype=np.int64)
     spans = [(i, min(i + PERM_CHUNK, n_perm)) for i in range(0, n_perm, PERM_CHUNK)]
@@ -124,9 +124,9 @@ def _null_by_rows(long: DataFrame, cuts: list[int], method: str) -> DataFrame:
     """Same from one copy of the rows per permutation, for any W1 variant."""
     border = F.element_at(F.array(*[F.lit(c) for c in cuts]), F.greatest(F.col("perm"), F.lit(1)))
     moved = F.when(F.col("perm") == 0, F.col("side")).otherwise(
-        F.when(perm_hash(F.col("a"), F.col("b"), F.col("perm")) <= border, 0).otherwise(1))
+        F.when(perm_hash(F.col("_a"), F.col("_b"), F.col("perm")) <= border, 0).otherwise(1))
     long = (long.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
-            .withColumn("side", moved).drop("a", "b"))
+            .withColumn("side", moved).drop("_a", "_b"))
     return w1_of(method)(long, ["perm", "feature_id"]).groupBy("perm").agg(F.avg("w1").alias("swd"))
 
 
@@ -171,7 +171,7 @@ def swd_null(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Seque
     buckets = p.cuts(n_buckets)
     if fresh:
         pooled = sorted({v for c in p.names for v in buckets[c]})[:: max(1, len(p.names))]
-        return _null_fresh(spread(p.z, "a"), features, pooled, border, n_projections, seed, method)
+        return _null_fresh(spread(p.z, "_a"), features, pooled, border, n_projections, seed, method)
     if method in ("exact", "sorted"):
         return _null_by_labels(p.long(buckets), border, n_projections)
     return _null_by_rows(p.long(buckets), border, method)

@@ -113,7 +113,7 @@ def resplit(df: DataFrame, key: Sequence[str], perm: int, n_first: int, seed: in
     a, b = perm_parts(key, seed)
     h = perm_hash(a, b, F.lit(perm))
     if exact:
-        keyed = df.select(a.alias("a"), b.alias("b"))
+        keyed = df.select(a.alias("_a"), b.alias("_b"))
         cut = permutation_cuts(keyed, [perm], n_first)[perm]
     else:
         cut = int(PERM_PRIME * n_first / max(1, df.count())) - 1
@@ -135,22 +135,40 @@ def bounded_target(k: int) -> int:
 
 
 def convergence(blocks: DataFrame, features: Sequence[str], t_from: int = 2, t_to: int = 20,
-                exact: bool = True, nulls: str = "drop", cuts: dict | None = None) -> DataFrame:
+                exact: bool = True, nulls: str = "drop", cuts: dict | None = None,
+                bounds: bool = False) -> DataFrame:
     """KS distance between the first t-1 and the first t blocks, for all t in
     one plan: ``(t, feature, ks)``."""
     ts = list(range(t_from, t_to + 1))
     samples = [f"block_id < {t}" for t in range(t_from - 1, t_to + 1)]
     pairs = [(t, i, i + 1) for i, t in enumerate(ts)]
     return (ks_samples(prefix(blocks, t_to), features, "block_id", samples, pairs,
-                       n_buckets=256 if exact else 50, exact=exact, nulls=nulls, cuts=cuts)
+                       n_buckets=256 if exact or bounds else 50, exact=exact, nulls=nulls, cuts=cuts,
+                       bounds=bounds)
             .withColumnRenamed("pair", "t"))
 
 
-def choose_t(table: DataFrame, epsilon: float, t_eff: int) -> int | None:
-    """Smallest t-1 whose step moved no feature by more than ``epsilon``."""
-    row = (table.groupBy("t").agg(F.max("ks").alias("ks"))
-           .where(F.col("ks") <= epsilon).agg(F.min("t").alias("t")).first())
-    return None if row["t"] is None else row["t"] - 1
+def first_converged(blocks: DataFrame, features: Sequence[str], t_from: int, t_to: int, epsilon: float,
+                    exact: bool, nulls: str, cuts: dict) -> int | None:
+    """Smallest t-1 in the span whose step moved no feature by more than
+    ``epsilon``.
+
+    The counts per bucket bound every distance from both sides, which settles
+    nearly all steps in one pass; only a step whose bounds enclose ``epsilon``
+    is computed exactly.
+    """
+    table = convergence(blocks, features, t_from, t_to, False, nulls, cuts, bounds=exact)
+    worst = table.groupBy("t").agg(F.max("ks").alias("ks"),
+                                   F.max("ks_most" if exact else "ks").alias("most"))
+    for r in sorted(worst.collect()):
+        if r["ks"] > epsilon:
+            continue
+        if r["most"] <= epsilon:
+            return r["t"] - 1
+        one = convergence(blocks, features, r["t"], r["t"], True, nulls, cuts)
+        if one.agg(F.max("ks")).first()[0] <= epsilon:
+            return r["t"] - 1
+    return None
 
 
 def adaptive_sample(df: DataFrame, features: Sequence[str] | None, key: Sequence[str], *,
@@ -182,7 +200,7 @@ def adaptive_sample(df: DataFrame, features: Sequence[str] | None, key: Sequence
     bins = fit_cuts(prefix(blocks, few), features, 256 if exact else 50, n * few // p["k"])
     while chosen is None and t <= t_eff:
         stop = min(t_eff, 3 if t == 2 else 3 * t)
-        chosen = choose_t(convergence(blocks, features, t, stop, exact, nulls, bins), epsilon_a2, t_eff)
+        chosen = first_converged(blocks, features, t, stop, epsilon_a2, exact, nulls, bins)
         t = stop + 1
     if chosen is None:
         chosen = max(1, t_eff - 1)

@@ -194,12 +194,12 @@ def w1_of(method: str):
 
 def keyed_sides(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
                 seed: int, method: str = "exact") -> DataFrame:
-    """Both sides, complete rows only, with two hash numbers ``a``, ``b``."""
+    """Both sides, complete rows only, with two hash numbers ``_a``, ``_b``."""
     both = stack_sides(ref, det, [*key, *features]).dropna(subset=list(features))
     if method == "sorted":
         both = equal_sizes(both, ["side", *key], seed)
     a, b = perm_parts(["side", *key], seed)
-    return both.withColumn("a", a).withColumn("b", b).select("side", "a", "b", *features)
+    return both.select("side", a.alias("_a"), b.alias("_b"), *features)
 
 
 def w1_features(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
@@ -207,7 +207,7 @@ def w1_features(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Se
     """W1 per feature: ``(feature, w1)``."""
     both = keyed_sides(ref, det, features, key, seed, method)
     cuts = fit_cuts(both, features, n_buckets)
-    long = to_long(spread(both, "a"), features, cuts, ["side"], salt="a")
+    long = to_long(spread(both, "_a"), features, cuts, ["side"], salt="_a")
     return w1_of(method)(long, ["feature_id"]).select(feature_name(features).alias("feature"), "w1")
 
 
@@ -217,13 +217,13 @@ class Projected:
 
     def __init__(self, ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
                  dirs: np.ndarray, seed: int, standardize: str, method: str):
-        self.keep, self.features, self.dirs = ["side", "a", "b"], list(features), dirs
+        self.keep, self.features, self.dirs = ["side", "_a", "_b"], list(features), dirs
         both = keyed_sides(ref, det, features, key, seed, method)
         moments = side_moments(both, features)
         self.n = [moments.get(s, {"n": 0})["n"] for s in (0, 1)]
         self.z = standardized(both, features, standardize, self.keep, moments)
         # every row is about to become one row per direction
-        self.wide, self.names = project(spread(self.z, "a"), features, dirs, self.keep)
+        self.wide, self.names = project(spread(self.z, "_a"), features, dirs, self.keep)
 
     def cuts(self, n_buckets: int) -> dict[str, list[float]]:
         """Cut points per direction, from a sample taken before any shuffle."""
@@ -233,7 +233,7 @@ class Projected:
         return fit_cuts(project(few, self.features, self.dirs, [])[0], self.names, n_buckets, n)
 
     def long(self, cuts: dict[str, list[float]]) -> DataFrame:
-        return to_long(self.wide, self.names, cuts, self.keep, salt="a")
+        return to_long(self.wide, self.names, cuts, self.keep, salt="_a")
 
 
 def swd_directions(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
@@ -242,7 +242,7 @@ def swd_directions(ref: DataFrame, det: DataFrame, features: Sequence[str], key:
     """W1 of every direction: ``(proj, w1)``."""
     dirs = directions(n_projections, len(features), seed)
     p = Projected(ref, det, features, key, dirs, seed, standardize, method)
-    long = p.long(p.cuts(n_buckets)).drop("a", "b")
+    long = p.long(p.cuts(n_buckets)).drop("_a", "_b")
     return w1_of(method)(long, ["feature_id"]).withColumnRenamed("feature_id", "proj")
 
 

@@ -168,7 +168,7 @@ def test_null_equals_numpy(sides):
     a, b, da, db = sides
     n0 = len(a)
     both = wasserstein.keyed_sides(da, db, COLS, ["id"], 42)
-    z = wasserstein.standardized(both, COLS, "reference", ["side", "a", "b"]).toPandas()
+    z = wasserstein.standardized(both, COLS, "reference", ["side", "_a", "_b"]).toPandas()
     dirs = wasserstein.directions(4, 3, 42)
     v = z[COLS].to_numpy() @ dirs.T
     from driftspark.functions import PERM_PRIME
@@ -177,7 +177,7 @@ def test_null_equals_numpy(sides):
         if p == 0:
             ref = (z.side == 0).to_numpy()
         else:
-            h = (z.a.to_numpy() * (p + 1) + z.b.to_numpy()) % PERM_PRIME
+            h = (z["_a"].to_numpy() * (p + 1) + z["_b"].to_numpy()) % PERM_PRIME
             ref = np.zeros(len(z), bool)
             ref[np.argsort(h, kind="stable")[:n0]] = True
         want.append(np.mean([np_w1(v[ref, i], v[~ref, i]) for i in range(4)]))

@@ -86,6 +86,18 @@ def test_adaptive_sample(rows):
     assert s.count() == len([i for i in range(2003) if i % 50 < t])
 
 
+def test_bounds_enclose_the_distance(rows):
+    b = sampling.assign_blocks(rows, ["id"], 50)
+    exact = {(r.t, r.feature): r.ks for r in sampling.convergence(b, ["x", "y"]).collect()}
+    from driftspark.operators.ks import fit_cuts
+    cuts = fit_cuts(rows, ["x", "y"], 8)
+    for r in sampling.convergence(b, ["x", "y"], exact=False, bounds=True, cuts=cuts).collect():
+        assert r.ks <= exact[r.t, r.feature] <= r.ks_most
+    # wide bounds: every step has to be settled exactly
+    want = min((t for t in range(2, 21) if max(v for (u, _), v in exact.items() if u == t) <= 0.02), default=None)
+    assert sampling.first_converged(b, ["x", "y"], 2, 20, 0.02, True, "drop", cuts) == (want and want - 1)
+
+
 def test_adaptive_sample_edges(rows):
     with pytest.raises(ValueError):
         sampling.adaptive_sample(rows.limit(0), ["x"], ["id"])
