@@ -70,7 +70,9 @@ def ks_samples(df: DataFrame, features: Sequence[str], member: str,
     for x, (_, i, j) in enumerate(pairs):
         before, after = [f"c{n}_before" for n in (i, j)], [f"c{n}_before + c{n}" for n in (i, j)]
         size = [f"c{n}_all" for n in (i, j)]
-        end.append(f"CASE WHEN lo IS NULL THEN 0D ELSE {_gap(*after, *size)} END AS e{x}")
+        # naming both lo and hi keeps the histogram the same in every branch of
+        # the plan, so that Spark runs it once and reuses its shuffle
+        end.append(f"CASE WHEN lo IS NULL OR hi IS NULL THEN 0D ELSE {_gap(*after, *size)} END AS e{x}")
         bound.append(f"greatest({_gap(after[0], before[1], *size)}, {_gap(before[0], after[1], *size)}) AS u{x}")
     ends = hist.selectExpr("*", *end, *bound)
     most = [F.expr(f"greatest(max(e{x}), max(CASE WHEN lo < hi THEN u{x} END)) AS m{x}") for x in k]
@@ -150,9 +152,9 @@ def ks_points(ref: DataFrame, det: DataFrame, features: Sequence[str], num_point
     # value <= point falls into a tile at or before the point's own
     tiles = both.select("side", *[no_nan(c).alias(c) for c in names])
     for i, c in enumerate(names):
-        tiles = tile_by_cuts(tiles, F.col(c), points[c], f"_t{i}")
+        tiles = tile_by_cuts(tiles, F.col(c), points[c], f"_t{i}", NULL_BUCKET)
     cells = F.array(*[F.struct(F.lit(i).alias("feature_id"), F.col(c).alias("value"),
-                               F.coalesce(F.col(f"_t{i}"), F.lit(NULL_BUCKET)).alias("bucket")) for i, c in enumerate(names)])
+                               F.col(f"_t{i}").alias("bucket")) for i, c in enumerate(names)])
     long = tiles.select("side", F.explode(cells).alias("_x")).select("side", "_x.*")
     if nulls == "drop":
         long = long.where(F.col("value").isNotNull())

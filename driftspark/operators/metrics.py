@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.plans.buckets import fit_cuts, no_nan, running, tile_by_cuts
+from driftspark.plans.buckets import NULL_BUCKET, fit_cuts, group_key, no_nan, running, tile_by_cuts
 
 
 def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
@@ -17,18 +17,18 @@ def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str]) -> Da
     Rows are first counted per (group, score), so neither a large group nor a
     popular score makes a large task; the running counts go by score bucket.
     """
-    rows = df.select(*by, F.col(label).cast("double").alias("_y"), no_nan(score).alias("_s"))
-    rows = rows.dropna(subset=["_s", "_y"])
-    rows = tile_by_cuts(rows, F.col("_s"), fit_cuts(rows, ["_s"], 256)["_s"], "bucket")
-    counts = rows.groupBy(*by, "bucket", "_s").agg(
+    rows = df.select(group_key(by).alias("_g"), F.col(label).cast("double").alias("_y"),
+                     no_nan(score).alias("_s")).dropna(subset=["_s", "_y"])
+    rows = tile_by_cuts(rows, F.col("_s"), fit_cuts(rows, ["_s"], 256)["_s"], "bucket", NULL_BUCKET)
+    counts = rows.groupBy("_g", "bucket", "_s").agg(
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("neg"))
-    hist = counts.groupBy(*by, "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    hist = running(hist, by, ["p", "n"]).drop("p", "n")
-    w = (Window.partitionBy(*by, "bucket").orderBy("_s")
+    hist = counts.groupBy("_g", "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    hist = running(hist, ["_g"], ["p", "n"]).drop("p", "n")
+    w = (Window.partitionBy("_g", "bucket").orderBy("_s")
          .rowsBetween(Window.unboundedPreceding, -1))
-    return (counts.join(hist, [*by, "bucket"])
-            .select(*by, F.col("_s").alias("score"), "pos", "neg",
+    return (counts.join(hist, ["_g", "bucket"])
+            .select(*[F.col(f"_g.{c}").alias(c) for c in by], F.col("_s").alias("score"), "pos", "neg",
                     (F.coalesce(F.sum("pos").over(w), F.lit(0)) + F.col("p_before")).alias("pos_below"),
                     (F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col("n_before")).alias("neg_below"),
                     F.col("p_all").alias("n_pos"), F.col("n_all").alias("n_neg")))
@@ -94,16 +94,14 @@ def _bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Rows per bin between each group's own smallest and largest value."""
-    rows = df.select(*by, no_nan(value).alias("_v")).dropna(subset=["_v"])
-    span = rows.groupBy(*by).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    if by:
-        # joined to rows already counted per value: no group makes a large task
-        rows = rows.groupBy(*by, "_v").agg(F.count("*").alias("n")).join(span, list(by))
-    else:
-        low = span.first()
-        rows = rows.select("_v", F.lit(1).alias("n"), F.lit(low["lo"]).alias("lo"), F.lit(low["hi"]).alias("hi"))
-    return (rows.groupBy(*by, _bin(F.col("_v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-            .agg(F.sum("n").alias("cnt"), F.min("lo").alias("lo"), F.min("hi").alias("hi")))
+    rows = df.select(group_key(by).alias("_g"), no_nan(value).alias("_v")).dropna(subset=["_v"])
+    # joined to rows already counted per value: no group makes a large task
+    counts = rows.groupBy("_g", "_v").agg(F.count("*").alias("n"))
+    span = counts.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    at = _bin(F.col("_v"), F.col("lo"), F.col("hi"), bins)
+    return (counts.join(span, "_g").groupBy("_g", at.alias("bin"))
+            .agg(F.sum("n").alias("cnt"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+            .select(*[F.col(f"_g.{c}").alias(c) for c in by], "bin", "cnt", "lo", "hi"))
 
 
 def null_density(null: DataFrame, bins: int = 30) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from driftspark.functions.hashing import PERM_BITS, PERM_PRIME, perm_hash
 from driftspark.operators.wasserstein import Projected, directions, w1_of
-from driftspark.plans.buckets import order_statistics, spread, tile_by_cuts
+from driftspark.plans.buckets import NULL_BUCKET, order_statistics, spread, tile_by_cuts
 
 # Label columns worked on at a time, which bounds a task's memory.
 PERM_CHUNK = 64
@@ -147,7 +147,7 @@ def _null_fresh(z: DataFrame, features: Sequence[str], pooled: list[float], cuts
                     "side": np.repeat(side.astype(np.int32), n_dirs), "value": v.ravel()})
 
     long = z.mapInPandas(rows, "perm int, feature_id int, side int, value double")
-    long = tile_by_cuts(long, F.col("value"), pooled, "bucket")
+    long = tile_by_cuts(long, F.col("value"), pooled, "bucket", NULL_BUCKET)
     return w1_of(method)(long, ["perm", "feature_id"]).groupBy("perm").agg(F.avg("w1").alias("swd"))
 
 

@@ -181,18 +181,29 @@ def hash_long(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
             .withColumn("bucket", F.shiftright("value", shift).cast("int")))
 
 
-def tile_by_cuts(df: DataFrame, value: Column, cuts: Sequence[float], out: str) -> DataFrame:
-    """Number of cuts below ``value`` (0-based tile), a binary search per row."""
+def tile_by_cuts(df: DataFrame, value: Column, cuts: Sequence[float], out: str,
+                 null_tile: int | None = None) -> DataFrame:
+    """Number of cuts below ``value`` (0-based tile), a binary search per row.
+    A null value gets ``null_tile``."""
     if not cuts:
         return df.withColumn(out, F.lit(0))
     inner = sorted({math.nextafter(float(c), math.inf) for c in cuts})
+    tile = F.col("_tile").cast("int")
+    if null_tile is not None:
+        tile = F.coalesce(tile, F.lit(null_tile))
     return (Bucketizer(inputCol="_tile_in", outputCol="_tile",
                        splits=[-math.inf, *inner, math.inf], handleInvalid="keep")
             .transform(df.withColumn("_tile_in", value.cast("double")))
-            .withColumn(out, F.col("_tile").cast("int"))
+            .withColumn(out, tile)
             .drop("_tile_in", "_tile"))
 
 
+def group_key(by: Sequence[str]) -> Column:
+    """The group columns as one value that is never null itself, so that a
+    join on it keeps groups whose columns are null."""
+    return F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+
+
 def hash_tile_cuts(df: DataFrame, key: Sequence[str], k: int, seed: int) -> tuple[list[int], int]:
     """Hash keys at the tile borders of :func:`hash_tiles`, and the row count."""
     def ranks(_, n):
@@ -237,7 +248,7 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed: int, by: Sequence[str] =
     per-group values costs no further join on a skewed key.
     """
     shift = HASH_BITS - bucket_bits(df.sparkSession)
-    group = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    group = group_key(by)
     keyed = (df.withColumn("_g", group).withColumn("_h", hash_key(key, seed))
              .withColumn("bucket", F.shiftright("_h", shift).cast("int")))
     offsets = running(keyed.groupBy("_g", "bucket").agg(F.count("*").alias("_n")), ["_g"], ["_n"])
