@@ -212,3 +212,8 @@ def adaptive_sample_fixed_columns(spark, d):
         (F.col(LINE_FEATURES[i % 4]) * (1 + i // 4) + F.col(LINE_FEATURES[(i + i // 4) % 4])).alias(f"x{i + 1}")
         for i in range(28)])
     return smp.adaptive_sample(wide, None, LINE_KEY, preset="fixed_columns").select(*LINE_KEY)
+
+
+@query("sampling_times")
+def sampling_times(spark, d):
+    return smp.sampling_times(lines(spark, d), LINE_FEATURES, LINE_KEY, 2396)

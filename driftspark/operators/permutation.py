@@ -19,8 +19,10 @@ from driftspark.functions.hashing import PERM_BITS, PERM_PRIME, perm_hash
 from driftspark.operators.wasserstein import Projected, directions, w1_of
 from driftspark.plans.buckets import NULL_BUCKET, order_statistics, spread, tile_by_cuts
 
-# Label columns worked on at a time, which bounds a task's memory.
-PERM_CHUNK = 64
+# Label cells (rows x permutations) worked on at a time: bounds a task's memory.
+LABEL_CELLS = 4_000_000
+# Cut points handed to the executors: directions x buckets.
+MAX_CUTS = 32_768
 # Histogram buckets per permutation when a label border is looked for.
 CUT_BITS = 7
 # Rows of one direction that a task sorts at a time.
@@ -66,10 +68,13 @@ def _null_by_labels(long: DataFrame, cuts: list[int], n_dirs: int) -> DataFrame:
     """(perm, swd) of all relabellings from rows (feature_id, bucket, value, side, _a, _b)."""
     n_perm = len(cuts) + 1
     border = np.array([0, *cuts], dtype=np.int64)
-    spans = [(i, min(i + PERM_CHUNK, n_perm)) for i in range(0, n_perm, PERM_CHUNK)]
+
+    def spans(rows: int) -> list[tuple[int, int]]:
+        step = max(1, LABEL_CELLS // max(1, rows))
+        return [(i, min(i + step, n_perm)) for i in range(0, n_perm, step)]
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        ones = np.concatenate([_labels(pdf, border, i, j).sum(axis=0) for i, j in spans])
+        ones = np.concatenate([_labels(pdf, border, i, j).sum(axis=0) for i, j in spans(len(pdf))])
         return pd.DataFrame({
             "feature_id": [pdf["feature_id"].iloc[0]], "bucket": [pdf["bucket"].iloc[0]],
             "n": [len(pdf)], "lo": [pdf["value"].min()], "hi": [pdf["value"].max()],
@@ -99,7 +104,7 @@ def _null_by_labels(long: DataFrame, cuts: list[int], n_dirs: int) -> DataFrame:
         step = np.diff(rows["value"].to_numpy())
         rank = o["rows_before"] + np.arange(1, len(rows))[:, None]
         parts = []
-        for i, j in spans:
+        for i, j in spans(len(rows)):
             done = _labels(rows, border, i, j).cumsum(axis=0)[:-1] + o["before"][i:j]
             total = o["total"][i:j]
             share = np.abs(done / np.maximum(total, 1)
@@ -167,7 +172,7 @@ def swd_null(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Seque
         raise ValueError("both samples need rows without nulls")
     border = _cuts(p.z, n_permutations, n0, n1, split)
     if n_buckets is None:
-        n_buckets = max(1, min(4096, (n0 + n1) // ROWS_PER_BUCKET))
+        n_buckets = max(1, min(4096, MAX_CUTS // n_projections, (n0 + n1) // ROWS_PER_BUCKET))
     buckets = p.cuts(n_buckets)
     if fresh:
         pooled = sorted({v for c in p.names for v in buckets[c]})[:: max(1, len(p.names))]

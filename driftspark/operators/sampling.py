@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -206,3 +207,17 @@ def adaptive_sample(df: DataFrame, features: Sequence[str] | None, key: Sequence
         chosen = max(1, t_eff - 1)
     out = prefix(blocks, chosen)
     return out if keep_block else out.drop("block_id")
+
+
+def sampling_times(df: DataFrame, features: Sequence[str], key: Sequence[str], n: int,
+                   seed: int = 42) -> DataFrame:
+    """Rows and wall time of the samplers on one table: ``(method, n_rows, seconds)``."""
+    ways = {"adaptive": lambda: adaptive_sample(df, features, key, seed=seed),
+            "by_key": lambda: sample_rows(df, key, n, seed),
+            "bernoulli": lambda: sample_rows(df, key, n, seed, fast=True)}
+    rows = []
+    for name, draw in ways.items():
+        start = time.perf_counter()
+        count = draw().count()
+        rows.append((name, count, time.perf_counter() - start))
+    return df.sparkSession.createDataFrame(rows, "method string, n_rows long, seconds double")
