@@ -100,7 +100,7 @@ def manifest_windows(spark, d):
     stored = spark.read.parquet(base)
     files.write_manifest(base, stored, manifest)
     listed = files.read_manifest(spark, manifest)
-    return (stored.join(F.broadcast(listed), F.col("window_id") == F.col("window_idx"))
+    return (stored.join(listed, F.col("window_id") == F.col("window_idx"))
             .groupBy("window_idx").agg(F.count("*").alias("cnt")))
 
 

@@ -269,5 +269,5 @@ def swd_diagnostics(ref: DataFrame, det: DataFrame, features: Sequence[str], key
                       F.max(F.col("gap").cast("double")).alias("max_abs_diff"))
     dist = swd_directions(ref, det, features, key, n_projections, **kw).agg(
         F.max(F.when(F.col("proj") == 0, F.col("w1"))).alias("w1_first"),
-        F.avg("w1").alias("w1_mean"), F.stddev_pop("w1").alias("w1_std"))
-    return sizes.withColumn("_one", F.lit(1)).join(dist.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        F.avg("w1").alias("w1_mean"), F.stddev_pop("w1").alias("w1_std")).first()
+    return sizes.select("*", *[F.lit(dist[c]).cast("double").alias(c) for c in dist.asDict()])

@@ -53,24 +53,26 @@ class DriftMonitor:
         return recency_weights(evict(models, self.cfg.max_ensemble_size), self.cfg.recency_decay)
 
     def handle(self, df: DataFrame, batch: int) -> None:
-        done = self.results().select("batch", "retrained").collect()
-        if any(r["batch"] == batch for r in done) or df.isEmpty():
+        b = F.col("batch")
+        past = self.results().agg(
+            F.count_if(b == batch).alias("done"),
+            F.max(F.when(F.col("retrained") & (b < batch), b)).alias("reference")).first()
+        if past["done"] or df.isEmpty():
             return
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self._step(df, batch, done)
+            self._step(df, batch, past["reference"])
         finally:
             df.unpersist()
 
-    def _step(self, df: DataFrame, batch: int, done: list) -> None:
-        earlier = [r["batch"] for r in done if r["retrained"] and r["batch"] < batch]
+    def _step(self, df: DataFrame, batch: int, reference: int | None) -> None:
         detector = DriftDetector(self.cfg, self.features, self.key)
-        if earlier:
-            detector.reference = self.spark.read.parquet(f"{self.folder}/reference/batch={max(earlier)}")
+        if reference is not None:
+            detector.reference = self.spark.read.parquet(f"{self.folder}/reference/batch={reference}")
             report, sample = detector.check(df)
         else:
             report, sample = {"swd": 0.0, "p_value": 1.0, "drift": False}, detector.sample(df)
-        retrain = not earlier or report["drift"]
+        retrain = reference is None or report["drift"]
         kind, auc, f1 = None, None, None
         if retrain:
             sample.write.mode("overwrite").parquet(f"{self.folder}/reference/batch={batch}")
