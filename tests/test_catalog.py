@@ -26,3 +26,19 @@ def test_entry(spark):
     assert df.columns == ["feature", "ks"]
     assert df.count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_workers_need_no_installed_package(sf, tmp_path):
+    """Run from another folder: task functions travel with the task."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = (f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; "
+            "from pyspark.sql import SparkSession; "
+            "s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '4')"
+            ".config('spark.ui.enabled', 'false').getOrCreate(); "
+            f"print('rows', e.queries()['swd_null'](s, {sf!r}).count(), e.queries()['swd_embeddings'](s, {sf!r}).count())")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows 31 1" in out.stdout, out.stderr[-2000:]

@@ -22,7 +22,7 @@ def fitted(rows):
     return learn.fit_all(train, valid, FEATURES, "label", types=["dt", "lr"])
 
 
-def test_hyperparameters():
+def test_hyperparameters(spark):
     p = learn.build_model(FEATURES, "label", "gbt", model_set="notebook", scale="std").getStages()
     assert p[-1].getMaxIter() == 50 and p[-1].getMinInstancesPerNode() == 500 and not p[1].getWithMean()
     rf = learn.build_model(FEATURES, "label", "rf").getStages()[-1]
@@ -84,7 +84,8 @@ def test_block_trees_and_clusters(rows):
 @pytest.mark.parametrize("when", ["before", "after"])
 def test_window_loop(spark, rows, when):
     moved = rows.withColumn("a", F.when(F.col("window_id") == 2, F.col("a") + 2).otherwise(F.col("a")))
-    cfg = drift.EnsembleConfig(n_projections=4, n_permutations=39, model_types=["dt"], max_ensemble_size=1,
+    cfg = drift.EnsembleConfig(n_projections=4, n_permutations=199, drift_alpha=0.01, model_types=["dt"],
+                               max_ensemble_size=1,
                                static_model=when == "after")
     data = drift.DataConfig("stream", window_paths=["-"], feature_cols=FEATURES, key_cols=KEY)
     loop = drift.DriftAwareEnsemble(cfg, data, spark)
