@@ -5,6 +5,7 @@ from __future__ import annotations
 from driftspark.llm.decontaminate import op10_decontaminate
 from driftspark.llm.html_text import op9_html_text
 from driftspark.llm.pii import op5_pii
+from driftspark.llm.quality_rules import OP1_SQL, op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op5_pii, op9_html_text, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_pii, op9_html_text, op10_decontaminate)}
+ORACLES = {"op1_quality_rules": OP1_SQL}
