@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftspark.plans.workdir import new_path
+from driftspark.plans.workdir import new_path, work_base
 
 SLICE = 512  # rows that are Python objects at one time
 
@@ -64,5 +64,14 @@ def write_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, for rounds that replace each other: Spark removes
+    its files when the frame is no longer used and the session says so."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_base(df.sparkSession))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
