@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from driftspark.llm.attention import op6_attention
 from driftspark.llm.decontaminate import op10_decontaminate
 from driftspark.llm.html_text import op9_html_text
 from driftspark.llm.mixing import OP2_SQL, op2_mixing
 from driftspark.llm.pii import op5_pii
 from driftspark.llm.quality_rules import OP1_SQL, op1_quality_rules
+from driftspark.llm.repeats import op7_repeats
 from driftspark.llm.sharding import op8_sharding
 from driftspark.llm.simhash import op3_simhash
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_simhash, op5_pii, op8_sharding, op9_html_text, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_simhash, op5_pii, op6_attention, op7_repeats, op8_sharding,
+                                 op9_html_text, op10_decontaminate)}
 ORACLES = {"op1_quality_rules": OP1_SQL, "op2_mixing": OP2_SQL}

@@ -25,7 +25,7 @@ component. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,10 +140,27 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Every row with ``fingerprint`` (16 hex digits) and ``component_id``."""
-    made = ["fingerprint", "component_id"]
-    rows = add_columns(df.withColumn("__text", col(text)), ["__text"], lambda texts: [[fingerprint(t) for t in texts]],
-                       [T.StructField("__fp", T.LongType())]).drop("__text")
-    return _with_components(rows, ident, made)
+    rows = add_columns(df, [text], lambda texts: [[fingerprint(t) for t in texts]], [T.StructField("__fp", T.LongType())])
+    return _with_components(rows, ident, ["fingerprint", "component_id"])
+
+
+def keep_one(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """One row of each near-duplicate group: the one of least id (nulls last),
+    of several with that id the one of least text hash.
+
+    The choice is made on (fingerprint, id, text hash, row number) alone; row
+    numbers are those of a table written first, so a lost executor reads the
+    same ones. Texts are shuffled once, to meet the chosen numbers.
+    """
+    rows = add_columns(df, [text], lambda texts: [[fingerprint(t) for t in texts]], [T.StructField("__fp", T.LongType())])
+    rows = write_table(rows.withColumn("__row", F.monotonically_increasing_id()), "simhash-texts")
+    pick = F.struct(col(ident).isNull().alias("none"), col(ident).alias("id"), F.xxhash64(col(text)).alias("hash"), "__row")
+    slim = write_table(rows.select("__fp", pick.alias("pick")), "simhash-picks")
+    best = write_table(slim.groupBy("__fp").agg(F.min("pick").alias("pick")), "simhash-nodes")
+    roots = components(links(best.select(F.col("__fp").alias("fp"))))
+    chosen = best.join(roots, F.col("__fp") == F.col("node"), "left").groupBy(
+        F.coalesce("root", "__fp").alias("root")).agg(F.min("pick").alias("pick")).select("pick.__row")
+    return rows.join(chosen, "__row", "left_semi").select(*map(col, without(rows, ["__fp", "__row"])))
 
 
 def _with_components(rows: DataFrame, ident: str, made: list[str]) -> DataFrame:
