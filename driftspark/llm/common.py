@@ -40,20 +40,25 @@ def add_columns(df: DataFrame, inputs: list[str], fn: Callable, fields: list[T.S
 
     kept = without(df, [f.name for f in fields])
     extra = [c for c in inputs if c not in kept]
-    sent = df.select(*map(col, kept), *(col(c).alias(f"__in_{i}") for i, c in enumerate(extra)))
+    # numbered names on the way: mapInArrow bears no dots or quotes in names
+    sent = df.select(*(col(c).alias(f"c{i}") for i, c in enumerate([*kept, *extra])))
     where = [kept.index(c) if c in kept else len(kept) + extra.index(c) for c in inputs]
     types = [to_arrow_type(f.dataType) for f in fields]
-    names, n = [*kept, *(f.name for f in fields)], len(kept)
+    n = len(kept)
+    made = [T.StructField(f"r{i}", f.dataType) for i, f in enumerate(fields)]
+    names = [*(f"c{i}" for i in range(n)), *(f.name for f in made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                made = fn(*(part.column(i).to_pylist() for i in where))
+                out = fn(*(part.column(i).to_pylist() for i in where))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(n)), *(pa.array(x, t) for x, t in zip(made, types))], names=names)
+                    [*(part.column(i) for i in range(n)), *(pa.array(x, t) for x, t in zip(out, types))], names=names)
 
-    return sent.mapInArrow(run, T.StructType([*df.select(*map(col, kept)).schema.fields, *fields]))
+    back = sent.mapInArrow(run, T.StructType([*sent.schema.fields[:n], *made]))
+    return back.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)),
+                       *(F.col(f"r{i}").alias(f.name) for i, f in enumerate(fields)))
 
 
 def write_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

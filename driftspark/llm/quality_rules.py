@@ -119,6 +119,10 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
     out = df.select(*map(col, without(df, made)), whole.alias("__text"), split_words(whole).alias("__words"),
                     F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("__lines"))
     out = out.withColumn("__judged", F.transform("__lines", lambda x: F.struct(x.alias("line"), failed_rule(x).alias("rule"))))
+
+    def n_failing(rule: str) -> Column:
+        return F.size(F.filter("__judged", lambda x: x["rule"] == rule)).cast("long")
+
     kept_lines = F.transform(F.filter("__judged", lambda x: x["rule"] == ""), lambda x: x["line"])
     out = out.withColumns({
         "n_words": F.size("__words").cast("long"),
@@ -127,8 +131,7 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": repeat_words(F.col("__words")),
         "clean_text": F.array_join(kept_lines, "\n"),
-        **{f"n_{rule}": F.size(F.filter("__judged", lambda x, rule=rule: x["rule"] == rule)).cast("long")
-           for rule in ("punctuation", "navigation", "boilerplate")}})
+        **{f"n_{rule}": n_failing(rule) for rule in ("punctuation", "navigation", "boilerplate")}})
     left = F.length(F.regexp_replace("clean_text", SPACES, ""))
     out = out.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
