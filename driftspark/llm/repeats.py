@@ -207,7 +207,8 @@ def find_contexts(df: DataFrame, text: str, ident: str) -> DataFrame:
                     names=["h", "r1", "r2", "pos"])
 
     marks = write_table(docs.mapInArrow(cut, kind), "repeat-anchors")
-    twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that both sides of the join are shuffles whose large keys Spark can split
+    twice = write_table(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeat-hashes")
     spots = marks.join(twice, "h").groupBy("r1", "r2").agg(F.collect_set(F.struct("pos", "h")).alias("spots"))
     made = T.StructType([T.StructField("h", T.LongType()), T.StructField("ck", T.BinaryType()), T.StructField("lead", T.LongType()),
                          T.StructField("ctx", T.BinaryType()), T.StructField("r1", T.LongType()), T.StructField("r2", T.LongType()),
@@ -242,7 +243,7 @@ def repeat_groups(contexts: DataFrame) -> DataFrame:
 
     distinct = write_table(contexts.groupBy("h", "ck", "lead").agg(
         F.sum(F.size("at")).alias("n"), F.first("ctx").alias("ctx")), "repeat-distinct")
-    width = distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    width = write_table(distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "repeat-widths")
     several = distinct.join(width, "h")
     whole = distinct.where((F.col("n") > 1) & (F.length("ctx") >= LENGTH)).select(
         "h", "ck", "lead", F.lit(-1).cast("long").alias("grp"), F.lit(0).cast("long").alias("start"),
