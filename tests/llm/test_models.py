@@ -1,0 +1,121 @@
+"""Classifiers and the pipeline: held-out accuracy, odd rows, plain code."""
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from llm.cases import ROWS, clashing, documents
+
+import corpus_pipeline
+from driftspark.llm import attention, licences
+from driftspark.llm.registry import QUERIES
+
+WHOLE = "/root/testdata/sf0.01"
+
+
+def test_attention_gradient():
+    """The fit follows the slope of its own loss: it separates two kinds."""
+    good = [f"the old mill of the town {i} stood by the river and the people liked it." for i in range(60)]
+    bad = [f"BUY!! NOW!! {i} $$$ ### |||" for i in range(60)]
+    model = attention.fit(good + [g + "\n" + b for g, b in zip(good, bad)], [1] * 60 + [0] * 60)
+    s = np.array(model.scores(good + [g + "\n" + b for g, b in zip(good, bad)]))
+    assert s[:60].min() > 0.7 > 0.3 > s[60:].max()
+
+
+def test_attention_long_text_in_pieces(monkeypatch):
+    model = attention.fit(["a b c d", "X!! Y!!"] * 8, [1, 0] * 8)
+    text = "some words here and there\n" * 3000
+    whole = model.scores([text, "", None, "a"])
+    monkeypatch.setattr(attention, "PIECE", 26 * 100)  # whole lines
+    assert model.scores([text, "", None, "a"]) == pytest.approx(whole, abs=5e-3)  # a piece ends a line
+    assert attention.fit([], []).scores(["a", None]) == [0.5, 0.5]
+
+
+def test_attention_rows(spark):
+    labels = spark.createDataFrame([(r[0], i % 3 if i % 3 < 2 else None, 0) for i, r in enumerate(ROWS)], "doc_id long, quality int, toxic int")
+    model = attention.train(documents(spark), labels)
+    out = attention.score(clashing(documents(spark), ["score"]), model).collect()
+    assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
+    none = attention.train(documents(spark, []), labels.limit(0))
+    assert {r["score"] for r in attention.score(documents(spark), none).collect()} == {0.5}
+
+
+def test_attention_held_out(spark):
+    out = QUERIES["op6_attention"](spark, WHOLE).toPandas()
+    labels = spark.read.parquet(f"{WHOLE}/labels.parquet").toPandas()
+    assert (out.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in out.doc_id]).all()
+    assert ((out.score >= 0.7) == (out.predicted == 1)).all()
+    both = out[out.held_out].merge(labels, on="doc_id")
+    assert (both.predicted == both.quality).mean() > 0.93
+    assert both[both.quality == 1].predicted.mean() > 0.96
+
+
+def test_licences(spark):
+    texts = ["The mill is old.\nThis work is licensed under the GNU General Public License, version 3.\nThe end of it all is here.",
+             "He got his driving licence in May and the public was free to see it.", "released under the mit license",
+             "word " * 200 + "Licensed under the Apache License, Version 2.0. " + "and so it went " * 100, None, "", "a b c"]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)] + ROWS
+    docs = documents(spark, rows)
+    model, floor = licences.train(docs)
+    out = licences.scan(clashing(docs, ["family", "Line"]), model, floor).collect()
+    assert {(r["doc_id"], r["line"], r["family"]) for r in out} == {(0, 1, "GPL"), (2, 0, "MIT"), (3, 0, "Apache-2.0")}
+    assert "odd. name`s" in out[0].asDict()
+    assert licences.scan(documents(spark, []), *licences.train(documents(spark, []))).count() == 0
+
+
+def test_licences_query(spark):
+    docs = spark.read.parquet(f"{WHOLE}/documents.parquet").select("doc_id", "text").collect()
+    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
+             "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC"}
+    want = Counter((r["doc_id"], lines[x]) for r in docs for x in r["text"].split("\n") if x in lines)
+    got = Counter((r["doc_id"], r["family"]) for r in QUERIES["op4_licences"](spark, WHOLE).collect())
+    assert got == want
+
+
+def test_pipeline(spark, sf):
+    """Every stage on what the one before kept."""
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    kept[""] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.write_table(stage(spark, docs, sf), "test-stage")
+        kept[name] = docs.collect()
+        if name != "sharded":
+            assert docs.columns == before.columns
+    from driftspark.llm import decontaminate, simhash
+    model = attention.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    good = {i: t for i, t in kept[""].items() if model.scores([t])[0] >= 0.7}
+    assert {r["doc_id"] for r in kept["quality"]} == set(good)
+    prints = {i: simhash.fingerprint(t) % (1 << 64) for i, t in good.items()}
+    todo, least = sorted(good), set()
+    while todo:
+        group, new = set(), [todo[0]]
+        while new:
+            group |= set(new)
+            new = [i for i in todo if i not in group and any((prints[i] ^ prints[j]).bit_count() <= 4 for j in new)]
+        least.add(min(group))
+        todo = [i for i in todo if i not in group]
+    assert {r["doc_id"] for r in kept["near_duplicates"]} == least
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    scan = decontaminate.scan_part(bench)
+    clean = set()
+    for i in least:
+        runs, _, counts, _ = scan([good[i]], [None], [None], [None], [None])
+        hit = sum(b - a for a, b in runs[0])
+        if not (hit and 20 * hit >= counts[0]):
+            clean.add(i)
+    assert {r["doc_id"] for r in kept["decontaminated"]} == clean
+    times = Counter(r["doc_id"] for r in kept["mixed"])
+    assert set(times) <= clean and max(times.values()) <= 2
+    assert Counter(r["doc_id"] for r in kept["sharded"]) == times
+    assert Counter(r["text"] for r in kept["mixed"]) == Counter({t: c for t, c in Counter(good[i] for i in times.elements()).items()})
+
+
+def test_pipeline_on_odd_rows(spark, sf, tmp_path):
+    """Stages bear nulls, repeated rows and empty tables."""
+    for rows in (ROWS, []):
+        docs = documents(spark, rows)
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            docs = corpus_pipeline.write_table(stage(spark, docs, sf), "test-odd")
+        assert docs.count() >= (5 if rows else 0)
+    assert corpus_pipeline.quality(spark, documents(spark), sf).count() <= len(ROWS)
