@@ -219,6 +219,24 @@ def windows_in_a_row(spark, d):
     return rounded(swd_by_window(w, "window_id", LINE_FEATURES, LINE_KEY, N_DIRS), "swd")
 
 
+_GAP = "CASE WHEN (extract('year' FROM l_shipdate) - 1995) >= 3 THEN 2 ELSE 0 END + (extract('year' FROM l_shipdate) - 1995)"
+
+
+@query("windows_with_a_gap", f"""
+  WITH s AS (SELECT ({_GAP})::INTEGER AS window_id, {', '.join(LINE_FEATURES)} FROM lineitem),
+  o AS (SELECT window_id AS prev, lead(window_id) OVER (ORDER BY window_id) AS window_id FROM (SELECT DISTINCT window_id FROM s)),
+  m AS (SELECT o.window_id, {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}' for f in LINE_FEATURES)} FROM s JOIN o ON s.window_id = prev WHERE o.window_id IS NOT NULL GROUP BY 1),
+  b AS (SELECT window_id, 1 AS side, {', '.join(LINE_FEATURES)} FROM s UNION ALL SELECT o.window_id, 0, {', '.join(LINE_FEATURES)} FROM s JOIN o ON s.window_id = prev),
+  z AS (SELECT window_id, side, {', '.join(f'({f} - m_{f}) / s_{f} AS {f}' for f in LINE_FEATURES)} FROM b JOIN m USING (window_id)),
+  p AS ({sql_projected('z', LINE_FEATURES, _DIRS, ['side', 'window_id'])}),
+  w AS ({sql_w1('SELECT * FROM p', 'window_id, g')})
+  SELECT window_id, round(avg(w1), 6) AS swd FROM w GROUP BY 1""")
+def windows_with_a_gap(spark, d):
+    y = F.year("l_shipdate") - 1995
+    w = lines(spark, d).withColumn("window_id", y + F.when(y >= 3, 2).otherwise(0))
+    return rounded(swd_by_window(w, "window_id", LINE_FEATURES, LINE_KEY, N_DIRS), "swd")
+
+
 @query("swd_diagnostics", f"""
   WITH {_SIDES}, z AS ({sql_z('sides', LINE_FEATURES, 'reference', ['side'])}), p AS ({sql_projected('z', LINE_FEATURES, ws.directions(20, 4, 42), ['side'])}), w AS ({sql_w1('SELECT * FROM p')}),
   c AS (SELECT count(*) FILTER (side = 0) AS n_ref, count(*) FILTER (side = 1) AS n_det FROM sides),
@@ -282,9 +300,13 @@ def swd_report_share(spark, d):
     return _report(spark, d, "ge_mean")
 
 
-@query("null_density")
+@query("null_density", _null_sql() + """
+  , n AS (SELECT swd FROM dist WHERE perm > 0), m AS (SELECT min(swd) AS lo, max(swd) AS hi, count(*) AS n FROM n)
+  SELECT least(floor((swd - lo) / (hi - lo) * 10), 9)::INTEGER AS bin, count(*) AS cnt, round(any_value(lo), 6) AS lo,
+    round(any_value(hi), 6) AS hi, round(count(*) / (any_value(n) * (any_value(hi) - any_value(lo)) / 10), 4) AS density
+  FROM n, m GROUP BY 1""")
 def density(spark, d):
-    return null_density(_null(spark, d), 10)
+    return rounded(rounded(null_density(_null(spark, d), 10), "lo", "hi"), "density", digits=4)
 
 
 def _balances(spark, d):

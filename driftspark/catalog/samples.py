@@ -37,10 +37,17 @@ def sample_plan(spark, d):
         F.round(F.least(F.lit(1.0), target * 1.5 / F.col("total")), 6).alias("fraction"))
 
 
-@query("block_partitions")
+@query("block_partitions", """
+  SELECT 50 AS parts, count(*) AS n_rows, true AS keys_together, true AS even FROM lineitem""")
 def block_partitions(spark, d):
-    return (smp.into_blocks(lines(spark, d), 50, LINE_KEY).groupBy(F.spark_partition_id().alias("part"))
-            .agg(F.count("*").alias("cnt")))
+    """Facts about the layout: how many partitions hold rows, that no key is
+    in two of them, and that none holds twice its share."""
+    b = smp.into_blocks(lines(spark, d), 50, LINE_KEY).withColumn("part", F.spark_partition_id())
+    keys = b.groupBy(*LINE_KEY).agg(F.countDistinct("part").alias("parts")).agg(F.max("parts").alias("most"))
+    sizes = b.groupBy("part").agg(F.count("*").alias("cnt"))
+    one = keys.first()["most"] == 1
+    return sizes.agg(F.count("*").cast("int").alias("parts"), F.sum("cnt").alias("n_rows"), F.lit(one).alias("keys_together"),
+                     (F.max("cnt") < 2 * F.avg("cnt")).alias("even"))
 
 
 @query("coarse_subset", f"SELECT o_orderkey FROM orders WHERE {sql_hash(43, *ORDER)} % 3 = 2")
@@ -74,11 +81,18 @@ def block_prefix(spark, d):
     return smp.prefix(smp.assign_blocks(lines(spark, d), LINE_KEY, 50), 5).select(*LINE_KEY)
 
 
-@query("block_files", f"SELECT block_id, count(*) AS cnt FROM ({_BLOCKS}) WHERE block_id < 5 GROUP BY 1")
+@query("sample_rows_repeated_key", f"""
+  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+  ORDER BY {sql_hash(42, 'l_orderkey')}, l_orderkey, l_linenumber, l_quantity, l_extendedprice LIMIT 1001""")
+def sample_rows_repeated_key(spark, d):
+    rows = lines(spark, d).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return smp.sample_rows(rows, ["l_orderkey"], 1001)
+
+
+@query("block_files", f"SELECT block_id, count(*) AS cnt FROM ({_BLOCKS}) GROUP BY 1")
 def block_files(spark, d):
-    b = smp.assign_blocks(lines(spark, d), LINE_KEY, 50).repartition("block_id")
-    stored = write_blocks(b, new_path(spark, "blocks"))
-    return smp.prefix(stored, 5).groupBy("block_id").agg(F.count("*").alias("cnt"))
+    stored = write_blocks(smp.assign_blocks(lines(spark, d), LINE_KEY, 50), new_path(spark, "blocks"))
+    return stored.groupBy("block_id").agg(F.count("*").alias("cnt"))
 
 
 @query("block_pick", f"""
@@ -94,7 +108,7 @@ def sample_rows(spark, d):
     return smp.sample_rows(table(spark, d, "orders"), ORDER, 2396).select("o_orderkey", "o_totalprice")
 
 
-@query("sample_rows_fast")
+@query("sample_rows_fast", f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {sql_hash(42, *ORDER)} LIMIT 2396")
 def sample_rows_fast(spark, d):
     return smp.sample_rows(table(spark, d, "orders"), ORDER, 2396, fast=True).select("o_orderkey", "o_totalprice")
 
@@ -151,19 +165,18 @@ def _steps(source: str, features, t_max: int) -> str:
   chosen AS (SELECT coalesce(min(t) - 1, {t_max - 1}) AS m FROM (SELECT t, max(ks) AS ks FROM ks GROUP BY t) WHERE ks <= 0.02)"""
 
 
-_FLAG_A = "SELECT * FROM lineitem WHERE l_returnflag = 'A'"
-_A50 = f"SELECT *, ntile(50) OVER (ORDER BY {sql_hash(42, *LINE_KEY)}) - 1 AS block_id FROM ({_FLAG_A})"
+_A50 = f"SELECT *, ntile(50) OVER (ORDER BY {sql_hash(42, *LINE_KEY)}) - 1 AS block_id FROM lineitem"
 
 
 @query("convergence", f"WITH b AS ({_A50}), {_steps('b', LINE_FEATURES, 20)} SELECT t::INTEGER AS t, feature, round(ks, 9) AS ks FROM ks")
 def convergence(spark, d):
-    b = smp.assign_blocks(lines(spark, d, "A"), LINE_KEY, 50)
+    b = smp.assign_blocks(lines(spark, d), LINE_KEY, 50)
     return smp.convergence(b, LINE_FEATURES).withColumn("ks", F.round("ks", 9))
 
 
 @query("convergence_points")
 def convergence_points(spark, d):
-    b = smp.assign_blocks(lines(spark, d, "A"), LINE_KEY, 50)
+    b = smp.assign_blocks(lines(spark, d), LINE_KEY, 50)
     return smp.convergence(b, LINE_FEATURES, exact=False)
 
 
@@ -171,7 +184,7 @@ def convergence_points(spark, d):
   WITH b AS ({_A50}), {_steps('b', LINE_FEATURES, 20)}
   SELECT {_ROWS}, l_quantity FROM b, chosen WHERE block_id < m""")
 def adaptive_sample(spark, d):
-    return smp.adaptive_sample(lines(spark, d, "A"), LINE_FEATURES, LINE_KEY).select(*LINE_KEY, "l_quantity")
+    return smp.adaptive_sample(lines(spark, d), LINE_FEATURES, LINE_KEY).select(*LINE_KEY, "l_quantity")
 
 
 @query("adaptive_sample_bounded", f"""

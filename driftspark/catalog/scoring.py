@@ -189,6 +189,14 @@ def confusion(spark, d):
     return met.confusion(scored(spark, d))
 
 
+@query("confusion_three_classes", """
+  WITH s AS (SELECT label % 3 AS y, vec_id % 4 AS p FROM embeddings), c AS (SELECT DISTINCT y AS k FROM s UNION SELECT DISTINCT p FROM s)
+  SELECT a.k::INTEGER AS label, b.k::INTEGER AS prediction, (SELECT count(*) FROM s WHERE y = a.k AND p = b.k) AS cnt FROM c a, c b""")
+def confusion_three_classes(spark, d):
+    e = table(spark, d, "embeddings").select((F.col("label") % 3).alias("label"), (F.col("vec_id") % 4).alias("prediction"))
+    return met.confusion(e)
+
+
 @query("score_hist", f"""
   WITH s AS ({_SCORED}), m AS (SELECT label, min(score) AS lo, max(score) AS hi FROM s GROUP BY 1)
   SELECT label, least(floor((score - lo) / (hi - lo) * 30), 29)::INTEGER AS bin, count(*) AS cnt FROM s JOIN m USING (label) GROUP BY 1, 2""")

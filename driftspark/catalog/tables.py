@@ -171,9 +171,11 @@ def random_ints(spark, d):
     return table(spark, d, "orders").select("o_orderkey", random_int(["o_orderkey"], 10, 5).alias("part"))
 
 
-@query("row_ids")
+@query("row_ids", "SELECT count(*) AS n_rows, count(*) AS n_ids, count(DISTINCT o_orderkey) AS n_keys FROM orders")
 def row_ids(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", row_id().alias("rid"))
+    """Ids depend on the layout, but no two rows share one."""
+    return table(spark, d, "orders").select("o_orderkey", row_id().alias("rid")).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("rid").alias("n_ids"), F.countDistinct("o_orderkey").alias("n_keys"))
 
 
 @query("rounded_values", "SELECT event_id, round(value / 7, 6) AS v FROM events")
@@ -332,7 +334,17 @@ def equal_height(spark, d):
     return extra.equal_height_bounds(lines(spark, d), "l_extendedprice", 20)
 
 
-@query("split_overshoot")
+@query("split_overshoot", """
+  WITH RECURSIVE m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) // 20 AS goal FROM lineitem),
+  c AS (SELECT bin, count(*) AS cnt, row_number() OVER (ORDER BY bin) AS i FROM (
+    SELECT least(floor((l_extendedprice - lo) / (hi - lo) * 200), 199)::INTEGER AS bin FROM lineitem, m) GROUP BY bin),
+  f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS here, 0::BIGINT AS g, NULL::BIGINT AS worst
+    UNION ALL SELECT c.i, CASE WHEN g >= 20 THEN here WHEN here + cnt >= goal THEN 0 ELSE here + cnt END,
+      g + CASE WHEN g < 20 AND here + cnt >= goal THEN 1 ELSE 0 END,
+      CASE WHEN g < 20 AND here + cnt >= goal THEN greatest(coalesce(worst, here + cnt - goal), here + cnt - goal) ELSE worst END
+    FROM f JOIN c ON c.i = f.i + 1, m)
+  SELECT (CASE WHEN here > 0 AND g < 20 THEN greatest(coalesce(worst, here - goal), here - goal) ELSE worst END)::DOUBLE AS overshoot
+  FROM f, m ORDER BY i DESC LIMIT 1""")
 def split_overshoot(spark, d):
     return extra.split_overshoot(lines(spark, d), "l_extendedprice", 200, 20)
 

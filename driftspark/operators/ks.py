@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -57,7 +58,9 @@ def ks_samples(df: DataFrame, features: Sequence[str], member: str,
         raise ValueError("feature columns must be non-empty")
     if nulls not in ("drop", "count"):
         raise ValueError(f"unknown null mode {nulls!r}")
-    cuts = cuts or fit_cuts(df, features, n_buckets)
+    if not cuts:
+        # the cut points are where an inexact distance is looked at
+        cuts = fit_cuts(df, features, n_buckets) if exact or bounds else exact_cuts(df, features, n_buckets)
     long = to_long(df, features, cuts, [member], keep_nulls=nulls == "count")
     m, k = range(len(samples)), range(len(pairs))
     inside = [f"CASE WHEN {s} THEN 1 ELSE 0 END" for s in samples]
@@ -130,6 +133,12 @@ def quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
     return out
 
 
+def exact_cuts(df: DataFrame, features: Sequence[str], n_buckets: int) -> dict[str, list[float]]:
+    """Exact quantiles of all rows as cut points, the same for any layout."""
+    q = quantiles(df, features, [i / n_buckets for i in range(1, n_buckets)])
+    return {c: sorted({v for v in q[c] if math.isfinite(v)}) or [0.0] for c in features}
+
+
 def quantile_table(df: DataFrame, features: Sequence[str], probs: Sequence[float],
                    exact: bool = True) -> DataFrame:
     """:func:`quantiles` as rows ``(feature, p, value)``."""

@@ -68,7 +68,8 @@ def build_model(features: Sequence[str], label: str, model_type: str = "dt", see
 
 def evaluators(label: str, raw: str = "rawPrediction", prediction: str = "prediction") -> dict:
     return {
-        "auc": BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=raw, metricName="areaUnderROC"),
+        "auc": BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=raw, metricName="areaUnderROC",
+                                             numBins=0),  # every distinct score, no binning
         "f1": MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName="f1"),
         "accuracy": MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction,
                                                       metricName="accuracy"),

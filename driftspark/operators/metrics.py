@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.plans.buckets import NULL_BUCKET, fit_cuts, group_key, no_nan, running, tile_by_cuts
+from driftspark.plans.workdir import new_path
 
 
 def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
@@ -75,15 +76,28 @@ def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "predicti
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction",
               by: Sequence[str] = (), classes: Sequence[int] = (0, 1)) -> DataFrame:
-    """Rows per (label, prediction) on the full grid of ``classes``."""
-    cells = [(a, b) for a in classes for b in classes]
-    wide = df.groupBy(*by).agg(*[
-        F.count_if((F.col(label) == a) & (F.col(prediction) == b)).alias(f"n_{i}")
-        for i, (a, b) in enumerate(cells)])
-    grid = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("label"), F.lit(b).alias("prediction"), F.col(f"n_{i}").alias("cnt"))
-        for i, (a, b) in enumerate(cells)])).alias("_x")
-    return wide.select(*by, grid).select(*by, "_x.*")
+    """Rows per (label, prediction) on the grid of ``classes`` and of whatever
+    other labels and predictions the data holds: no row is left out. A null
+    label or prediction is a class of its own, shown where it occurs."""
+    counts = df.groupBy(*by, F.col(label).cast("int").alias("_y"), F.col(prediction).cast("int").alias("_p")).agg(
+        F.count("*").alias("_n"))
+    # small from here on: one row per group and cell
+    grid = F.array_sort(F.array_distinct(F.concat(F.array(*[F.lit(c) for c in classes]), F.flatten(F.collect_set(
+        F.filter(F.array("_y", "_p"), lambda x: x.isNotNull())).over(Window.partitionBy())))))
+    cells = counts.withColumn("_grid", grid).groupBy(*by).agg(
+        F.collect_list(F.struct("_y", "_p", "_n")).alias("_seen"), F.first("_grid").alias("_grid"))
+    if not by:  # without rows there is no group to carry the grid
+        cells = cells.withColumn("_grid", F.coalesce("_grid", F.array(*[F.lit(c) for c in classes])))
+
+    def seen(a, b):
+        return F.aggregate(F.filter("_seen", lambda x: x["_y"].eqNullSafe(a) & x["_p"].eqNullSafe(b)),
+                           F.lit(0).cast("long"), lambda n, x: n + x["_n"])
+
+    full = F.flatten(F.transform("_grid", lambda a: F.transform("_grid", lambda b: F.struct(
+        a.alias("label"), b.alias("prediction"), seen(a, b).alias("cnt")))))
+    missing = F.transform(F.filter("_seen", lambda x: x["_y"].isNull() | x["_p"].isNull()), lambda x: F.struct(
+        x["_y"].alias("label"), x["_p"].alias("prediction"), x["_n"].alias("cnt")))
+    return cells.select(*by, F.explode(F.concat(full, missing)).alias("_x")).select(*by, "_x.*")
 
 
 def _bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -95,12 +109,14 @@ def _bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Rows per bin between each group's own smallest and largest value."""
     rows = df.select(group_key(by).alias("_g"), no_nan(value).alias("_v")).dropna(subset=["_v"])
-    # joined to rows already counted per value: no group makes a large task
-    counts = rows.groupBy("_g", "_v").agg(F.count("*").alias("n"))
-    span = counts.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    # one small row per group; written, so that Spark knows its size when it picks the join
+    span = rows.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    path = new_path(df.sparkSession, "spans")
+    span.write.parquet(path)
+    span = df.sparkSession.read.schema(span.schema).parquet(path)
     at = _bin(F.col("_v"), F.col("lo"), F.col("hi"), bins)
-    return (counts.join(span, "_g").groupBy("_g", at.alias("bin"))
-            .agg(F.sum("n").alias("cnt"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    return (rows.join(span, "_g").groupBy("_g", at.alias("bin"))
+            .agg(F.count("*").alias("cnt"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
             .select(*[F.col(f"_g.{c}").alias(c) for c in by], "bin", "cnt", "lo", "hi"))
 
 

@@ -8,6 +8,7 @@ copy of the rows per permutation, no loop of jobs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,25 +24,42 @@ from driftspark.plans.buckets import NULL_BUCKET, order_statistics, spread, tile
 LABEL_CELLS = 4_000_000
 # Cut points handed to the executors: directions x buckets.
 MAX_CUTS = 32_768
-# Histogram buckets per permutation when a label border is looked for.
-CUT_BITS = 7
-# Rows of one direction that a task sorts at a time.
-ROWS_PER_BUCKET = 4096
+# Deviations around its expected place within which a label border is ranked.
+BAND = 8
+# Permutations counted in one expression.
+PERMS_AT_ONCE = 50
+# Rows of one direction that a task sorts at a time: wished for, and at most.
+ROWS_PER_BUCKET, MOST_ROWS = 4096, 262_144
 
 
 def permutation_cuts(keyed: DataFrame, perms: Sequence[int], n_first: int) -> dict[int, int]:
     """Per permutation, the hash key of its ``n_first``-th row."""
     if n_first <= 0:
         return {p: -1 for p in perms}
-    ids = F.array(*[F.lit(p) for p in perms])
-    if len(perms) > 1:
-        # every row is about to become one row per permutation
-        keyed = spread(keyed.select("_a", "_b"), "_a")
-    long = (keyed.select("_a", "_b", F.explode(ids).alias("feature_id"))
-            .select("feature_id", perm_hash(F.col("_a"), F.col("_b"), F.col("feature_id")).alias("value"))
-            .withColumn("bucket", F.shiftright("value", PERM_BITS - CUT_BITS).cast("int")))
-    found, _ = order_statistics(long, lambda _, n: [min(n, n_first)])
-    return {fid: v for (fid, _), v in found.items()}
+    n = keyed.count()
+    n_first = min(n, n_first)
+    # The hash is uniform, so the border lies close to its expected place: rows
+    # below the band are counted where they are, and only the band is ranked.
+    share = n_first / max(1, n)
+    wide = int(PERM_PRIME * (BAND * math.sqrt(share * (1 - share) / max(1, n)) + 2 / max(1, n)))
+    lo, hi = max(0, int(PERM_PRIME * share) - wide), min(PERM_PRIME, int(PERM_PRIME * share) + wide)
+    below, perms = {}, list(perms)
+    for i in range(0, len(perms), PERMS_AT_ONCE):
+        part = perms[i:i + PERMS_AT_ONCE]
+        row = keyed.agg(*[F.count_if(perm_hash(F.col("_a"), F.col("_b"), F.lit(p)) < lo).alias(f"p{p}") for p in part]).first()
+        below |= {p: row[f"p{p}"] for p in part}
+    hashes = F.transform(F.array(*[F.lit(p) for p in perms]),
+                         lambda p: F.struct(p.alias("p"), perm_hash(F.col("_a"), F.col("_b"), p).alias("v")))
+    band = (keyed.select(F.explode(F.filter(hashes, lambda x: (x["v"] >= lo) & (x["v"] < hi))).alias("_x"))
+            .select(F.col("_x.p").alias("feature_id"), F.col("_x.v").alias("value"))
+            .withColumn("bucket", F.expr(f"cast((value - {lo}) div {max(1, (hi - lo) // 128)} AS int)")))
+    found, totals = order_statistics(band, lambda p, m: [r for r in [n_first - below[p]] if 0 < r <= m])
+    out = {p: v for (p, _), v in found.items()}
+    for p in (p for p in perms if p not in out):  # beyond the band: rank all rows of this permutation
+        every = (keyed.select(F.lit(p).alias("feature_id"), perm_hash(F.col("_a"), F.col("_b"), F.lit(p)).alias("value"))
+                 .withColumn("bucket", F.shiftright("value", PERM_BITS - 12).cast("int")))
+        out[p] = order_statistics(every, lambda _, m: [min(m, n_first)])[0][p, n_first]
+    return out
 
 
 def _cuts(keyed: DataFrame, n_permutations: int, n0: int, n1: int, split: str) -> list[int]:
@@ -172,7 +190,7 @@ def swd_null(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Seque
         raise ValueError("both samples need rows without nulls")
     border = _cuts(p.z, n_permutations, n0, n1, split)
     if n_buckets is None:
-        n_buckets = max(1, min(4096, MAX_CUTS // n_projections, (n0 + n1) // ROWS_PER_BUCKET))
+        n_buckets = max(1, min(4096, MAX_CUTS // n_projections, (n0 + n1) // ROWS_PER_BUCKET), -(-(n0 + n1) // MOST_ROWS))
     buckets = p.cuts(n_buckets)
     if fresh:
         pooled = sorted({v for c in p.names for v in buckets[c]})[:: max(1, len(p.names))]
@@ -205,17 +223,17 @@ def swd_report(null: DataFrame, alpha: float = 0.05, pvalue: str = "plus_one") -
             .withColumn("drift", F.col("p_value") < alpha))
 
 
-# Parameter sets of the test; ``max_rows`` samples each side first.
+# Parameter sets of the test, on all rows; ``max_rows`` may be given to sample
+# each side first.
 TEST_PRESETS = {
     "default": dict(n_projections=50, n_permutations=500),
-    "collected": dict(n_projections=100, n_permutations=99, max_rows=10_000, fresh=True,
+    "collected": dict(n_projections=100, n_permutations=99, fresh=True,
                       method="quantile_union", standardize="none", pvalue="ge_mean"),
     "frames": dict(n_projections=200, n_permutations=500, fresh=True, split="hash",
                    method="quantile_union", standardize="none", pvalue="ge_mean"),
     "fresh": dict(n_projections=50, n_permutations=500, fresh=True,
                   method="quantile_union", standardize="none", pvalue="ge_mean"),
-    "projected": dict(n_projections=50, n_permutations=500, method="sorted", standardize="self",
-                      max_rows=5000),
+    "projected": dict(n_projections=50, n_permutations=500, method="sorted", standardize="self"),
 }
 
 

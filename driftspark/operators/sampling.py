@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions.hashing import HASH_BITS, PERM_PRIME, hash_key, perm_hash, perm_parts
-from driftspark.operators.ks import ks_samples
+from driftspark.operators.ks import exact_cuts, ks_samples
 from driftspark.plans.buckets import (
     fit_cuts,
     hash_rank,
@@ -71,14 +71,13 @@ def prefix(blocks: DataFrame, t: int, col: str = "block_id") -> DataFrame:
 
 def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42,
                 fast: bool = False, oversample: float = 1.2) -> DataFrame:
-    """At most ``n`` random rows. ``fast`` draws with Spark's own sampler: one
-    pass less, but the rows then depend on the partitioning."""
+    """``n`` random rows, or all if there are fewer. ``fast`` first thins the
+    table by hash key to about ``oversample * n`` rows and looks for the border
+    in these only; the rows are the same, unless the thinned table is short."""
     if not fast:
         return smallest(df, key, n, seed)
-    total = df.count()
-    if total <= n:
-        return df
-    return df.sample(min(1.0, n * oversample / total), seed=seed).limit(n)
+    share = min(1.0, n * oversample / max(1, df.count()))
+    return smallest(df.where(hash_key(key, seed) < F.lit(int(share * 2**HASH_BITS))), key, n, seed)
 
 
 def split(df: DataFrame, key: Sequence[str], share: float = 0.8, seed: int = 42,
@@ -126,13 +125,14 @@ PRESETS = {
     "generic": dict(m=50, k=50, t_max=20),
     "fixed_columns": dict(m=50, k=50, t_max=20, features=[f"x{i}" for i in range(1, 29)]),
     "notebook": dict(m=512, k=50, t_max=20, features=[f"x{i}" for i in range(1, 6)]),
-    "bounded": dict(m=50, k=20, t_max=20, bounded=True),
+    # ``rows``: drawn before blocks are formed; by default it follows from epsilon and alpha
+    "bounded": dict(m=50, k=20, t_max=20, rows="auto"),
 }
 
 
 def bounded_target(k: int) -> int:
     """Rows drawn before blocks are formed in the bounded sampler."""
-    return min(10_000, max(4 * k, 2000))
+    return max(4 * k, 2000)
 
 
 def convergence(blocks: DataFrame, features: Sequence[str], t_from: int = 2, t_to: int = 20,
@@ -188,8 +188,9 @@ def adaptive_sample(df: DataFrame, features: Sequence[str] | None, key: Sequence
     if not features:
         raise ValueError("feature columns must be non-empty")
     df = coarse_subset(df, key, coarse_parts(p["m"], epsilon, alpha), seed)
-    if p.get("bounded"):
-        df = smallest(df, key, bounded_target(sample_size(epsilon, alpha)), seed + 2)
+    if p.get("rows"):
+        target = bounded_target(sample_size(epsilon, alpha)) if p["rows"] == "auto" else p["rows"]
+        df = smallest(df, key, target, seed + 2)
     cuts, n = hash_tile_cuts(df, key, p["k"], seed)
     if n == 0:
         raise ValueError("input window is empty")
@@ -198,7 +199,8 @@ def adaptive_sample(df: DataFrame, features: Sequence[str] | None, key: Sequence
     chosen, t = None, 2
     # one set of cut points, from the first blocks, serves all steps
     few = min(3, t_eff)
-    bins = fit_cuts(prefix(blocks, few), features, 256 if exact else 50, n * few // p["k"])
+    first = prefix(blocks, few)
+    bins = fit_cuts(first, features, 256, n * few // p["k"]) if exact else exact_cuts(first, features, 50)
     while chosen is None and t <= t_eff:
         stop = min(t_eff, 3 if t == 2 else 3 * t)
         chosen = first_converged(blocks, features, t, stop, epsilon_a2, exact, nulls, bins)

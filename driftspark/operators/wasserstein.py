@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 from driftspark.functions.hashing import perm_parts
 from driftspark.operators.ks import stack_sides
 from driftspark.operators.sampling import equal_sizes
-from driftspark.plans.buckets import CUT_SAMPLE_ROWS, feature_name, fit_cuts, running, spread, to_long
+from driftspark.plans.buckets import (
+    CUT_SAMPLE_ROWS,
+    bucket_count,
+    by_value,
+    feature_name,
+    fit_cuts,
+    running,
+    spread,
+    to_long,
+)
 
 # Above this many multiplications per row the projection leaves generated
 # code (whose methods grow too big to be compiled) for one matrix product per
@@ -193,19 +202,20 @@ def w1_of(method: str):
 
 
 def keyed_sides(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
-                seed: int, method: str = "exact") -> DataFrame:
+                seed: int) -> DataFrame:
     """Both sides, complete rows only, with two hash numbers ``_a``, ``_b``."""
     both = stack_sides(ref, det, [*key, *features]).dropna(subset=list(features))
-    if method == "sorted":
-        both = equal_sizes(both, ["side", *key], seed)
     a, b = perm_parts(["side", *key], seed)
-    return both.select("side", a.alias("_a"), b.alias("_b"), *features)
+    return both.withColumns({"_a": a, "_b": b})
 
 
 def w1_features(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
                 method: str = "exact", seed: int = 42, n_buckets: int = 64) -> DataFrame:
     """W1 per feature: ``(feature, w1)``."""
-    both = keyed_sides(ref, det, features, key, seed, method)
+    both = keyed_sides(ref, det, features, key, seed)
+    if method == "sorted":
+        both = equal_sizes(both, ["side", *key], seed)
+    both = both.select("side", "_a", *dict.fromkeys(features))
     cuts = fit_cuts(both, features, n_buckets)
     long = to_long(spread(both, "_a"), features, cuts, ["side"], salt="_a")
     return w1_of(method)(long, ["feature_id"]).select(feature_name(features).alias("feature"), "w1")
@@ -218,19 +228,22 @@ class Projected:
     def __init__(self, ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],
                  dirs: np.ndarray, seed: int, standardize: str, method: str):
         self.keep, self.features, self.dirs = ["side", "_a", "_b"], list(features), dirs
-        both = keyed_sides(ref, det, features, key, seed, method)
+        both = keyed_sides(ref, det, features, key, seed)
         moments = side_moments(both, features)
         self.n = [moments.get(s, {"n": 0})["n"] for s in (0, 1)]
+        if method == "sorted":  # after the moments, which are those of all rows
+            both, self.n = equal_sizes(both, ["side", *key], seed), [min(self.n)] * 2
         self.z = standardized(both, features, standardize, self.keep, moments)
         # every row is about to become one row per direction
         self.wide, self.names = project(spread(self.z, "_a"), features, dirs, self.keep)
 
     def cuts(self, n_buckets: int) -> dict[str, list[float]]:
         """Cut points per direction, from a sample taken before any shuffle."""
-        n, few = sum(self.n), self.z
-        if n > CUT_SAMPLE_ROWS:
-            few, n = few.sample(CUT_SAMPLE_ROWS / n, seed=1), CUT_SAMPLE_ROWS
-        return fit_cuts(project(few, self.features, self.dirs, [])[0], self.names, n_buckets, n)
+        n = sum(self.n)
+        n_buckets = bucket_count(n, n_buckets)
+        rows = min(n, max(CUT_SAMPLE_ROWS, 20 * n_buckets))
+        few = by_value(self.z, ["_a", "_b"], n, rows)
+        return fit_cuts(project(few, self.features, self.dirs, [])[0], self.names, n_buckets, rows)
 
     def long(self, cuts: dict[str, list[float]]) -> DataFrame:
         return to_long(self.wide, self.names, cuts, self.keep, salt="_a")

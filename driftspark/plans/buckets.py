@@ -19,18 +19,36 @@ from pyspark.sql import functions as F
 
 from driftspark.functions.hashing import HASH_BITS, hash_key
 
-# Rows looked at when cut points are estimated.
+# Rows looked at when cut points are estimated, at least.
 CUT_SAMPLE_ROWS = 50_000
+# Rows of a bucket, about, at most: more rows make more buckets.
+ROWS_PER_BUCKET = 1_000_000
 # Above every real bucket.
 NULL_BUCKET = 2**30
 # Parts a hot value is spread over.
 SALTS = 64
 
 
+def bucket_count(n: int, least: int) -> int:
+    """Buckets for ``n`` rows: ``least``, and more once a bucket would hold
+    over ROWS_PER_BUCKET."""
+    return max(least, -(-n // ROWS_PER_BUCKET))
+
+
 def bucket_bits(spark: SparkSession) -> int:
-    """log2 of the number of buckets: about twice the shuffle width."""
+    """log2 of the number of hash buckets: about twice the shuffle width, which
+    a session sets by the size of its data."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(16, max(5, (2 * width - 1).bit_length()))
+    return max(5, (2 * width - 1).bit_length())
+
+
+def by_value(df: DataFrame, cols: Sequence[str], n: int, rows: int) -> DataFrame:
+    """About ``rows`` of ``n`` rows, chosen by a hash of their values: the same
+    rows whatever the partitioning. Good to steer balance, not for estimates:
+    equal rows are in or out together."""
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(2**40)) < int(2**40 * rows / n))
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
@@ -53,13 +71,13 @@ def fit_cuts(df: DataFrame, cols: Sequence[str], n_buckets: int,
     A value met by two neighbouring quantiles is hot: it also gets a cut just
     above it, so that it sits alone in its bucket. Such a bucket never needs
     sorting, whatever share of the rows it holds. ``n`` saves a count when the
-    number of rows is known.
+    number of rows is known; large tables get more than ``n_buckets``.
     """
     if n_buckets < 2:
         return {c: [0.0] for c in cols}
     n = df.count() if n is None else n
-    if n > CUT_SAMPLE_ROWS:
-        df = df.sample(CUT_SAMPLE_ROWS / n, seed=1)
+    n_buckets = bucket_count(n, n_buckets)
+    df = by_value(df, df.columns, n, max(CUT_SAMPLE_ROWS, 20 * n_buckets))
     probs = ", ".join(f"{i / n_buckets!r}D" for i in range(1, n_buckets))
     # NaN as null; quantiles are looked for in ordinary values only
     row = df.selectExpr(*[
@@ -158,12 +176,17 @@ def order_statistics(long: DataFrame, ranks: Callable[[int, int], Sequence[int]]
             before += r["n"]
     if wanted:
         # literals: one per wanted rank, bounded by the arguments
-        slots = ", ".join(sorted({f"'{fid}:{bkt}'" for fid, bkt, _, _ in wanted}))
-        names = {f"{fid}:{bkt}:{rn}": (fid, rank) for fid, bkt, rn, rank in wanted}
-        rows = (long.selectExpr("concat(feature_id, ':', bucket) AS slot", "value")
-                .where(f"slot IN ({slots})")
-                .selectExpr("value", "concat(slot, ':', row_number() OVER (PARTITION BY slot ORDER BY value)) AS name")
-                .where("name IN (" + ", ".join(f"'{n}'" for n in names) + ")").collect())
+        slots = sorted({(fid << 32) + bkt for fid, bkt, _, _ in wanted})
+        number = {s: i for i, s in enumerate(slots)}
+        names = {(number[(fid << 32) + bkt] << 44) + rn: (fid, rank) for fid, bkt, rn, rank in wanted}
+        listed = ", ".join(f"{s}L" for s in slots)
+        place = f"array_position(array({listed}), slot) - 1" if len(slots) < 64 else (
+            "element_at(map_from_entries(array(" + ", ".join(f"struct({s}L, {i}L)" for s, i in number.items()) + ")), slot)")
+        rows = (long.selectExpr("shiftleft(cast(feature_id AS bigint), 32) + bucket AS slot", "value")
+                .where(f"slot IN ({listed})")
+                .selectExpr("value", "slot", "row_number() OVER (PARTITION BY slot ORDER BY value) AS rn")
+                .selectExpr("value", f"shiftleft({place}, 44) + rn AS name")
+                .where("name IN (" + ", ".join(f"{n}L" for n in names) + ")").collect())
         found.update({names[r["name"]]: r["value"] for r in rows})
     return found, totals
 
@@ -227,14 +250,25 @@ def hash_tiles(df: DataFrame, key: Sequence[str], k: int, seed: int, out: str) -
 
 
 def smallest(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """``n`` rows chosen at random: those with the smallest hash keys."""
+    """``n`` rows chosen at random: those with the smallest hash keys. Rows
+    that share the last key are taken in the order of their other values."""
     found, totals = order_statistics(hash_long(df, key, seed),
-                                     lambda _, total: [n] if 0 < n < total else [])
+                                     lambda _, total: [n, n + 1] if 0 < n < total else [])
     if n <= 0:
         return df.limit(0)
     if (0, n) not in found:
         return df
-    return df.where(hash_key(key, seed) <= F.lit(found[0, n]))
+    last, h = found[0, n], hash_key(key, seed)
+    if found[0, n + 1] != last:
+        return df.where(h <= F.lit(last))
+    # a repeated key at the border: the rows of this one key are put in order
+    below = df.where(h < F.lit(last))
+    left = n - below.count()
+    others = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    order = Window.partitionBy("_h").orderBy(*[F.col(f"`{c}`") for c in dict.fromkeys([*key, *others])])
+    at = (df.where(h == F.lit(last)).withColumn("_h", h).withColumn("_n", F.row_number().over(order))
+          .where(F.col("_n") <= left).drop("_h", "_n"))
+    return below.unionByName(at)
 
 
 def hash_rank(df: DataFrame, key: Sequence[str], seed: int, by: Sequence[str] = (),

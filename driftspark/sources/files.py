@@ -5,15 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from driftspark.functions.schemas import MANIFEST_SCHEMA
 
-# Most rows of a file list that are broadcast rather than shuffled.
-MAX_BROADCAST_FILES = 100_000
-FILES_PER_WINDOW = 8
+# Rows of one file of a window, about.
+ROWS_PER_FILE = 2_000_000
 
 
 def read_parquet(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
@@ -48,32 +47,35 @@ def file_windows(spark: SparkSession, directory: str, glob: str = "*.parquet") -
     """All files of a directory in one scan; ``window_id`` is the file's place
     in path order."""
     df = spark.read.option("pathGlobFilter", glob).parquet(directory)
-    # the part after the scheme: its slashes are not written alike everywhere
-    files = sorted({re.sub("^[a-z0-9]+:/+", "/", f) for f in df.inputFiles()})
-    if not files:
-        raise RuntimeError(f"no {glob} files in {directory}")
-    ids = spark.createDataFrame(list(zip(files, range(len(files)))), "_path string, window_id int")
-    if len(files) <= MAX_BROADCAST_FILES:
-        ids = F.broadcast(ids)
-    path = F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/+", "/")
-    return df.withColumn("_path", path).join(ids, "_path").drop("_path")
+    # one row per file: no column of the files is read for it
+    paths = df.select(F.col("_metadata.file_path").alias("_path")).distinct()
+    ids = paths.select("_path", (F.row_number().over(Window.orderBy("_path")) - 1).alias("window_id"))
+    return df.withColumn("_path", F.col("_metadata.file_path")).join(ids, "_path").drop("_path")
 
 
 def listed_windows(spark: SparkSession, paths: Sequence[str], **kw) -> DataFrame:
     """Listed paths, one window each, in list order."""
     if not paths:
         raise ValueError("window paths must be non-empty")
-    out = None
+    df = read_any(spark, list(dict.fromkeys(paths)), **kw)
+    # the path as listed is the file's own path or a folder above it
+    plain = F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/+", "/")
+    places = []  # a path may be listed more than once
     for i, p in enumerate(paths):
-        w = read_any(spark, p, **kw).withColumn("window_id", F.lit(i))
-        out = w if out is None else out.unionByName(w)
-    return out
-
-
-def write_windows(df: DataFrame, path: str, key: Sequence[str], files: int = FILES_PER_WINDOW) -> None:
-    """All windows in one job, ``files`` files each. A window is spread over
-    ``files`` tasks by row key, so a large one is no straggler."""
-    part = F.pmod(F.xxhash64(*key), F.lit(files))
+        inside = re.sub("^[a-z0-9]+:/+", "/", p).rstrip("/")
+        places.append(F.when((plain == inside) | plain.startswith(inside + "/"), i))
+    return df.withColumn("window_id", F.explode(F.array_compact(F.array(*places))))
+
+
+def write_windows(df: DataFrame, path: str, key: Sequence[str], files: int | None = None) -> None:
+    """All windows in one job. A window is spread over ``files`` tasks by row
+    key, or over as many as its rows ask for, so a large one is no straggler."""
+    rows = {r["window_id"]: r["count"] for r in df.groupBy("window_id").count().collect()}  # one row per window
+    many = F.lit(files or 1)
+    for w, n in rows.items():
+        if not files and n > ROWS_PER_FILE:
+            many = F.when(F.col("window_id") == w, -(-n // ROWS_PER_FILE)).otherwise(many)
+    part = F.pmod(F.xxhash64(*key), many)
     (df.withColumn("_part", part).repartition("window_id", "_part").drop("_part")
      .write.mode("overwrite").partitionBy("window_id").parquet(path))
 

@@ -57,26 +57,39 @@ def every_nth(df: DataFrame, offset: str, n: int = 10) -> DataFrame:
     return df.where(F.pmod(F.col(offset), F.lit(n)) == n - 1)
 
 
-def progress(query: StreamingQuery) -> list[dict]:
-    """Batch number and running row count so far."""
-    out, total = [], 0
-    for p in query.recentProgress:
-        total += p["numInputRows"]
-        out.append({"batch": p["batchId"], "rows": p["numInputRows"], "total": total})
-    return out
+def count_batches(df: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Writes one row ``(batch, rows)`` per micro-batch to ``folder``. A batch
+    that is repeated overwrites its own row."""
+    def count(part: DataFrame, batch: int) -> None:
+        (part.agg(F.lit(batch).cast("long").alias("batch"), F.count("*").alias("rows"))
+         .write.mode("overwrite").parquet(f"{folder.rstrip('/')}/part={batch}"))
+
+    writer = df.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def progress(spark: SparkSession, folder: str) -> DataFrame:
+    """``(batch, rows, total)``: the running row count over all batches."""
+    # one row per batch
+    so_far = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    return (spark.read.schema("batch long, rows long").parquet(folder)
+            .select("batch", "rows", F.sum("rows").over(so_far).alias("total")))
 
 
 # ---- publishing -----------------------------------------------------------
 
+NUMBER = r"(?i)^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?|nan|inf(inity)?)\s*$"
+
+
 def parse_rows(lines: DataFrame, names: Sequence[str], text: str = "value",
                keep: Sequence[str] = ()) -> DataFrame:
     """Lines of comma-separated numbers to double columns. Lines of another
-    width, or with a cell that is no number, are skipped."""
+    width, or with a cell that is no number, are skipped; NaN and infinity are
+    numbers."""
     cells = F.split(F.col(text), ",", -1)
-    wide = lines.select(*keep, cells.alias("_c")).where(F.size("_c") == len(names))
-    wide = wide.select(*keep, *[F.get("_c", F.lit(i)).try_cast("double").alias(n)
-                                for i, n in enumerate(names)])
-    return wide.dropna(subset=list(names)) if not keep else wide.where(
+    wide = lines.select(*keep, cells.alias("_c")).where(
+        (F.size("_c") == len(names)) & F.forall("_c", lambda c: c.rlike(NUMBER)))
+    return wide.select(*keep, *[F.get("_c", F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)]).where(
         F.forall(F.array(*[F.col(n) for n in names]), lambda x: x.isNotNull()))
 
 

@@ -14,7 +14,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from driftspark.operators.drift import DriftDetector, EnsembleConfig, recency
 from driftspark.operators.ensemble import evict, recency_weights
@@ -34,10 +33,12 @@ class DriftMonitor:
         self.features, self.key, self.label = list(features), list(key), label
 
     def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException:
+        """A state table, or None where there is none yet; any other trouble
+        with it is an error."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
+        return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def results(self) -> DataFrame:
         found = self._read("results")

@@ -218,6 +218,14 @@ def test_windows_in_a_row(spark):
     assert got[1] == pytest.approx(want, abs=1e-9)
 
 
+def test_windows_with_a_gap(spark):
+    pdf = pd.concat([make(200, i, i).assign(w=w, id=lambda d, i=i: d.id + 1000 * i) for i, w in enumerate([0, 2, 3])])
+    dense = pdf.assign(w=pdf.w.map({0: 0, 2: 1, 3: 2}))
+    got = {r.w: r.swd for r in swd_by_window(spark.createDataFrame(pdf), "w", COLS, ["id"], 6).collect()}
+    want = {r.w: r.swd for r in swd_by_window(spark.createDataFrame(dense), "w", COLS, ["id"], 6).collect()}
+    assert set(got) == {2, 3} and got[2] == pytest.approx(want[1]) and got[3] == pytest.approx(want[2])
+
+
 def test_diagnostics(sides):
     _, _, da, db = sides
     r = wasserstein.swd_diagnostics(da, da, COLS, ["id"]).first()

@@ -167,3 +167,46 @@ def test_block_pick(rows):
     b = sampling.assign_blocks(rows, ["id"], 20, mode="hash")
     ids = [r.block_id for r in extra.pick_blocks(b, "block_id", 6).collect()]
     assert len(set(ids)) == 6
+
+
+def test_repeated_key_at_the_border(spark):
+    """Exactly n rows, the same ones for any layout, though keys repeat."""
+    df = spark.range(1000).selectExpr("id % 40 AS k", "id AS v")
+    few = sorted(r.v for r in sampling.sample_rows(df, ["k"], 60).collect())
+    assert len(few) == 60
+    assert few == sorted(r.v for r in sampling.sample_rows(df.repartition(7), ["k"], 60).collect())
+
+
+def test_inexact_distance_does_not_depend_on_the_layout(rows):
+    got = [sorted(map(tuple, sampling.convergence(sampling.assign_blocks(rows.repartition(n), ["id"], 20), ["x", "y"], exact=False).collect()))
+           for n in (3, 7)]
+    assert got[0] == got[1]
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from driftspark.plans import buckets
+
+    monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 500)
+    for n in (4_000, 40_000):
+        df = spark.range(n).selectExpr("cast(pmod(id * 7919, 100003) AS double) AS v")
+        long = buckets.to_long(df, ["v"], buckets.fit_cuts(df, ["v"], 4))
+        assert long.groupBy("bucket").count().agg(F.max("count")).first()[0] < 1_000
+        found, _ = buckets.order_statistics(long, lambda _, m: [1, m // 2, m])
+        values = sorted((i * 7919) % 100003 for i in range(n))
+        assert [found[0, r] for r in (1, n // 2, n)] == [values[0], values[n // 2 - 1], values[-1]]
+
+
+def test_label_borders_outside_the_band(spark, monkeypatch):
+    """The border of a permutation is exact, inside the expected band or not."""
+    from driftspark.functions.hashing import perm_hash, perm_parts
+    from driftspark.operators import permutation
+    from pyspark.sql import functions as F
+
+    a, b = perm_parts(["id"], 3)
+    keyed = spark.range(900).select(a.alias("_a"), b.alias("_b")).cache()
+    want = {p: sorted(r[0] for r in keyed.select(perm_hash(F.col("_a"), F.col("_b"), F.lit(p))).collect())[299] for p in range(1, 6)}
+    assert permutation.permutation_cuts(keyed, range(1, 6), 300) == want
+    monkeypatch.setattr(permutation, "BAND", 0.01)
+    assert permutation.permutation_cuts(keyed, range(1, 6), 300) == want

@@ -1,5 +1,6 @@
 """Streams: equal to batch, and nothing twice after a restart."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,11 +37,15 @@ def test_restart_adds_nothing(spark, tmp_path):
     assert again.count() == 150 and again.select("id").distinct().count() == 150
 
 
-def test_console_and_progress(spark, tmp_path, capfd):
+def test_console_and_progress(spark, tmp_path):
     schema = batch(spark, f"{tmp_path}/src", 0, 30)
     q = ingest.console_sink(ingest.every_nth(ingest.file_source(spark, f"{tmp_path}/src", schema), "id", 10), once=True)
     q.awaitTermination()
-    assert ingest.progress(q)[-1]["total"] == 30
+    batch(spark, f"{tmp_path}/src", 30, 50)
+    source = ingest.file_source(spark, f"{tmp_path}/src", schema, files_per_trigger=1)
+    ingest.count_batches(source, f"{tmp_path}/counts", f"{tmp_path}/state", once=True).awaitTermination()
+    rows = ingest.progress(spark, f"{tmp_path}/counts").orderBy("batch").collect()
+    assert len(rows) > 1 and [r.total for r in rows] == list(np.cumsum([r.rows for r in rows])) and rows[-1].total == 50
 
 
 def test_published_stream(spark, tmp_path):

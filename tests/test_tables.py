@@ -50,6 +50,13 @@ def test_auc_and_roc(scored):
     assert metrics.auc(df.where("label = 1")).first().auc is None
 
 
+def spark_rows(df):
+    """Scored rows with further classes and a missing label."""
+    cols = {f.name: f.dataType for f in df.schema}
+    more = df.sparkSession.createDataFrame([(2.0, 0.0), (None, 3.0)], "label double, prediction double")
+    return df.select("label", "prediction").unionByName(more.select(*[more[c].cast(cols[c]).alias(c) for c in ("label", "prediction")]))
+
+
 def test_f1_accuracy_confusion(scored):
     y, s, df = scored
     p = (s >= 0.5).astype(int)
@@ -62,6 +69,9 @@ def test_f1_accuracy_confusion(scored):
     grid = {(r.label, r.prediction): r.cnt for r in metrics.confusion(df).collect()}
     assert grid == {(a, b): int(((y == a) & (p == b)).sum()) for a in (0, 1) for b in (0, 1)}
     assert metrics.confusion(df.limit(0)).count() == 4
+    odd = spark_rows(df)
+    more = {(r.label, r.prediction): r.cnt for r in metrics.confusion(odd).collect()}
+    assert sum(more.values()) == odd.count() and more[2, 0] == 1 and more[None, 3] == 1 and (3, 3) in more
 
 
 def test_histogram(scored, spark):
@@ -102,7 +112,7 @@ def test_windows_on_disk(spark, tmp_path):
     listed = files.read_manifest(spark, f"{tmp_path}/m").collect()
     assert [r.window_idx for r in listed] == [0, 1, 2, 3]
     assert sum(spark.read.parquet(r.path).count() for r in listed) == 1000
-    assert len(list((tmp_path / "w" / "window_id=0").glob("*.parquet"))) <= files.FILES_PER_WINDOW
+    assert len(list((tmp_path / "w" / "window_id=0").glob("*.parquet"))) <= 8
     sizes = files.file_sizes(spark, f"{tmp_path}/w", "*.parquet").collect()
     assert sum(r.bytes for r in sizes if r.file) == next(r.bytes for r in sizes if r.file is None)
 
@@ -148,9 +158,13 @@ def test_sensor_ten_minutes(spark):
 
 
 def test_publishing(spark, tmp_path):
-    lines = spark.createDataFrame([(0, "1,2.5,3"), (1, "1,2"), (2, "1,x,3"), (3, "4,5e1,6")], "pos int, value string")
+    lines = spark.createDataFrame([(0, "1,2.5,3"), (1, "1,2"), (2, "1,x,3"), (3, "4,5e1,6"), (4, "1d,2,3"), (5, "1, 2 ,"),
+                                   (6, "7,nan,8")], "pos int, value string")
     rows = ingest.parse_rows(lines, ["label", "x1", "x2"], keep=["pos"])
-    assert [tuple(r) for r in rows.orderBy("pos").collect()] == [(0, 1.0, 2.5, 3.0), (3, 4.0, 50.0, 6.0)]
+    assert repr([tuple(r) for r in rows.orderBy("pos").collect()]) == repr(
+        [(0, 1.0, 2.5, 3.0), (3, 4.0, 50.0, 6.0), (6, 7.0, float("nan"), 8.0)])
+    assert ingest.parse_rows(lines, ["label", "x1", "x2"]).count() == 3
+    rows = rows.where("pos < 6")
     m = ingest.to_messages(rows, ["label", "x1", "x2"], ["pos"])
     size = len('{"label":1.0,"x1":2.5,"x2":3.0}')
     assert ingest.within_bytes(m, "pos", size).count() == 1
