@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from driftspark.catalog.base import LINE_FEATURES, LINE_KEY, lines, query, table
 from driftspark.functions.hashing import hash_unit
 from driftspark.operators import learn
-from driftspark.operators.drift import DataConfig, DriftAwareEnsemble, EnsembleConfig
+from driftspark.operators.drift import DriftTest, Learning, Roles, WindowLoop
+from driftspark.operators.metrics import confusion
 from driftspark.operators.sampling import adaptive_sample, assign_blocks, split
 from driftspark.plans.workdir import new_path
 
@@ -105,13 +106,40 @@ def kmeans_on_sample(spark, d):
     return learn.cluster(sample, LINE_FEATURES, 4)[1]
 
 
-@query("drift_log")
-def drift_log(spark, d):
+def _loop(spark, d):
     """Windows by year, the last ones with shifted prices: cold start, quiet
     windows, drift, retraining."""
     df = orders(spark, d).withColumn("window_id", F.year("o_orderdate") - 1995)
     late = F.col("window_id") >= 4
     df = df.withColumn("o_totalprice", F.when(late, F.col("o_totalprice") * 1.5).otherwise(F.col("o_totalprice")))
-    cfg = EnsembleConfig(n_projections=10, n_permutations=99, model_types=["dt", "lr"], static_model=True)
-    data = DataConfig("stream", window_paths=["orders"], feature_cols=FEATURES, key_cols=KEY)
-    return DriftAwareEnsemble(cfg, data, spark).run(df)
+    return df, WindowLoop(spark, Roles(FEATURES, KEY), DriftTest(n_projections=10, n_permutations=99),
+                          Learning(["dt", "lr"], static=True))
+
+
+@query("drift_log")
+def drift_log(spark, d):
+    df, loop = _loop(spark, d)
+    return loop.run(df)
+
+
+_SCORED_ROWS = "SELECT (extract('year' FROM o_orderdate) - 1995)::BIGINT AS \"window\" FROM orders"
+
+
+@query("run_scores", f"SELECT \"window\", count(*) AS cnt, true AS in_range FROM ({_SCORED_ROWS}) WHERE \"window\" > 0 GROUP BY 1")
+def run_scores(spark, d):
+    """Every row of every window after the first is scored once."""
+    df, loop = _loop(spark, d)
+    loop.run(df)
+    s = loop.scores().groupBy(F.col("window").cast("long").alias("window"))
+    return s.agg(F.countDistinct("o_orderkey").alias("cnt"), F.bool_and(F.col("ensemble_score").between(0, 1)).alias("in_range"))
+
+
+@query("run_confusion", f"SELECT count(*) AS cnt, true AS agrees FROM ({_SCORED_ROWS}) WHERE \"window\" > 0")
+def run_confusion(spark, d):
+    """The confusion counts of a run hold all scored rows, and their diagonal
+    gives the accuracy of the log."""
+    df, loop = _loop(spark, d)
+    log = loop.run(df).where("accuracy IS NOT NULL").agg(F.sum(F.col("accuracy") * F.col("n")).alias("right")).first()["right"]
+    cells = confusion(loop.scores().withColumn("window", F.col("window").cast("int")), "label", "ensemble_prediction", ["window"])
+    right = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("cnt")).otherwise(0))
+    return cells.agg(F.sum("cnt").alias("cnt"), (F.abs(right - F.lit(log)) < 1e-6).alias("agrees"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftspark.catalog.base import query, rounded, table
-from driftspark.operators.drift import EnsembleConfig
+from driftspark.operators.drift import DriftTest, Learning, Roles
 from driftspark.plans.workdir import new_path
 from driftspark.streaming import ingest
 from driftspark.streaming.monitor import DriftMonitor
@@ -124,7 +124,7 @@ def drift_monitor(spark, d):
     e.repartitionByRange(3, "part").sortWithinPartitions("event_id").write.partitionBy("part").parquet(path)
     schema = e.drop("part").schema
     src = ingest.file_source(spark, f"{path}/*", schema, files_per_trigger=1)
-    cfg = EnsembleConfig(n_projections=5, n_permutations=39, model_types=["dt", "lr"])
-    m = DriftMonitor(spark, new_path(spark, "monitor"), cfg, ["value", "user_id"], ["event_id"], "label")
+    m = DriftMonitor(spark, new_path(spark, "monitor"), Roles(["value", "user_id"], ["event_id"]),
+                     DriftTest(n_projections=5, n_permutations=39), Learning(["dt", "lr"]))
     m.start(src, new_path(spark, "stream-state"), once=True).awaitTermination()
     return m.results()

@@ -38,9 +38,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder. Any other trouble
+    is an error."""
+    files, where = _place(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
+def remove_tree(spark: SparkSession, path: str) -> None:
+    files, where = _place(spark, path)
+    files.delete(where, True)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes one table that ``new_path`` named."""
     if not path.startswith(work_base(spark) + "/"):
         raise ValueError(f"{path} is not in the work folder")
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    remove_tree(spark, path)

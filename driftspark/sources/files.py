@@ -43,10 +43,15 @@ def read_any(spark: SparkSession, path: str | list[str], file_format: str = "par
     return df.withColumnsRenamed(rename or {})
 
 
-def file_windows(spark: SparkSession, directory: str, glob: str = "*.parquet") -> DataFrame:
+def file_windows(spark: SparkSession, directory: str, glob: str | None = None, file_format: str = "parquet",
+                 header: bool = True, schema: StructType | str | None = None) -> DataFrame:
     """All files of a directory in one scan; ``window_id`` is the file's place
     in path order."""
-    df = spark.read.option("pathGlobFilter", glob).parquet(directory)
+    reader = spark.read.option("pathGlobFilter", glob or f"*.{file_format}")
+    if file_format == "csv":
+        reader = reader.option("header", header)
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    df = reader.format(file_format).load(directory)
     # one row per file: no column of the files is read for it
     paths = df.select(F.col("_metadata.file_path").alias("_path")).distinct()
     ids = paths.select("_path", (F.row_number().over(Window.orderBy("_path")) - 1).alias("window_id"))

@@ -1,97 +1,41 @@
-"""Drift monitor on micro-batches.
-
-State is kept in tables under one folder, every file named by its batch:
-``reference/batch=N`` (samples), ``models/batch=N`` (saved models) and
-``results/batch=N`` (one row). A batch that is replayed after a failure finds
-its result row and does nothing, or overwrites its own files only.
-"""
+"""Drift monitor on micro-batches: every batch is one window of the loop in
+``operators/drift.py``, so a batch that is replayed after a failure finds its
+log entry and does nothing, or overwrites its own files only."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from driftspark.operators.drift import DriftDetector, EnsembleConfig, recency
-from driftspark.operators.ensemble import evict, recency_weights
-from driftspark.operators.learn import best_of, ensemble_predict, fit_all, load_model, save_model
-from driftspark.operators.sampling import split
+from driftspark.operators.drift import DriftTest, Learning, Roles, WindowLoop
 
-RESULT = ("batch long, n long, retrained boolean, drift boolean, swd double, p_value double, "
-          "model_type string, auc double, f1 double")
 
+class DriftMonitor(WindowLoop):
+    """``foreachBatch`` handler: score, sample, test, retrain on drift."""
 
-class DriftMonitor:
-    """``foreachBatch`` handler: sample, test, retrain on drift."""
+    def __init__(self, spark: SparkSession, folder: str, roles: Roles, test: DriftTest | None = None,
+                 learning: Learning | None = None):
+        super().__init__(spark, roles, test, learning, folder)
 
-    def __init__(self, spark: SparkSession, folder: str, cfg: EnsembleConfig,
-                 features: Sequence[str], key: Sequence[str], label: str | None = None):
-        self.spark, self.folder, self.cfg = spark, folder.rstrip("/"), cfg
-        self.features, self.key, self.label = list(features), list(key), label
-
-    def _read(self, name: str) -> DataFrame | None:
-        """A state table, or None where there is none yet; any other trouble
-        with it is an error."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+    def handle(self, df: DataFrame, batch: int) -> None:
+        self.step(df, batch)
 
     def results(self) -> DataFrame:
-        found = self._read("results")
-        if found is None:
-            return self.spark.createDataFrame([], RESULT)
-        return found.drop("part").orderBy("batch")
+        """One row per batch that had rows."""
+        return self.log().drop("reference", "members").withColumnRenamed("window", "batch")
 
     def members(self) -> DataFrame:
         """The living ensemble with its weights."""
-        models = (self.results().where("retrained and model_type is not null")
-                  .select(F.concat_ws("-", "batch", "model_type").alias("model_id"), "model_type",
-                          F.col("batch").alias("window_idx"), "auc", "f1"))
-        return recency_weights(evict(models, self.cfg.max_ensemble_size), self.cfg.recency_decay)
-
-    def handle(self, df: DataFrame, batch: int) -> None:
-        b = F.col("batch")
-        past = self.results().agg(
-            F.count_if(b == batch).alias("done"),
-            F.max(F.when(F.col("retrained") & (b < batch), b)).alias("reference")).first()
-        if past["done"] or df.isEmpty():
-            return
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            self._step(df, batch, past["reference"])
-        finally:
-            df.unpersist()
-
-    def _step(self, df: DataFrame, batch: int, reference: int | None) -> None:
-        detector = DriftDetector(self.cfg, self.features, self.key)
-        if reference is not None:
-            detector.reference = self.spark.read.parquet(f"{self.folder}/reference/batch={reference}")
-            report, sample = detector.check(df)
-        else:
-            report, sample = {"swd": 0.0, "p_value": 1.0, "drift": False}, detector.sample(df)
-        retrain = reference is None or report["drift"]
-        kind, auc, f1 = None, None, None
-        if retrain:
-            sample.write.mode("overwrite").parquet(f"{self.folder}/reference/batch={batch}")
-            if self.label:
-                fit, check = split(df, self.key, 0.8, self.cfg.seed)
-                best = best_of(fit_all(fit, check, self.features, self.label, batch, self.cfg.seed,
-                                       self.cfg.model_types, scale=self.cfg.scale))
-                save_model(best.model, f"{self.folder}/models/batch={batch}")
-                kind, auc, f1 = best.model_type, best.auc, best.f1
-        row = (batch, df.count(), retrain, report["drift"], report["swd"], report["p_value"], kind, auc, f1)
-        # written last: the row is what marks the batch as done
-        (self.spark.createDataFrame([row], RESULT).coalesce(1)
-         .write.mode("overwrite").parquet(f"{self.folder}/results/part={batch}"))
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        rows = self.members().orderBy("window_idx").collect()
-        models = [load_model(f"{self.folder}/models/batch={r['window_idx']}") for r in rows]
-        return ensemble_predict(df, list(zip(models, recency(len(rows), self.cfg.recency_decay))))
+        done = self.done()
+        alive = self._entry(done[-1])["members"] if done else []
+        rows = [(f"{m['window']}-{m['model_type']}", m["model_type"], m["window"], m["auc"], m["f1"], w)
+                for m, w in zip(alive, self.learning.weights(len(alive)))]
+        return self.spark.createDataFrame(
+            rows, "model_id string, model_type string, window_idx long, auc double, f1 double, weight double")
+
+    def rows_seen(self) -> int:
+        return self.log().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def start(self, stream: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint)

@@ -82,34 +82,35 @@ def test_block_trees_and_clusters(rows):
 
 
 @pytest.mark.parametrize("when", ["before", "after"])
-def test_window_loop(spark, rows, when):
+def test_window_loop(spark, rows, tmp_path, when):
     moved = rows.withColumn("a", F.when(F.col("window_id") == 2, F.col("a") + 2).otherwise(F.col("a")))
-    cfg = drift.EnsembleConfig(n_projections=4, n_permutations=199, drift_alpha=0.01, model_types=["dt"],
-                               max_ensemble_size=1,
-                               static_model=when == "after")
-    data = drift.DataConfig("stream", window_paths=["-"], feature_cols=FEATURES, key_cols=KEY)
-    loop = drift.DriftAwareEnsemble(cfg, data, spark)
+    folder = f"{tmp_path}/loop"
+    setup = (spark, drift.Roles(FEATURES, KEY), drift.DriftTest(0.01, 4, 199), drift.Learning(["dt"], keep=1, static=when == "after"))
+    # a run that was cut off after the first window goes on in a new session
+    drift.WindowLoop(*setup, folder=folder).run(moved.where("window_id = 0"), when)
+    loop = drift.WindowLoop(*setup, folder=folder)
     log = loop.run(moved, when).collect()
     assert [(r.window, r.retrained, r.drift) for r in log] == [(0, True, False), (1, False, False), (2, True, True)]
     assert (log[0].auc is None) == (when == "before") and log[1].auc > 0.7
     assert all(r.w_dt == pytest.approx(1.0) for r in log)
     assert (log[1].static_accuracy is None) == (when == "before")
-    assert [m.window_idx for m in loop.members] == [2]  # the older one was evicted
+    assert [m["window"] for m in loop._entry(2)["members"]] == [2]  # the older one was evicted
+    assert loop.scores().count() == (800 if when == "before" else 1200)
+    assert loop.predict(rows).where("ensemble_score between 0 and 1").count() == 1200
+    assert {w.name for w in (tmp_path / "loop" / "samples").glob("window=*")} == {"window=0", "window=2"}
 
 
 def test_window_tables(spark, rows, tmp_path):
     rows.write.parquet(f"{tmp_path}/t")
     rows.write.option("header", True).csv(f"{tmp_path}/c")
-    common = dict(feature_cols=FEATURES, key_cols=KEY)
-    split = drift.window_table(spark, drift.DataConfig("split", f"{tmp_path}/t", n_splits=3, **common))
+    split = drift.table_windows(spark, f"{tmp_path}/t", KEY, 3)
     assert [df.count() for _, df in drift.windows(split)] == [400, 400, 400]
-    listed = drift.window_table(spark, drift.DataConfig(
-        "stream", window_paths=[f"{tmp_path}/c"], file_format="csv", col_rename={"label": "y"},
-        csv_schema="id long, a double, b double, n double, window_id int, label int", **common))
+    schema = "id long, a double, b double, n double, window_id int, label int"
+    listed = drift.path_windows(spark, [f"{tmp_path}/c"], {"label": "y"}, file_format="csv", schema=schema)
     assert "y" in listed.columns
-    folder = drift.window_table(spark, drift.DataConfig("directory", f"{tmp_path}/t", **common))
-    assert folder.count() == 1200
-    for bad in (drift.DataConfig(**common), drift.DataConfig("stream", **common), drift.DataConfig("odd", "p", **common),
-                drift.DataConfig("split", "p", key_cols=KEY), drift.DataConfig("split", "p", feature_cols=FEATURES)):
+    assert drift.directory_windows(spark, f"{tmp_path}/t").count() == 1200
+    assert drift.directory_windows(spark, f"{tmp_path}/c", file_format="csv", schema=schema).count() == 1200
+    for bad in (lambda: drift.path_windows(spark, []), lambda: drift.table_windows(spark, f"{tmp_path}/t", KEY, 0),
+                lambda: drift.Roles([], KEY), lambda: drift.Roles(FEATURES, [])):
         with pytest.raises(ValueError):
-            bad.validate()
+            bad()

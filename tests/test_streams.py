@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftspark.operators.drift import EnsembleConfig
+from driftspark.operators.drift import DriftTest, Learning, Roles
 from driftspark.streaming import ingest
 from driftspark.streaming.monitor import DriftMonitor
 
@@ -74,8 +74,8 @@ def test_monitor(spark, tmp_path):
     src = f"{tmp_path}/src"
     for lo, shift in ((0, 0.0), (400, 0.0), (800, 3.0)):
         schema = batch(spark, src, lo, lo + 400, shift)
-        cfg = EnsembleConfig(n_projections=4, n_permutations=39, model_types=["dt"])
-        monitor = DriftMonitor(spark, f"{tmp_path}/mon", cfg, ["v", "w"], ["id"], "label")
+        monitor = DriftMonitor(spark, f"{tmp_path}/mon", Roles(["v", "w"], ["id"]), DriftTest(n_projections=4, n_permutations=39),
+                               Learning(["dt"]))
         stream = ingest.file_source(spark, src, schema, files_per_trigger=1)
         monitor.start(stream, f"{tmp_path}/state", once=True).awaitTermination()
     rows = monitor.results().collect()
@@ -84,6 +84,8 @@ def test_monitor(spark, tmp_path):
     # a replayed batch changes nothing
     monitor.handle(spark.read.parquet(src), 2)
     assert monitor.results().collect() == rows
+    assert rows[0].auc is None and rows[1].auc is not None and rows[2].auc is not None
+    assert monitor.scores().where("window = 2").count() == 400
     weights = [r.weight for r in monitor.members().orderBy("window_idx").collect()]
     assert weights == pytest.approx([1 / 3, 2 / 3])
     scored = monitor.predict(spark.read.parquet(src))
