@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftspark.plans.workdir import new_path, work_base
+from driftspark.plans.workdir import new_path, remove, work_base
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE = 512  # rows that are Python objects at one time
 
 
@@ -63,10 +64,23 @@ def add_columns(df: DataFrame, inputs: list[str], fn: Callable, fields: list[T.S
 
 def write_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written to the shared work folder and read back: later steps
-    start from files that outlive any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    start from files that outlive any executor, so Spark may drop the shuffle
+    files of this one at its end."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Removes a table of :func:`write_table` that nothing reads any more."""
+    remove(df.sparkSession, df.table_path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -146,10 +146,16 @@ def test_repeats_in_pieces(monkeypatch):
     """A text longer than CHUNK has the anchors of the whole."""
     import numpy as np
     data = " ".join(t for t in noisy_texts() if t).encode()
-    whole = repeats.anchors(data)
+    def of_windows(found):
+        """(hash, position) for every window."""
+        h, pos, lo, hi = found
+        return np.repeat(h, hi - lo + 1).tolist(), np.repeat(pos, hi - lo + 1).tolist(), [k for a, b in zip(lo, hi) for k in range(a, b + 1)]
+
+    whole = of_windows(repeats.anchors(data))
+    assert whole[2] == list(range(len(data) - 199))
+    assert all(k <= p <= k + 152 for k, p in zip(whole[2], whole[1]))
     monkeypatch.setattr(repeats, "CHUNK", 700)
-    parts = repeats.anchors(data)
-    assert np.array_equal(whole[1], parts[1]) and np.array_equal(whole[0], parts[0])
+    assert of_windows(repeats.anchors(data)) == whole
 
 
 def test_maximal_repeats_by_definition():
