@@ -60,9 +60,13 @@ def ks_points(spark, d):
     return rounded(ks.ks_points(*_ar(spark, d), LINE_FEATURES, exact=True), "ks", digits=9)
 
 
-@query("ks_points_sketch")
+@query("ks_points_sketch", " UNION ALL ".join(f"SELECT '{f}' AS feature, true AS close" for f in LINE_FEATURES))
 def ks_points_sketch(spark, d):
-    return ks.ks_points(*_ar(spark, d), LINE_FEATURES)
+    """Points from the sketch see at most the exact distance, and miss at most
+    what lies between two of them."""
+    some = ks.ks_points(*_ar(spark, d), LINE_FEATURES).withColumnRenamed("ks", "sketch")
+    return ks.ks_exact(*_ar(spark, d), LINE_FEATURES).join(some, "feature").select(
+        "feature", ((F.col("sketch") <= F.col("ks") + 1e-9) & (F.col("sketch") >= F.col("ks") - 0.05)).alias("close"))
 
 
 # ---- one-dimensional Wasserstein --------------------------------------------

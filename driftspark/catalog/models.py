@@ -1,4 +1,5 @@
-"""Training and drift handling: checked by row counts and by tests."""
+"""Training and drift handling: facts about models and runs that SQL can state,
+else row counts; the rest is checked by tests."""
 
 from __future__ import annotations
 
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 from driftspark.catalog.base import LINE_FEATURES, LINE_KEY, lines, query, table
 from driftspark.functions.hashing import hash_unit
 from driftspark.operators import learn
+from driftspark.operators import metrics as met
 from driftspark.operators.drift import DriftTest, Learning, Roles, WindowLoop
-from driftspark.operators.metrics import confusion
+from driftspark.operators.ensemble import MODEL_TYPES
 from driftspark.operators.sampling import adaptive_sample, assign_blocks, split
 from driftspark.plans.workdir import new_path
 
@@ -25,10 +27,14 @@ def orders(spark, d):
         "label", ((F.col("o_totalprice") / 500000 + F.col("month") / 24 + hash_unit(KEY, 12) / 3) > 0.85).cast("int"))
 
 
-@query("train_all")
+@query("train_all", " UNION ALL ".join(f"SELECT '{t}' AS model_type, true AS learns, true AS whole" for t in MODEL_TYPES))
 def train_all(spark, d):
+    """Every model type is fitted, does better than chance on the other rows,
+    and its figures lie between 0 and 1."""
     fit, check = split(orders(spark, d), KEY)
-    return learn.metrics_table(spark, learn.fit_all(fit, check, FEATURES, "label"))
+    t = learn.metrics_table(spark, learn.fit_all(fit, check, FEATURES, "label"))
+    return t.select("model_type", (F.col("auc") > 0.6).alias("learns"),
+                    (F.col("f1").between(0, 1) & F.col("accuracy").between(0, 1)).alias("whole"))
 
 
 @query("train_best")
@@ -44,26 +50,32 @@ def _members(spark, d):
     return df, models
 
 
-@query("ensemble_scores")
+@query("ensemble_scores", "SELECT o_orderkey, true AS in_range, true AS agrees FROM orders")
 def ensemble_scores(spark, d):
     df, models = _members(spark, d)
-    return learn.ensemble_predict(df, list(zip(models, [1 / 3, 2 / 3]))).select(
-        "o_orderkey", "label", "ensemble_score", "ensemble_prediction")
+    s = learn.ensemble_predict(df, list(zip(models, [1 / 3, 2 / 3])))
+    return s.select("o_orderkey", F.col("ensemble_score").between(0, 1).alias("in_range"),
+                    ((F.col("ensemble_score") >= 0.5).cast("double") == F.col("ensemble_prediction")).alias("agrees"))
 
 
-@query("ensemble_scores_joined")
+@query("ensemble_scores_joined", "SELECT o_orderkey, true AS same FROM orders")
 def ensemble_scores_joined(spark, d):
     df, models = _members(spark, d)
     parts = [learn.model_scores(df, KEY, m, f"p{i}") for i, m in enumerate(models)]
     out = learn.ensemble_by_join(df.select("o_orderkey", "label"), KEY, parts, ["p0", "p1"], [1 / 3, 2 / 3], merge=True)
-    return out.select("o_orderkey", "label", "ensemble_score", "ensemble_prediction")
+    chained = learn.ensemble_predict(df, list(zip(models, [1 / 3, 2 / 3]))).select("o_orderkey", F.col("ensemble_score").alias("chained"))
+    return out.join(chained, "o_orderkey").select("o_orderkey", (F.abs(F.col("ensemble_score") - F.col("chained")) < 1e-12).alias("same"))
 
 
-@query("ensemble_metrics")
+@query("ensemble_metrics", "SELECT true AS auc, true AS f1, true AS accuracy")
 def ensemble_metrics(spark, d):
+    """The evaluators agree with the exact figures of the scored rows."""
     df, models = _members(spark, d)
-    m = learn.evaluate_ensemble(df, list(zip(models, [1 / 3, 2 / 3])), "label")
-    return spark.createDataFrame([(m["auc"], m["f1"], m["accuracy"])], "auc double, f1 double, accuracy double")
+    members = list(zip(models, [1 / 3, 2 / 3]))
+    m, s = learn.evaluate_ensemble(df, members, "label"), learn.ensemble_predict(df, members)
+    exact = {"auc": met.auc(s, "label", "ensemble_score"), "f1": met.weighted_f1(s, "label", "ensemble_prediction"),
+             "accuracy": met.accuracy(s, "label", "ensemble_prediction")}
+    return spark.range(1).select(*[F.lit(bool(abs(v.first()[k] - m[k]) < 1e-9)).alias(k) for k, v in exact.items()])
 
 
 @query("compare_training")
@@ -84,13 +96,13 @@ def rescore_saved(spark, d):
     return learn.rescore_saved(paths, {"sample": adaptive_sample(df, FEATURES, KEY), "test": check}, "label")
 
 
-@query("static_baseline")
+@query("static_baseline", """SELECT extract('year' FROM o_orderdate)::INTEGER - 1995 AS "window", count(*) AS cnt, true AS good FROM orders GROUP BY 1""")
 def static_baseline(spark, d):
     """Trained on the first year, tested on every year."""
     df = orders(spark, d).withColumn("window", F.year("o_orderdate") - 1995)
     model = learn.static_baseline(df.where("window = 0"), FEATURES, "label", KEY)
     return model.transform(df).groupBy("window").agg(
-        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+        F.count("*").alias("cnt"), (F.avg((F.col("prediction") == F.col("label")).cast("double")) > 0.6).alias("good"))
 
 
 @query("block_trees")
@@ -140,6 +152,6 @@ def run_confusion(spark, d):
     gives the accuracy of the log."""
     df, loop = _loop(spark, d)
     log = loop.run(df).where("accuracy IS NOT NULL").agg(F.sum(F.col("accuracy") * F.col("n")).alias("right")).first()["right"]
-    cells = confusion(loop.scores().withColumn("window", F.col("window").cast("int")), "label", "ensemble_prediction", ["window"])
+    cells = met.confusion(loop.scores().withColumn("window", F.col("window").cast("int")), "label", "ensemble_prediction", ["window"])
     right = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("cnt")).otherwise(0))
     return cells.agg(F.sum("cnt").alias("cnt"), (F.abs(right - F.lit(log)) < 1e-6).alias("agrees"))

@@ -174,10 +174,18 @@ def convergence(spark, d):
     return smp.convergence(b, LINE_FEATURES).withColumn("ks", F.round("ks", 9))
 
 
-@query("convergence_points")
+@query("convergence_points", f"""
+  WITH b AS (SELECT * FROM ({_A50}) WHERE block_id < 20), long AS ({sql_long('b', LINE_FEATURES, 'block_id')}),
+  cuts AS (SELECT DISTINCT feature, unnest(quantile_cont(v, [{', '.join(repr(i / 50) for i in range(1, 50))}])) AS c FROM long GROUP BY feature),
+  vals AS (SELECT v.feature, v.v, count(c) AS bucket FROM (SELECT DISTINCT feature, v FROM long) v LEFT JOIN cuts ON cuts.feature = v.feature AND c <= v.v GROUP BY 1, 2),
+  cnt AS (SELECT t, long.feature, bucket, count(*) FILTER (block_id < t - 1) AS c0, count(*) FILTER (block_id < t) AS c1
+          FROM long JOIN vals USING (feature, v), (SELECT unnest(range(2, 21)) AS t) GROUP BY 1, 2, 3),
+  e AS (SELECT t, feature, (sum(c0) OVER w)::DOUBLE / sum(c0) OVER p AS a, (sum(c1) OVER w)::DOUBLE / sum(c1) OVER p AS b FROM cnt
+        WINDOW w AS (PARTITION BY t, feature ORDER BY bucket), p AS (PARTITION BY t, feature))
+  SELECT t::INTEGER AS t, feature, round(max(abs(a - b)), 9) AS ks FROM e GROUP BY 1, 2""")
 def convergence_points(spark, d):
     b = smp.assign_blocks(lines(spark, d), LINE_KEY, 50)
-    return smp.convergence(b, LINE_FEATURES, exact=False)
+    return smp.convergence(b, LINE_FEATURES, exact=False).withColumn("ks", F.round("ks", 9))
 
 
 @query("adaptive_sample", f"""

@@ -303,9 +303,17 @@ def exact_quantiles(spark, d):
     return q.select("feature", F.round(F.col("p") * 49).cast("int").alias("i"), F.round("value", 6).alias("value"))
 
 
-@query("approx_quantiles")
+@query("approx_quantiles", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {p!r}::DOUBLE AS p, true AS close" for f in LINE_FEATURES for p in PROBS))
 def approx_quantiles(spark, d):
-    return quantile_table(lines(spark, d), LINE_FEATURES, PROBS, exact=False)
+    """The sketch promises a rank error of one hundredth: held against the
+    shares of all rows below and up to each value."""
+    df = lines(spark, d)
+    q = quantile_table(df, LINE_FEATURES, PROBS, exact=False).collect()  # features x probabilities
+    share = [(F.avg((F.col(r.feature) < r.value).cast("double")), F.avg((F.col(r.feature) <= r.value).cast("double"))) for r in q]
+    cells = F.array(*[F.struct(F.lit(r.feature).alias("feature"), F.lit(r.p).alias("p"), ((a <= r.p + 0.011) & (b >= r.p - 0.011)).alias("close"))
+                      for r, (a, b) in zip(q, share)])
+    return df.agg(cells.alias("x")).select(F.inline("x"))
 
 
 @query("shuffled_rank", f"""
