@@ -168,10 +168,15 @@ def shard_documents(docs: DataFrame, n_shards: int | None = None, target_bytes:
     crc = lambda c: F.crc32(F.encode(c, "UTF-8"))
     rows = write_table(docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"),
                                    crc(text).alias("text_crc32"), F.xxhash64(text).alias("__text")), "shard-docs")
-    same = rows.groupBy("__text").agg(F.min("source").alias("__source"), F.min("lang").alias("__lang"))
+    # only texts that occur more than once; written, so that Spark sees its size and can split a large group's join
+    same = write_table(rows.groupBy("__text").agg(F.min("source").alias("__s"), F.min("lang").alias("__l"), F.count("*").alias("__n"))
+                       .where("__n > 1"), "shard-copies")
+    alone = F.col("__n").isNull()
+    rows = rows.join(same, "__text", "left").withColumns({
+        "__source": F.when(alone, F.col("source")).otherwise(F.col("__s")), "__lang": F.when(alone, F.col("lang")).otherwise(F.col("__l"))})
     dims = [F.shiftright(crc(F.col("__source")), 1), F.shiftright(crc(F.col("__lang")), 1), F.shiftright("text_crc32", 1),
             F.log2("size") * 60_000_000]
-    out = shard(rows.join(same, "__text"), dims, F.col("size"), F.col("__text"), ("doc_id",), n_shards, target_bytes)
+    out = shard(rows, dims, F.col("size"), F.col("__text"), ("doc_id",), n_shards, target_bytes)
     out = write_table(out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard"), "shards")
     return with_slots(out, ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
