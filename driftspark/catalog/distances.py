@@ -246,11 +246,13 @@ def windows_with_a_gap(spark, d):
   c AS (SELECT count(*) FILTER (side = 0) AS n_ref, count(*) FILTER (side = 1) AS n_det FROM sides),
   m AS (SELECT count(*) FILTER (a <> b) = 0 AS same FROM (SELECT count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM sides GROUP BY {', '.join(LINE_KEY)}))
   SELECT n_ref, n_det, (SELECT same FROM m) AS identical,
+    (SELECT round(max(g), 6)::DOUBLE FROM (SELECT greatest({', '.join(f'max({f}) FILTER (side = {a}) - min({f}) FILTER (side = {1 - a})' for f in LINE_FEATURES for a in (0, 1))}) AS g
+       FROM sides GROUP BY {', '.join(LINE_KEY)})) AS max_abs_diff,
     (SELECT round(w1, 6) FROM w WHERE g = 0) AS w1_first, (SELECT round(avg(w1), 6) FROM w) AS w1_mean,
     (SELECT round(stddev_pop(w1), 6) FROM w) AS w1_std FROM c""")
 def swd_diagnostics(spark, d):
     r = ws.swd_diagnostics(*_ar(spark, d), LINE_FEATURES, LINE_KEY)
-    return rounded(r.drop("max_abs_diff"), "w1_first", "w1_mean", "w1_std")
+    return rounded(r, "max_abs_diff", "w1_first", "w1_mean", "w1_std")
 
 
 # ---- permutation test -------------------------------------------------------
