@@ -28,6 +28,8 @@ from driftspark.plans.buckets import (
 # code (whose methods grow too big to be compiled) for one matrix product per
 # Arrow batch.
 MAX_INLINE_TERMS = 256
+# Quantile levels listed by one row at a time.
+LEVELS = 10_000
 
 
 def directions(n: int, dim: int, seed: int) -> np.ndarray:
@@ -149,21 +151,31 @@ def _at_levels(stats: DataFrame, group: Sequence[str], d: Column, first: int) ->
 
     Whole numbers only: level i of a sample of size n lies at position
     (n-1)*i/d, so the levels between two order statistics are a range of i.
+    Products of two row counts are decimals: they may pass 64 bits. A range of
+    more than LEVELS is cut into parts that are spread before they are listed,
+    so that one value of a small sample makes neither a long array nor a
+    long task.
     """
-    k, m, i = F.col("k"), F.col("n") - 1, F.col("i")
+    k, m = F.col("k"), F.col("n") - 1
     stats = stats.withColumn("d", d)
 
     def up(rank):  # ceil(rank * d / (n - 1))
-        return F.expr(f"CASE WHEN n = 1 THEN 0L ELSE ({rank} * d + n - 2) DIV greatest(n - 1, 1L) END")
+        return F.expr(f"CASE WHEN n = 1 THEN 0L ELSE (cast({rank} AS decimal(19, 0)) * cast(d AS decimal(18, 0)) + n - 2) "
+                      "DIV greatest(n - 1, 1L) END")
 
     low = F.greatest(up("k"), F.lit(first))
     high = F.when(k == m, F.col("d")).otherwise(up("(k + 1)") - 1)
-    return (stats.withColumn("low", low).withColumn("high", high).where("low <= high")
-            .select(*group, "side", "n0", "n1", "x", "x1", "k", "n", "d",
-                    F.explode(F.sequence("low", "high")).alias("i"))
+    ranges = stats.withColumn("low", low).withColumn("high", high).where("low <= high")
+    wide = ranges.where(F.col("high") - F.col("low") >= LEVELS)
+    wide = (wide.withColumn("low", F.explode(F.sequence("low", "high", F.lit(LEVELS).cast("long"))))
+            .withColumn("high", F.least("high", F.col("low") + LEVELS - 1)).repartition(*group, "side", "low"))
+    ranges = ranges.where(F.col("high") - F.col("low") < LEVELS).unionByName(wide)
+    past = F.expr("cast(cast(n - 1 AS decimal(19, 0)) * cast(i AS decimal(18, 0)) "
+                  "- cast(k AS decimal(19, 0)) * cast(d AS decimal(18, 0)) AS double)")
+    return (ranges.select(*group, "side", "n0", "n1", "x", "x1", "k", "n", "d",
+                          F.explode(F.sequence("low", "high")).alias("i"))
             .select(*group, "side", "n0", "n1", "i",
-                    (F.col("x") + (F.col("x1") - F.col("x"))
-                     * ((m * i - k * F.col("d")) / F.col("d"))).alias("q")))
+                    (F.col("x") + (F.col("x1") - F.col("x")) * (past / F.col("d"))).alias("q")))
 
 
 def _mean_gap(levels: DataFrame, group: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -188,7 +200,7 @@ def w1_union(long: DataFrame, group: Sequence[str]) -> DataFrame:
     own = _at_levels(stats, group, F.col("n0"), 1).withColumn("kind", F.lit(0))
     other = (_at_levels(stats, group, F.col("n1"), 1).withColumn("kind", F.lit(1))
              # j/m equals some i/n: that level is already there
-             .where("(i * n0) % n1 <> 0"))
+             .where("(cast(i AS decimal(19, 0)) * cast(n0 AS decimal(18, 0))) % n1 <> 0"))
     return _mean_gap(own.unionByName(other), group, ["kind", "i"])
 
 

@@ -113,6 +113,24 @@ def test_w1_of_tiny_samples(spark, method):
     assert wasserstein.w1_features(da, da, ["x"], ["id"], method).first().w1 == 0.0
 
 
+@pytest.mark.parametrize("method", ["interp", "quantile_union", "exact"])
+def test_w1_of_one_row_against_many(spark, monkeypatch, method):
+    """The one value answers for all levels, in parts."""
+    monkeypatch.setattr(wasserstein, "LEVELS", 100)
+    many = spark.range(1000).selectExpr("id", "cast(id AS double) AS v")
+    one = spark.range(1).selectExpr("id", "250D AS v")
+    got = wasserstein.w1_features(one, many, ["v"], ["id"], method).first()["w1"]
+    v = np.arange(1000.0)
+    if method == "interp":
+        want = np.abs(v - 250).mean()
+    elif method == "exact":
+        want = np.abs(v - 250).mean()
+    else:
+        levels = np.union1d(np.arange(1, 1001) / 1000, [1.0])
+        want = np.abs(np.quantile(v, levels) - 250).mean()
+    assert got == pytest.approx(want)
+
+
 def test_shift_moves_w1_by_the_shift(sides):
     _, _, da, _ = sides
     moved = da.withColumn("x", F.col("x") + 2.5)
