@@ -124,7 +124,8 @@ def links(nodes: DataFrame) -> DataFrame:
     """(u, v) that connect the distinct fingerprints ``fp`` as RADIUS does."""
     all_masks = F.array(*(F.lit(m) for m in masks()))
     placed = nodes.select("fp", F.posexplode(F.transform(all_masks, lambda m: m.bitwiseAND(F.col("fp")))).alias("t", "kept"))
-    counts = placed.groupBy("t", "kept").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join are shuffles whose large keys Spark can split
+    counts = write_table(placed.groupBy("t", "kept").agg(F.count("*").alias("n")).where("n > 1"), "simhash-counts")
     shared = write_table(placed.join(counts, ["t", "kept"]).select("t", "kept", "fp", (F.col("n") > BUCKET).alias("large")),
                          "simhash-buckets")
     small = shared.where("not large").groupBy("t", "kept").agg(F.collect_list("fp").alias("nodes"))
