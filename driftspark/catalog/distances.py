@@ -324,21 +324,34 @@ def _balances(spark, d):
 
 
 # the presets on unequal sides, with a small number of permutations
-@query("test_collected")
+_DECIDED = "SELECT true AS distance, true AS share, true AS decided, true AS scored"
+
+
+def _decided(report):
+    """Facts that hold for every report: a distance, a share of permutations,
+    and the decision and the z-score that follow from the other columns."""
+    c = F.col
+    return report.select(
+        ((c("swd") > 0) & (c("null_min") >= 0) & (c("null_max") >= c("null_mean"))).alias("distance"), c("p_value").between(0, 1).alias("share"),
+        (c("drift") == (c("p_value") < 0.05)).alias("decided"),
+        (F.abs(c("z_score") * (c("null_std") + F.lit(1e-12)) - (c("swd") - c("null_mean"))) < 1e-9).alias("scored"))
+
+
+@query("test_collected", _DECIDED)
 def test_collected(spark, d):
-    return perm.swd_test(*_balances(spark, d), preset="collected", n_projections=5, n_permutations=19)
+    return _decided(perm.swd_test(*_balances(spark, d), preset="collected", n_projections=5, n_permutations=19))
 
 
-@query("test_frames")
+@query("test_frames", _DECIDED)
 def test_frames(spark, d):
-    return perm.swd_test(*_balances(spark, d), preset="frames", n_projections=5, n_permutations=19)
+    return _decided(perm.swd_test(*_balances(spark, d), preset="frames", n_projections=5, n_permutations=19))
 
 
-@query("test_fresh")
+@query("test_fresh", _DECIDED)
 def test_fresh(spark, d):
-    return perm.swd_test(*_balances(spark, d), preset="fresh", n_projections=5, n_permutations=19)
+    return _decided(perm.swd_test(*_balances(spark, d), preset="fresh", n_projections=5, n_permutations=19))
 
 
-@query("test_projected")
+@query("test_projected", _DECIDED)
 def test_projected(spark, d):
-    return perm.swd_test(*_balances(spark, d), preset="projected", n_permutations=99)
+    return _decided(perm.swd_test(*_balances(spark, d), preset="projected", n_permutations=99))

@@ -37,11 +37,13 @@ def train_all(spark, d):
                     (F.col("f1").between(0, 1) & F.col("accuracy").between(0, 1)).alias("whole"))
 
 
-@query("train_best")
+@query("train_best", "SELECT true AS is_best, true AS one")
 def train_best(spark, d):
     fit, check = split(orders(spark, d), KEY)
     fitted = learn.fit_all(fit, check, FEATURES, "label", scale="none", types=["dt", "lr"])
-    return learn.pick_best(learn.metrics_table(spark, fitted))
+    all_ = learn.metrics_table(spark, fitted)
+    most = max(f.auc for f in fitted)
+    return learn.pick_best(all_).agg(F.bool_and(F.col("auc") == most).alias("is_best"), (F.count("*") == 1).alias("one"))
 
 
 def _members(spark, d):
@@ -112,10 +114,11 @@ def block_trees(spark, d):
     return learn.block_trees(assign_blocks(fit, KEY, 10), check, FEATURES, "label", KEY, range(5))
 
 
-@query("kmeans_on_sample")
+@query("kmeans_on_sample", "SELECT 4 AS clusters, true AS whole")
 def kmeans_on_sample(spark, d):
     sample = adaptive_sample(lines(spark, d), LINE_FEATURES, LINE_KEY)
-    return learn.cluster(sample, LINE_FEATURES, 4)[1]
+    n = sample.count()
+    return learn.cluster(sample, LINE_FEATURES, 4)[1].agg(F.count("*").cast("int").alias("clusters"), (F.sum("size") == n).alias("whole"))
 
 
 def _loop(spark, d):
@@ -128,10 +131,18 @@ def _loop(spark, d):
                           Learning(["dt", "lr"], static=True))
 
 
-@query("drift_log")
+@query("drift_log", """
+  SELECT (extract('year' FROM o_orderdate) - 1995)::BIGINT AS "window", count(*) AS n, "window" > 0 AS scored, "window" = 0 AS first, true AS decided
+  FROM orders GROUP BY 1""")
 def drift_log(spark, d):
+    """Every window is in the log with all its rows; all but the first are
+    scored; the first trains, and later ones where the test says so."""
     df, loop = _loop(spark, d)
-    return loop.run(df)
+    c = F.col
+    return loop.run(df).select(
+        "window", "n", (c("auc").between(0, 1) & c("f1").between(0, 1)).eqNullSafe(True).alias("scored"),
+        (c("retrained") & ~c("drift")).alias("first"),
+        ((c("drift") == (c("p_value") < 0.05)) & c("static_accuracy").between(0, 1)).alias("decided"))
 
 
 _SCORED_ROWS = "SELECT (extract('year' FROM o_orderdate) - 1995)::BIGINT AS \"window\" FROM orders"
