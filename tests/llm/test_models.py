@@ -64,6 +64,60 @@ def test_licences(spark):
     assert licences.scan(documents(spark, []), *licences.train(documents(spark, []))).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+BSD = """ * Copyright (c) 2019, The Authors
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met:
+"""
+GPL = """The mill of the town
+was old.
+
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+BOTH = """Released under the MIT License.
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+"""
+
+
+def test_wrapped_licences(spark):
+    """Notices over several lines, short lines that are a name; a statement of
+    one line is no second row of the lines around it."""
+    texts = [MIT, BSD, GPL, BOTH, "The mill is old.\nReleased under the MIT License.\nThe end of it all is here.", "the mit\nlicense", "Home\nGPL v3\nNews",
+             "He has a free\nlicense to fish in\nthe public lake."]
+    docs = documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)] + ROWS)
+    out = licences.scan(docs, *licences.train(docs)).collect()
+    assert Counter((r["doc_id"], r["line"], r["family"]) for r in out) == Counter(
+        [(0, 0, "MIT"), (0, 4, "MIT"), (1, 2, "BSD"), (2, 3, "GPL"), (3, 0, "MIT"), (3, 0, "MIT"), (4, 1, "MIT"), (6, 1, "GPL")])
+
+
+def test_anchors_lose_nothing():
+    """Without them less than SIMILAR of any statement is left."""
+    found = set(licences.anchors())
+    for s in (s for many in licences.STATEMENTS.values() for s in many):
+        ws = licences.plain_words(s)
+        pairs = set(zip(ws, ws[1:]))
+        assert sum(not found & set(p) for p in pairs) < licences.SIMILAR * len(pairs)
+    assert all(found & set(licences.plain_words(s)) for many in licences.NAMES.values() for s in many)
+    assert not found & {"the", "of", "and", "to", "in"}
+
+
 def test_licences_query(spark):
     docs = spark.read.parquet(f"{WHOLE}/documents.parquet").select("doc_id", "text").collect()
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
