@@ -34,12 +34,16 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 BIRTH = re.compile(r"(?<![0-9])(?:[12][09][0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9][./][0-3]?[0-9][./][12][09][0-9]{2})(?![0-9])")
 
-# Characters of an IBAN by country.
+# Characters of an IBAN by country, after the SWIFT registry.
 IBAN_LENGTH = {
-    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20,
-    "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27,
-    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24,
-    "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 # What a confirmed match scores alone.
 PRIOR = {"email": 0.95, "ip": 0.6, "card": 0.85, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "birth": 0.3}
@@ -82,6 +86,23 @@ def emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def ibans(text: str):
+    """The pattern may run on into what follows, so the search goes on at the
+    end of the confirmed span, or just after the start of a refused one."""
+    m = IBAN.search(text)
+    while m:
+        want, end, seen = IBAN_LENGTH.get(m[1], 0), m.start(), 0
+        while seen < want and end < m.end():
+            seen += text[end] != " "
+            end += 1
+        after = text[end:end + 1]
+        if seen == want > 0 and not (after.isalnum() and after.isascii()) and mod97(text[m.start():end].replace(" ", "")):
+            yield "iban", m.start(), end
+        else:
+            end = m.start() + 1
+        m = IBAN.search(text, end)
+
+
 def proposals(text: str):
     """(kind, start, end) of every match that its checksum or range confirms."""
     for s, e in emails(text):
@@ -97,14 +118,7 @@ def proposals(text: str):
     for m in PHONE.finditer(text):
         if 9 <= sum(c in "0123456789" for c in m[0]) <= 15:
             yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        want, end, seen = IBAN_LENGTH.get(m[1], 0), m.start(), 0
-        while seen < want and end < m.end():
-            seen += text[end] != " "
-            end += 1
-        after = text[end:end + 1]
-        if seen == want > 0 and not (after.isalnum() and after.isascii()) and mod97(text[m.start():end].replace(" ", "")):
-            yield "iban", m.start(), end
+    yield from ibans(text)
     for kind, pattern in (("ssn", SSN), ("birth", BIRTH)):
         for m in pattern.finditer(text):
             yield kind, *m.span()

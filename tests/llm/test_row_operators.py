@@ -90,6 +90,21 @@ def test_pii_adds_confirmed_kinds():
     assert not [x for x in pii.find("DE89370400440532013001 and order 123-45-6789")]
 
 
+def test_pii_iban_lists():
+    """IBANs with single spaces between them, after code-like tokens, and of further countries."""
+    many = ["DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947", "DE89 3704 0044 0532 0130 00", "UA213223130000026007233566001",
+            "RS35260005601001611379", "BA391290079401028494", "BR1800360305000010009795493C1", "KZ86125KZT5004100100", "TN5910006035183598478831",
+            "PK36SCBL0000001123456702", "QA58DOHB00001234567890ABCDEFG", "KW81CBKU0000000000001234560101", "EG380019000500000000263180002",
+            "XK051212012345678906", "LC55HEMM000100010012001200023015"]
+    text = " ".join(["AB12 CODE 5577 XYZQ", *many, "ZZ99ABCD", many[0], "DE89370400440532013001", many[1]])
+    assert [text[s:e] for k, s, e, _ in pii.find(text) if k == "iban"] == [*many, many[0], many[1]]
+
+
+def test_pii_ibans_are_linear():
+    for text in ("DE89 " * 60_000, "DE89370400440532013000 " * 12_000, "AA11" * 75_000):
+        pii.find(text)
+
+
 def test_pii_rows(spark):
     df = documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(HARD)] + ROWS)
     out = pii.scan(clashing(df, ["pii"]))
