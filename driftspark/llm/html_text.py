@@ -2,7 +2,9 @@
 
 A page becomes blocks at block-level tags. What sits inside menus, page
 headers and footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments is left out by its element, role or class. Pass 1 classifies
+reader comments is left out by its element, role or class. A class, an id or a form
+may also stand on what holds the whole page, so these are given up where they
+hold most of the text (:func:`lifted`). Pass 1 classifies
 every other block by length, link density and stop-word density as good, bad,
 near (nearly good) or short; pass 2 gives near and short blocks the label of
 the nearest decided blocks before and after them. A page with <article> or
@@ -38,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea svg math iframe object noembed noframes xmp canvas title".split())
 DROPPED = frozenset("nav header footer aside form button select dialog menu head datalist audio video map".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+INLINE = frozenset("""a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label mark picture q s samp small
+span strong sub sup time tt u var""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"},
           "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}}
@@ -128,22 +132,24 @@ def tokens(page: str):
             at = lt + 1
 
 
-def hidden(name: str, attributes: str) -> bool:
-    """Whether this element and what is inside is not part of the article."""
-    if name in DROPPED or name in RAW:
-        return True
+def hidden(name: str, attributes: str) -> str:
+    """Why this element and what is inside is not part of the article: "" (it
+    is), "always", or "form", "hint" or "comment", which may be given up."""
+    if name in RAW or name in DROPPED and name != "form":
+        return "always"
+    why = "form" if name == "form" else ""
     if not attributes or attributes.isspace():
-        return False
+        return why
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" and name not in ROOTS:
-            return True
+            return "always"
         if key == "aria-hidden" and value.lower() == "true" and name not in ROOTS:
-            return True
+            return "always"
         if key == "style" and name not in ROOTS and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return "always"
         if key == "role" and value.lower() in DROPPED_ROLES and name not in ROOTS:
-            return True
+            return "always"
         if key in ("class", "id"):
             hints = COMMENTS if name in ROOTS else HINTS
             if name in ("html", "body"):
@@ -155,22 +161,71 @@ def hidden(name: str, attributes: str) -> bool:
                         continue
                     if part == "header" and OWN_HEADER & set(parts):
                         continue
-                    return True
-    return False
+                    why = "comment" if part in COMMENTS else why if why == "comment" else "hint"
+    return why
 
 
 class Block:
-    __slots__ = ("text", "linked", "inside", "heading", "label")
+    __slots__ = ("text", "linked", "inside", "heading", "label", "holder")
 
-    def __init__(self, text, linked, inside, heading):
-        self.text, self.linked, self.inside, self.heading, self.label = text, linked, inside, heading, ""
+    def __init__(self, text, linked, inside, heading, holder):
+        self.text, self.linked, self.inside, self.heading, self.label, self.holder = text, linked, inside, heading, "", holder
+
+
+class Holder:
+    """An element that hides what is inside unless :func:`lifted`; ``above`` is
+    the number of the one around it, -1 for none."""
+
+    __slots__ = ("why", "above", "article", "long", "all")
+
+    def __init__(self, why, above):
+        self.why, self.above, self.article, self.long, self.all = why, above, False, 0, 0
+
+
+def lifted(found: list[Block], holders: list[Holder]) -> list[bool]:
+    """For each holder, whether it and those around it are given up. A form
+    is where it holds an <article> or <main> or most of the page's long,
+    link-poor text; a hint where it holds most of that text, or an <article> or
+    <main> while no other one has such text; one for comments only where next
+    to nothing is outside."""
+    long, every, seen = 0, 0, False
+    for b in found:
+        if b.linked <= LINKS_HIGH * len(b.text):
+            n = len(b.text) if len(b.text) >= SHORT else 0
+            long, every = long + n, every + len(b.text)
+            if b.holder >= 0:
+                holders[b.holder].long += n
+                holders[b.holder].all += len(b.text)
+    for h in reversed(holders):  # those inside come after
+        if h.above >= 0:
+            up = holders[h.above]
+            up.long, up.all = up.long + h.long, up.all + h.all
+
+    def open_ones(rule):
+        out = []
+        for h in holders:
+            out.append((h.above < 0 or out[h.above]) and rule(h))
+        return out
+
+    form = open_ones(lambda h: h.why == "form" and h.article)
+    seen = any(b.inside and len(b.text) >= SHORT and b.linked <= LINKS_HIGH * len(b.text) for b in found
+               if b.holder < 0 or form[b.holder])
+
+    def rule(h):
+        if h.why == "comment":
+            return h.long > 0 and every - h.all < SHORT
+        return 2 * h.long > long or h.article and (h.why == "form" or not seen)
+
+    return open_ones(rule)
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks with text that no hidden element holds."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # (element, it hides)
+    holders: list[Holder] = []
+    stack: list[tuple[str, str]] = []  # (element, why it hides)
     hiding = depth_article = links = 0
+    holder = -1
     parts: list[str] = []
     linked: list[str] = []
     heading = False
@@ -179,13 +234,17 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, len(" ".join(unescape("".join(linked)).split())), depth_article > 0, heading))
+            out.append(Block(text, len(" ".join(unescape("".join(linked)).split())), depth_article > 0, heading, holder))
         parts, linked = [], []
 
     def pop():
-        nonlocal hiding, depth_article, links, heading
+        nonlocal hiding, depth_article, links, heading, holder
         name, hides = stack.pop()
-        hiding -= hides
+        if hides and hides != "always":  # other text may follow without a new block
+            flush()
+        hiding -= hides == "always"
+        if hides and hides != "always":
+            holder = holders[holder].above
         depth_article -= name in ("article", "main") and not hides
         links -= name == "a"
         heading = heading and name not in HEADINGS
@@ -214,14 +273,21 @@ def blocks(page: str) -> list[Block]:
                     first = next(i for i in range(k, len(stack)) if stack[i][0] in ends)
                     while len(stack) > first:
                         pop()
-            if name in ("article", "main") and any(x == "form" for x, hides in stack if hides):
-                stack[:] = [(x, hides and x != "form") for x, hides in stack]
-                hiding = sum(hides for _, hides in stack)
             if name in VOID:
                 continue
             hides = hidden(name, token[2])
+            if hides and name in INLINE:  # part of a block, not what holds a page
+                hides = "always"
+            if hides and hides != "always":
+                flush()
+                holders.append(Holder(hides, holder))
+                holder = len(holders) - 1
             stack.append((name, hides))
-            hiding += hides
+            hiding += hides == "always"
+            if name in ("article", "main") and not hides and not hiding:
+                k = holder
+                while k >= 0 and not holders[k].article:
+                    holders[k].article, k = True, holders[k].above
             depth_article += name in ("article", "main") and not hides
             links += name == "a"
             heading = heading or name in HEADINGS
@@ -230,7 +296,8 @@ def blocks(page: str) -> list[Block]:
                 pop()
             pop()
     flush()
-    return out
+    shown = lifted(out, holders)
+    return [b for b in out if b.holder < 0 or shown[b.holder]]
 
 
 def classify(found: list[Block]) -> None:

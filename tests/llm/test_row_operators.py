@@ -196,6 +196,44 @@ def test_html_without_article():
     assert ARTICLE[0] in got and ARTICLE[1] in got and "cookies" not in got and "I like" not in got and "Home" not in got
 
 
+BODY = "<h2>The mill</h2>" + "".join(f"<p>{x} {x}</p>" for x in (a.replace("&", "and") for a in ARTICLE))
+MENU = '<nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies on this site, so that it works well for you and for all of us.</div>'
+COMMENT = '<div id="comments"><div class="comment">I like the mill and it is the best of all the mills that I have seen in my life.</div></div>'
+
+
+@pytest.mark.parametrize("page", [
+    f"<body>{MENU}<div class='widget Blog'><div class='post'>{BODY}</div></div>{COMMENT}",  # Blogspot
+    f"<body>{MENU}<div class='elementor-widget-container'>{BODY}</div>{COMMENT}",
+    f"<body><div class='sidebar-right'>{MENU}<main>{BODY}</main>{COMMENT}</div>",
+    f"<body><div id=page class='left-sidebar'>{MENU}<div>{BODY}</div>{COMMENT}</div>",
+    f"<body><div class='widget'><article>{BODY}</article></div>{COMMENT}",
+    f"<body><main><div class='widget Blog'><article>{BODY}</article></div></main>{COMMENT}",
+    f"<body><form action=x.aspx>{MENU}<div>{BODY}</div>{COMMENT}</form>",  # WebForms
+    f"<body><form class='comments-open'>{MENU.replace(' and for all of us', '')}<article>{BODY}</article></form>",
+])
+def test_html_wrapped_pages(page):
+    """A hint or form on what holds the page does not lose the article."""
+    got = html_text.main_text(page)
+    assert all(a.replace("&", "and") in got for a in ARTICLE) and "The mill" in got
+    assert "cookies" not in got and "I like" not in got and "Home" not in got
+
+
+def test_html_hints_beside_an_article():
+    cards = "<div class='related'>" + f"<article><p>{ARTICLE[1]}</p></article>" * 2 + "</div>"
+    got = html_text.main_text(f"<body><article>{BODY}</article>{cards}<form><p>Sign up here and get the letter of the mill for all of the year.</p></form>")
+    assert got.count("In the spring") == 2 and "Sign up" not in got
+
+
+def test_html_inline_hints_do_not_cut_a_block():
+    half = ARTICLE[0].replace(" and it was old", ' <span class="share">tweet</span> and it was old')
+    assert html_text.main_text(PAGE.replace(ARTICLE[0], half)) == html_text.main_text(PAGE)
+
+
+def test_html_holders_are_linear():
+    for page in ("<div class=widget>" * 20_000 + "<p>words of it all</p>" * 20_000, "<form><article class=ad>a" * 20_000):
+        html_text.main_text(page)
+
+
 @pytest.mark.parametrize("page", [None, "", "plain words only", "<", "<p", "<p>a<!-- open", "<a href='x>y", "</>", "<script>never closed", "&#xZZ; &bogus;",
                                   "<p>" * 20_000 + "deep", "<a title=\"" * 20_000, "<div class='x'>" * 5_000, "< 3 and > 2", "\x00<p>\x00"])
 def test_html_odd_pages(page):
