@@ -73,11 +73,16 @@ def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42,
                 fast: bool = False, oversample: float = 1.2) -> DataFrame:
     """``n`` random rows, or all if there are fewer. ``fast`` first thins the
     table by hash key to about ``oversample * n`` rows and looks for the border
-    in these only; the rows are the same, unless the thinned table is short."""
+    in these only, or in the whole table where they are fewer than ``n``; the
+    rows are the same."""
     if not fast:
         return smallest(df, key, n, seed)
-    share = min(1.0, n * oversample / max(1, df.count()))
-    return smallest(df.where(hash_key(key, seed) < F.lit(int(share * 2**HASH_BITS))), key, n, seed)
+    total = df.count()
+    share = min(1.0, n * oversample / max(1, total))
+    thin = df.where(hash_key(key, seed) < F.lit(int(share * 2**HASH_BITS)))
+    if share == 1.0 or thin.count() < min(n, total):
+        return smallest(df, key, n, seed)
+    return smallest(thin, key, n, seed)
 
 
 def split(df: DataFrame, key: Sequence[str], share: float = 0.8, seed: int = 42,

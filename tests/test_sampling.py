@@ -49,6 +49,20 @@ def test_samples(rows):
     assert sampling.sample_rows(rows, ["id"], 100, fast=True).count() <= 100
 
 
+def test_fast_sample_is_the_exact_one(spark):
+    """Also with a few rows of many, and where a third of the rows share a key above the border."""
+    few = spark.range(20_000)
+    hot = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS id", "id AS v")
+    short = 0
+    for df, n, seeds in ((few, 3, range(6)), (hot, 600, range(4))):
+        for seed in seeds:
+            got = sorted(map(tuple, sampling.sample_rows(df, ["id"], n, seed, fast=True).collect()))
+            assert len(got) == n and got == sorted(map(tuple, sampling.sample_rows(df, ["id"], n, seed).collect()))
+            cut = int(n * 1.2 / df.count() * 2**sampling.HASH_BITS)
+            short += df.where(sampling.hash_key(["id"], seed) < F.lit(cut)).count() < n
+    assert short  # the thinned table alone was too small at times
+
+
 @pytest.mark.parametrize("exact", [True, False])
 def test_split_is_a_partition(rows, exact):
     a, b = sampling.split(rows, ["id"], 0.8, exact=exact)
