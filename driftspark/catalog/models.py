@@ -111,7 +111,7 @@ def static_baseline(spark, d):
 def block_trees(spark, d):
     df = orders(spark, d)
     fit, check = split(df, KEY)
-    return learn.block_trees(assign_blocks(fit, KEY, 10), check, FEATURES, "label", KEY, range(5))
+    return learn.block_trees(assign_blocks(fit, KEY, 5), check, FEATURES, "label", KEY, range(5))
 
 
 @query("kmeans_on_sample", "SELECT 4 AS clusters, true AS whole")

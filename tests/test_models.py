@@ -75,6 +75,15 @@ def test_training_comparison(rows):
     assert {r.training_data for r in t.collect()} == {"full", "sample"} and t.agg(F.min("auc")).first()[0] > 0.8
 
 
+def test_block_trees_query_trains_on_all_rows(spark, sf, monkeypatch):
+    from driftspark.catalog import models
+
+    monkeypatch.setattr(models.learn, "block_trees", lambda blocks, check, f, label, key, ids: (blocks, check, list(ids)))
+    blocks, check, ids = models.block_trees(spark, sf)
+    assert blocks.where(F.col("block_id").isin(ids)).count() == blocks.count() > 0
+    assert blocks.count() + check.count() == models.orders(spark, sf).count()
+
+
 def test_block_trees_and_clusters(rows):
     votes = learn.block_trees(sampling.assign_blocks(rows, KEY, 3), rows, FEATURES, "label", KEY, [0, 1, 2])
     assert votes.count() == 1200 and metrics.accuracy(votes, "label", "vote").first()[0] > 0.8
