@@ -45,6 +45,7 @@ MATCHES = 16  # most that a prefix may ask for
 VERIFY = 20  # cost of a candidate, in list entries
 BUCKET = 128
 BLOCK = 1 << 18  # shingles of a block of nodes
+PAIRS = 1 << 18  # of short lists that are in memory at a time
 LONG = T.LongType()
 ENDS = T.StructType([T.StructField("u", LONG), T.StructField("v", LONG)])
 
@@ -160,17 +161,34 @@ def list_pairs(lists: DataFrame) -> DataFrame:
     """(u, v, need) of every two nodes of a short list whose sizes may link."""
     import pyarrow as pa
 
+    def batch_of(made):
+        import numpy as np
+
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in made], names=["u", "v", "need"])
+
     def run(batches):
         import numpy as np
 
         for batch in batches:
-            for nodes in batch.column(0):
-                node, n, m = (nodes.values.field(i).to_numpy() for i in range(3))
-                i, j = np.triu_indices(len(node), 1)
-                fit = 100 * np.minimum(n[i], n[j]) >= LINK * np.maximum(n[i], n[j])
-                i, j = i[fit], j[fit]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(m[i], m[j]))], names=["u", "v", "need"])
+            nodes = batch.column(0)
+            starts = nodes.offsets.to_numpy()
+            node, n, m = (nodes.values.field(i).to_numpy() for i in range(3))
+            made: list[list] = [[], [], []]
+            lengths = np.diff(starts)
+            for length in np.unique(lengths):  # lists of one length at once
+                first = starts[:-1][lengths == length]
+                i, j = np.triu_indices(length, 1)
+                step = max(1, PAIRS // max(len(i), 1))
+                for at in range(0, len(first), step):
+                    a, b = ((first[at:at + step, None] + k).ravel() for k in (i, j))
+                    fit = 100 * np.minimum(n[a], n[b]) >= LINK * np.maximum(n[a], n[b])
+                    a, b = a[fit], b[fit]
+                    for to, x in zip(made, (np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), np.minimum(m[a], m[b]))):
+                        to.append(x)
+                    if sum(map(len, made[0])) > PAIRS:
+                        yield batch_of(made)
+                        made = [[], [], []]
+            yield batch_of(made)
 
     return lists.select("nodes").mapInArrow(run, T.StructType([*ENDS.fields, T.StructField("need", LONG)]))
 
@@ -237,9 +255,9 @@ def _forests(groups: DataFrame) -> DataFrame:
             return cell.values.field(0).to_pylist(), [np.frombuffer(b, np.int64) for b in cell.values.field(1).to_pylist()]
 
         for batch in batches:
-            for own, other in zip(batch.column(0), batch.column(1)):
-                ends = np.array(forest(*read(own), *read(other)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+            found = [e for own, other in zip(batch.column(0), batch.column(1)) for e in forest(*read(own), *read(other))]
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
 
     return groups.select("own", "other").mapInArrow(run, ENDS)
 
