@@ -10,6 +10,7 @@ from driftspark.catalog.base import (
     lines,
     query,
     rounded,
+    sql_hash,
     sql_ks,
     sql_long,
     sql_perm_hash,
@@ -20,6 +21,7 @@ from driftspark.catalog.base import (
     sql_z,
     table,
 )
+from driftspark.functions.hashing import PERM_PRIME
 from driftspark.operators import ks
 from driftspark.operators import permutation as perm
 from driftspark.operators import wasserstein as ws
@@ -324,34 +326,80 @@ def _balances(spark, d):
 
 
 # the presets on unequal sides, with a small number of permutations
-_DECIDED = "SELECT true AS distance, true AS share, true AS decided, true AS scored"
 
+FRESH_PERMS, FRESH_DIRS = 19, 5
+_BALANCES = """sides AS (SELECT 0 AS side, c_custkey AS k, c_acctbal::DOUBLE AS bal, c_nationkey::DOUBLE AS nation FROM customer UNION ALL
+    SELECT 1, s_suppkey, s_acctbal::DOUBLE, s_nationkey::DOUBLE FROM supplier)"""
 
-def _decided(report):
-    """Facts that hold for every report: a distance, a share of permutations,
-    and the decision and the z-score that follow from the other columns."""
-    c = F.col
-    return report.select(
-        ((c("swd") > 0) & (c("null_min") >= 0) & (c("null_max") >= c("null_mean"))).alias("distance"), c("p_value").between(0, 1).alias("share"),
-        (c("drift") == (c("p_value") < 0.05)).alias("decided"),
-        (F.abs(c("z_score") * (c("null_std") + F.lit(1e-12)) - (c("swd") - c("null_mean"))) < 1e-9).alias("scored"))
 
+def _fresh_sql(split: str) -> str:
+    """(perm, swd) with directions of its own for every permutation, given as
+    literals; the gap is the mean over the levels i/n0 and j/n1."""
+    a, b = sql_perm_parts(42, "side", "k")
+    weights = ", ".join(f"({p}, {g}, {float(w[0])!r}, {float(w[1])!r})" for p in range(FRESH_PERMS + 1)
+                        for g, w in enumerate(ws.directions(FRESH_DIRS, 2, 42 + p)))
+    h = sql_perm_hash("a", "b", "perm")
+    first = (f"row_number() OVER (PARTITION BY perm ORDER BY {h}) <= n0" if split == "exact"
+             else f"{h} <= floor({PERM_PRIME} * (n0 / (n0 + n1))) - 1")
+    return f"""
+  WITH {_BALANCES}, size AS (SELECT count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM sides),
+  dir AS (SELECT * FROM (VALUES {weights}) t(perm, g, w0, w1)),
+  ab AS (SELECT *, {a} AS a, {b} AS b FROM sides, size),
+  lab AS (SELECT perm, bal, nation, CASE WHEN perm = 0 THEN side WHEN {first} THEN 0 ELSE 1 END AS side
+    FROM ab, (SELECT unnest(range(0, {FRESH_PERMS + 1})) AS perm)),
+  rk AS (SELECT perm, g, side, v, row_number() OVER (PARTITION BY perm, g, side ORDER BY v) - 1 AS k
+    FROM (SELECT perm, g, side, bal * w0 + nation * w1 AS v FROM lab JOIN dir USING (perm))),
+  cnt AS (SELECT perm, side, count(*) AS n FROM lab GROUP BY ALL),
+  lev AS (SELECT DISTINCT perm, i // gcd(i, n) AS i, n // gcd(i, n) AS m FROM (SELECT perm, n, unnest(range(1, n + 1)) AS i FROM cnt)),
+  spot AS (SELECT perm, side, i, m, ((n - 1) * i) // m AS k, (((n - 1) * i) % m) / m AS past, n FROM lev JOIN cnt USING (perm)),
+  q AS (SELECT spot.perm, spot.side, i, m, x.g, x.v + (y.v - x.v) * past AS q FROM spot
+    JOIN rk x ON x.perm = spot.perm AND x.side = spot.side AND x.k = spot.k
+    JOIN rk y ON y.perm = x.perm AND y.side = x.side AND y.g = x.g AND y.k = least(spot.k + 1, n - 1)),
+  w AS (SELECT a.perm, a.g, avg(abs(a.q - b.q)) AS w1 FROM q a JOIN q b
+    ON a.perm = b.perm AND a.g = b.g AND a.i = b.i AND a.m = b.m AND a.side = 0 AND b.side = 1 GROUP BY ALL),
+  dist AS (SELECT perm, avg(w1) AS swd FROM w GROUP BY perm)"""
+
+
+_SHARE = "count(*) FILTER (swd >= obs) / count(*)"
+
+
+def _preset_report(spark, d, preset, **kw):
+    r = perm.swd_test(*_balances(spark, d), preset=preset, **kw)
+    return rounded(rounded(r, "swd", "null_mean", "null_std", "null_min", "null_max", "p_value"), "z_score", digits=4)
 
-@query("test_collected", _DECIDED)
+
+@query("test_collected", _fresh_sql("exact") + _REPORT.format(p=_SHARE))
 def test_collected(spark, d):
-    return _decided(perm.swd_test(*_balances(spark, d), preset="collected", n_projections=5, n_permutations=19))
+    return _preset_report(spark, d, "collected", n_projections=FRESH_DIRS, n_permutations=FRESH_PERMS)
 
 
-@query("test_frames", _DECIDED)
+@query("test_frames", _fresh_sql("hash") + _REPORT.format(p=_SHARE))
 def test_frames(spark, d):
-    return _decided(perm.swd_test(*_balances(spark, d), preset="frames", n_projections=5, n_permutations=19))
+    return _preset_report(spark, d, "frames", n_projections=FRESH_DIRS, n_permutations=FRESH_PERMS)
 
 
-@query("test_fresh", _DECIDED)
+@query("test_fresh", _fresh_sql("exact") + _REPORT.format(p=_SHARE))
 def test_fresh(spark, d):
-    return _decided(perm.swd_test(*_balances(spark, d), preset="fresh", n_projections=5, n_permutations=19))
+    return _preset_report(spark, d, "fresh", n_projections=FRESH_DIRS, n_permutations=FRESH_PERMS)
+
+
+def _projected_sql() -> str:
+    """(perm, swd) of equal-sized sides, each in its own z-scores."""
+    a, b = sql_perm_parts(42, "side", "k")
+    dirs = ws.directions(50, 2, 42)
+    return f"""
+  WITH {_BALANCES}, ab AS (SELECT *, {a} AS a, {b} AS b, row_number() OVER () AS rid FROM sides),
+  zs AS ({sql_z('ab', ['bal', 'nation'], 'self', ['side', 'k', 'a', 'b', 'rid'])}),
+  z AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY {sql_hash(42, 'side', 'k')}) AS rn FROM zs)
+    WHERE rn <= (SELECT min(c) FROM (SELECT count(*) AS c FROM sides GROUP BY side))),
+  lab AS (SELECT rid, 0 AS perm, side FROM z UNION ALL
+    SELECT rid, perm, CASE WHEN row_number() OVER (PARTITION BY perm ORDER BY {sql_perm_hash('a', 'b', 'perm')}) <= (SELECT count(*) FROM z WHERE side = 0) THEN 0 ELSE 1 END
+    FROM z, (SELECT unnest(range(1, 100)) AS perm)),
+  p AS ({sql_projected('z', ['bal', 'nation'], dirs, ['rid'])}),
+  w AS ({sql_w1('SELECT perm, g, v, lab.side FROM p JOIN lab USING (rid)', 'perm, g')}),
+  dist AS (SELECT perm, avg(w1) AS swd FROM w GROUP BY perm)"""
 
 
-@query("test_projected", _DECIDED)
+@query("test_projected", _projected_sql() + _REPORT.format(p="(count(*) FILTER (swd > obs) + 1) / (count(*) + 1)"))
 def test_projected(spark, d):
-    return _decided(perm.swd_test(*_balances(spark, d), preset="projected", n_permutations=99))
+    return _preset_report(spark, d, "projected", n_permutations=99)
