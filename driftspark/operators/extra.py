@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftspark.functions.hashing import hash_key
 from driftspark.operators.metrics import histogram
-from driftspark.plans.buckets import NULL_BUCKET, fit_cuts, order_statistics, running, tile_by_cuts, to_long
+from driftspark.plans.buckets import NULL_BUCKET, fit_cuts, order_statistics, running, subdivided, tile_by_cuts, to_long
 
 
 def equal_height_bounds(df: DataFrame, value: str, k: int) -> DataFrame:
@@ -62,8 +62,10 @@ def running_total(df: DataFrame, order: str, amount: Column, out: str = "total_b
     """Sum of ``amount`` over all earlier rows by a unique numeric position."""
     from pyspark.sql import Window
 
+    n = df.count()
     rows = tile_by_cuts(df.withColumn("_amount", amount), F.col(order),
-                        fit_cuts(df, [order], 256)[order], "bucket", NULL_BUCKET)
+                        fit_cuts(df, [order], 256, n)[order], "bucket", NULL_BUCKET)
+    rows = subdivided(rows, n, 256, order, ["bucket"])
     hist = running(rows.groupBy("bucket").agg(F.sum("_amount").alias("_s")), [], ["_s"])
     w = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (rows.join(hist.select("bucket", "_s_before"), "bucket")

@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.plans.buckets import (
+    MOST_SPANS,
     NULL_BUCKET,
     feature_name,
     fit_cuts,
     no_nan,
     order_statistics,
     running,
+    subdivided,
     tile_by_cuts,
     to_long,
 )
@@ -38,7 +40,8 @@ def _gap(ci: str, cj: str, ni: str, nj: str) -> str:
 def ks_samples(df: DataFrame, features: Sequence[str], member: str,
                samples: Sequence[str], pairs: Sequence[tuple[int, int, int]],
                n_buckets: int = 256, exact: bool = True, nulls: str = "drop",
-               cuts: dict[str, list[float]] | None = None, bounds: bool = False) -> DataFrame:
+               cuts: dict[str, list[float]] | None = None, bounds: bool = False,
+               n: int | None = None) -> DataFrame:
     """KS distance of many pairs of (overlapping) samples at once.
 
     ``samples`` are SQL conditions on the column ``member``; ``pairs`` are
@@ -52,15 +55,18 @@ def ks_samples(df: DataFrame, features: Sequence[str], member: str,
 
     ``nulls="drop"`` leaves nulls out; ``"count"`` keeps them in the sample
     size only. ``exact=False`` stops after pass 1; with ``bounds`` it then adds
-    ``ks_most``, so that the exact distance lies in [ks, ks_most].
+    ``ks_most``, so that the exact distance lies in [ks, ks_most]. ``n`` saves
+    a count when the number of rows is known.
     """
     if not features:
         raise ValueError("feature columns must be non-empty")
     if nulls not in ("drop", "count"):
         raise ValueError(f"unknown null mode {nulls!r}")
+    if exact and n is None:
+        n = df.count()
     if not cuts:
         # the cut points are where an inexact distance is looked at
-        cuts = fit_cuts(df, features, n_buckets) if exact or bounds else exact_cuts(df, features, n_buckets)
+        cuts = fit_cuts(df, features, n_buckets, n) if exact or bounds else exact_cuts(df, features, n_buckets)
     long = to_long(df, features, cuts, [member], keep_nulls=nulls == "count")
     m, k = range(len(samples)), range(len(pairs))
     inside = [f"CASE WHEN {s} THEN 1 ELSE 0 END" for s in samples]
@@ -86,11 +92,22 @@ def ks_samples(df: DataFrame, features: Sequence[str], member: str,
                      .where("lo < hi AND (" + " OR ".join(f"u{x} > l{x}" for x in k) + ")")
                      .select("feature_id", "bucket", *rest))
         # at most features x n_buckets rows are broadcast; the running sums
-        # include the rows of an equal value
-        inner = (long.join(F.broadcast(unsettled), ["feature_id", "bucket"])
-                 .selectExpr("feature_id", *[f"{n}_all" for n in c], *[
-                     f"sum({x}) OVER (PARTITION BY feature_id, bucket ORDER BY value) + {n}_before AS t{i}"
-                     for i, (x, n) in enumerate(zip(inside, c))])
+        # include the rows of an equal value. Rows of unsettled buckets only
+        # are cut further, where these hold too many to be sorted in one task
+        rows = long.join(F.broadcast(unsettled), ["feature_id", "bucket"])
+        spans = subdivided(rows, n, n_buckets)
+        if spans is not rows:
+            part = spans.groupBy("feature_id", "bucket").agg(
+                *[F.expr(f"sum({x}) AS _s{i}") for i, x in enumerate(inside)])
+            whole = F.shiftright("bucket", MOST_SPANS.bit_length() - 1)
+            before = Window.partitionBy("feature_id", whole).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+            part = part.select("feature_id", "bucket", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_p{i}") for i in m])
+            rows = spans.join(part, ["feature_id", "bucket"]).withColumns(
+                {f"{c_}_before": F.col(f"{c_}_before") + F.col(f"_p{i}") for i, c_ in enumerate(c)})
+        inner = (rows
+                 .selectExpr("feature_id", *[f"{n_}_all" for n_ in c], *[
+                     f"sum({x}) OVER (PARTITION BY feature_id, bucket ORDER BY value) + {n_}_before AS t{i}"
+                     for i, (x, n_) in enumerate(zip(inside, c))])
                  .groupBy("feature_id").agg(*[
                      F.expr(f"max({_gap(f't{i}', f't{j}', f'c{i}_all', f'c{j}_all')}) AS r{x}")
                      for x, (_, i, j) in enumerate(pairs)]))

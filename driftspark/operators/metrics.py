@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.plans.buckets import NULL_BUCKET, fit_cuts, group_key, no_nan, running, tile_by_cuts
+from driftspark.plans.buckets import NULL_BUCKET, fit_cuts, group_key, no_nan, running, subdivided, tile_by_cuts
 from driftspark.plans.workdir import new_path
 
 
@@ -20,7 +20,9 @@ def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str]) -> Da
     """
     rows = df.select(group_key(by).alias("_g"), F.col(label).cast("double").alias("_y"),
                      no_nan(score).alias("_s")).dropna(subset=["_s", "_y"])
-    rows = tile_by_cuts(rows, F.col("_s"), fit_cuts(rows, ["_s"], 256)["_s"], "bucket", NULL_BUCKET)
+    n = rows.count()
+    rows = tile_by_cuts(rows, F.col("_s"), fit_cuts(rows, ["_s"], 256, n)["_s"], "bucket", NULL_BUCKET)
+    rows = subdivided(rows, n, 256, "_s", ["bucket"])
     counts = rows.groupBy("_g", "bucket", "_s").agg(
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("neg"))

@@ -132,9 +132,9 @@ def _null_by_labels(long: DataFrame, cuts: list[int], n_dirs: int) -> DataFrame:
 
     key = ["feature_id", "bucket"]
     counts = long.groupBy(*key).applyInPandas(
-        count, "feature_id int, bucket int, n long, lo double, hi double, ones array<long>")
+        count, "feature_id int, bucket long, n long, lo double, hi double, ones array<long>")
     offs = counts.groupBy("feature_id").applyInPandas(
-        offsets, "feature_id int, bucket int, rows_before long, size long, before array<long>, "
+        offsets, "feature_id int, bucket long, rows_before long, size long, before array<long>, "
                  "total array<long>, edge array<double>, inner boolean")
     inner = (long.groupBy(*key).cogroup(offs.drop("edge").groupBy(*key))
              .applyInPandas(inside, "part array<double>"))
@@ -190,13 +190,13 @@ def swd_null(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Seque
         raise ValueError("both samples need rows without nulls")
     border = _cuts(p.z, n_permutations, n0, n1, split)
     if n_buckets is None:
-        n_buckets = max(1, min(4096, MAX_CUTS // n_projections, (n0 + n1) // ROWS_PER_BUCKET), -(-(n0 + n1) // MOST_ROWS))
+        n_buckets = max(1, min(4096, MAX_CUTS // n_projections, (n0 + n1) // ROWS_PER_BUCKET))
     buckets = p.cuts(n_buckets)
     if fresh:
         pooled = sorted({v for c in p.names for v in buckets[c]})[:: max(1, len(p.names))]
         return _null_fresh(spread(p.z, "_a"), features, pooled, border, n_projections, seed, method)
     if method in ("exact", "sorted"):
-        return _null_by_labels(p.long(buckets), border, n_projections)
+        return _null_by_labels(p.long(buckets, MOST_ROWS), border, n_projections)
     return _null_by_rows(p.long(buckets), border, method)
 
 

@@ -15,12 +15,12 @@ from driftspark.operators.ks import stack_sides
 from driftspark.operators.sampling import equal_sizes
 from driftspark.plans.buckets import (
     CUT_SAMPLE_ROWS,
-    bucket_count,
     by_value,
     feature_name,
     fit_cuts,
     running,
     spread,
+    subdivided,
     to_long,
 )
 
@@ -228,8 +228,9 @@ def w1_features(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Se
     if method == "sorted":
         both = equal_sizes(both, ["side", *key], seed)
     both = both.select("side", "_a", *dict.fromkeys(features))
-    cuts = fit_cuts(both, features, n_buckets)
-    long = to_long(spread(both, "_a"), features, cuts, ["side"], salt="_a")
+    n = both.count()
+    cuts = fit_cuts(both, features, n_buckets, n)
+    long = subdivided(to_long(spread(both, "_a"), features, cuts, ["side"], salt="_a"), n, n_buckets)
     return w1_of(method)(long, ["feature_id"]).select(feature_name(features).alias("feature"), "w1")
 
 
@@ -252,13 +253,13 @@ class Projected:
     def cuts(self, n_buckets: int) -> dict[str, list[float]]:
         """Cut points per direction, from a sample taken before any shuffle."""
         n = sum(self.n)
-        n_buckets = bucket_count(n, n_buckets)
         rows = min(n, max(CUT_SAMPLE_ROWS, 20 * n_buckets))
         few = by_value(self.z, ["_a", "_b"], n, rows)
         return fit_cuts(project(few, self.features, self.dirs, [])[0], self.names, n_buckets, rows)
 
-    def long(self, cuts: dict[str, list[float]]) -> DataFrame:
-        return to_long(self.wide, self.names, cuts, self.keep, salt="_a")
+    def long(self, cuts: dict[str, list[float]], most: int | None = None) -> DataFrame:
+        long = to_long(self.wide, self.names, cuts, self.keep, salt="_a")
+        return subdivided(long, sum(self.n), min(map(len, cuts.values())) + 1, most=most)
 
 
 def swd_directions(ref: DataFrame, det: DataFrame, features: Sequence[str], key: Sequence[str],

@@ -6,6 +6,11 @@ to one task. Here an order-preserving bucket splits the value axis; a small
 histogram gives what lies before each bucket; only the rows of the buckets
 that matter are sorted, each bucket on its own. Results are exact for any
 choice of cut points: the cuts steer balance only.
+
+The number of cut points is fixed by arguments, so what reaches the driver, a
+plan or a broadcast does not grow with the rows. Buckets that are still too
+large are opened in rounds: :func:`order_statistics` cuts those that hold a
+wanted rank anew, :func:`subdivided` cuts every bucket into spans inside Spark.
 """
 
 from __future__ import annotations
@@ -21,20 +26,18 @@ from driftspark.functions.hashing import HASH_BITS, hash_key
 
 # Rows looked at when cut points are estimated, at least.
 CUT_SAMPLE_ROWS = 50_000
-# Rows of a bucket, about, at most: more rows make more buckets.
+# Rows of a bucket that are sorted in one place, about, at most: larger buckets are opened.
 ROWS_PER_BUCKET = 1_000_000
+# Parts an opened bucket is cut into for one rank.
+PARTS = 64
+# Spans a bucket is cut into, at most.
+MOST_SPANS = 2**20
 # Above every real bucket.
 NULL_BUCKET = 2**30
 # Parts a hot value is spread over.
 SALTS = 64
 
 
-def bucket_count(n: int, least: int) -> int:
-    """Buckets for ``n`` rows: ``least``, and more once a bucket would hold
-    over ROWS_PER_BUCKET."""
-    return max(least, -(-n // ROWS_PER_BUCKET))
-
-
 def bucket_bits(spark: SparkSession) -> int:
     """log2 of the number of hash buckets: about twice the shuffle width, which
     a session sets by the size of its data."""
@@ -71,12 +74,11 @@ def fit_cuts(df: DataFrame, cols: Sequence[str], n_buckets: int,
     A value met by two neighbouring quantiles is hot: it also gets a cut just
     above it, so that it sits alone in its bucket. Such a bucket never needs
     sorting, whatever share of the rows it holds. ``n`` saves a count when the
-    number of rows is known; large tables get more than ``n_buckets``.
+    number of rows is known.
     """
     if n_buckets < 2:
         return {c: [0.0] for c in cols}
     n = df.count() if n is None else n
-    n_buckets = bucket_count(n, n_buckets)
     df = by_value(df, df.columns, n, max(CUT_SAMPLE_ROWS, 20 * n_buckets))
     probs = ", ".join(f"{i / n_buckets!r}D" for i in range(1, n_buckets))
     # NaN as null; quantiles are looked for in ordinary values only
@@ -127,6 +129,28 @@ def hot_values(cuts: Sequence[float]) -> list[float]:
     return [a for a, b in zip(cuts, cuts[1:]) if b == math.nextafter(a, math.inf)]
 
 
+def subdivided(rows: DataFrame, n: int, n_buckets: int, value: str = "value",
+               on: Sequence[str] = ("feature_id", "bucket"), most: int | None = None) -> DataFrame:
+    """``rows`` with the buckets (last column of ``on``) of a table of ``n``
+    rows cut into equal spans of about ``most`` rows, in the same order.
+
+    A table whose ``n_buckets`` hold few rows each stays as it is. The counts
+    that are sent to every task are one row a bucket, as many as arguments say.
+    """
+    most = most or ROWS_PER_BUCKET
+    if n <= n_buckets * most:
+        return rows
+    bucket, v = on[-1], F.col(value)
+    hist = rows.groupBy(*(F.col(c).alias(f"_on{i}") for i, c in enumerate(on))).agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    spans = F.least(F.ceil(F.col("_n") / most), F.lit(MOST_SPANS)).cast("double")
+    spread_out = (F.col("_hi") > F.col("_lo")) & (F.abs("_lo") < math.inf) & (F.abs("_hi") < math.inf) & (F.col("_hi") - F.col("_lo") < math.inf)
+    # one rounding after another keeps the order of the values
+    span = F.when(spread_out, F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * spans), spans - 1)).otherwise(0)
+    same = [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)]
+    return rows.join(F.broadcast(hist), same).select(
+        *[c for c in rows.columns if c != bucket], (F.col(bucket).cast("long") * MOST_SPANS + span.cast("long")).alias(bucket))
+
+
 def running(hist: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Add ``<c>_before`` (exclusive running sum over buckets) and ``<c>_all``.
 
@@ -150,9 +174,13 @@ def order_statistics(long: DataFrame, ranks: Callable[[int, int], Sequence[int]]
     """Exact values at given 1-based ranks, per ``feature_id``.
 
     ``ranks(feature_id, n)`` names the ranks wanted once the row count is
-    known. Returns ``({(feature_id, rank): value}, {feature_id: n})``. Two
-    passes: a histogram, then a sort of only those buckets that hold a wanted
-    rank. What reaches the driver is bounded by features x (buckets + ranks).
+    known. Returns ``({(feature_id, rank): value}, {feature_id: n})``. A
+    histogram finds the buckets that hold a wanted rank. One of more than
+    ROWS_PER_BUCKET rows is opened: a sketch cuts it into PARTS, these are
+    counted, and the part of the rank is opened in turn, until it holds a
+    single value or few enough rows to be sorted. What reaches the driver is
+    bounded by features x (buckets + PARTS x ranks) a round, whatever the
+    number of rows.
     """
     hist = (long.groupBy("feature_id", "bucket")
             .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -160,37 +188,75 @@ def order_statistics(long: DataFrame, ranks: Callable[[int, int], Sequence[int]]
     by_feature: dict[int, list] = {}
     for r in hist:
         by_feature.setdefault(r["feature_id"], []).append(r)
-    found, totals, wanted = {}, {}, []
+    found, totals, opened = {}, {}, []
     for fid, rows in by_feature.items():
         rows.sort(key=lambda r: r["bucket"])
         totals[fid] = sum(r["n"] for r in rows)
-        todo = sorted(set(ranks(fid, totals[fid])))
-        before = 0
-        for r in rows:
-            while todo and todo[0] <= before + r["n"]:
-                rank = todo.pop(0)
+        for r, before, held in _holders(rows, sorted(set(ranks(fid, totals[fid])))):
+            if r["lo"] == r["hi"]:
+                found |= {(fid, k): r["lo"] for k in held}
+            else:
+                opened.append((fid, r["bucket"], r["lo"], r["hi"], r["n"], before, held))
+    wanted = [o for o in opened if o[4] <= ROWS_PER_BUCKET]
+    large = [o for o in opened if o[4] > ROWS_PER_BUCKET]
+    while large:
+        larger = []
+        for (fid, bucket, *_, base, held), parts in zip(large, _parts(long, large)):
+            for r, before, inner in _holders(parts, held, base):
                 if r["lo"] == r["hi"]:
-                    found[fid, rank] = r["lo"]
+                    found |= {(fid, k): r["lo"] for k in inner}
                 else:
-                    wanted.append((fid, r["bucket"], rank - before, rank))
-            before += r["n"]
+                    (wanted if r["n"] <= ROWS_PER_BUCKET else larger).append(
+                        (fid, bucket, r["lo"], r["hi"], r["n"], before, inner))
+        large = larger
     if wanted:
-        # literals: one per wanted rank, bounded by the arguments
-        slots = sorted({(fid << 32) + bkt for fid, bkt, _, _ in wanted})
-        number = {s: i for i, s in enumerate(slots)}
-        names = {(number[(fid << 32) + bkt] << 44) + rn: (fid, rank) for fid, bkt, rn, rank in wanted}
-        listed = ", ".join(f"{s}L" for s in slots)
-        place = f"array_position(array({listed}), slot) - 1" if len(slots) < 64 else (
-            "element_at(map_from_entries(array(" + ", ".join(f"struct({s}L, {i}L)" for s, i in number.items()) + ")), slot)")
-        rows = (long.selectExpr("shiftleft(cast(feature_id AS bigint), 32) + bucket AS slot", "value")
-                .where(f"slot IN ({listed})")
-                .selectExpr("value", "slot", "row_number() OVER (PARTITION BY slot ORDER BY value) AS rn")
-                .selectExpr("value", f"shiftleft({place}, 44) + rn AS name")
-                .where("name IN (" + ", ".join(f"{n}L" for n in names) + ")").collect())
-        found.update({names[r["name"]]: r["value"] for r in rows})
+        places = [(i, *w[:4]) for i, w in enumerate(wanted)]
+        names = [(i, k - w[5]) for i, w in enumerate(wanted) for k in w[6]]
+        ranked = _inside(long, places).selectExpr("slot", "value", "row_number() OVER (PARTITION BY slot ORDER BY value) AS rn")
+        asked = long.sparkSession.createDataFrame(names, "slot int, rn int")
+        for r in ranked.join(F.broadcast(asked), ["slot", "rn"]).collect():
+            fid, *_, before, _ = wanted[r["slot"]]
+            found[fid, before + r["rn"]] = r["value"]
     return found, totals
 
 
+def _holders(rows, todo: Sequence[int], before: int = 0):
+    """(row, rows before it, wanted ranks in it) of ordered counts."""
+    todo = list(todo)
+    for r in rows:
+        held = []
+        while todo and todo[0] <= before + r["n"]:
+            held.append(todo.pop(0))
+        if held:
+            yield r, before, held
+        before += r["n"]
+
+
+def _inside(long: DataFrame, places: Sequence[tuple]) -> DataFrame:
+    """(slot, value) of the rows in ``places`` (slot, feature, bucket, lo, hi):
+    as many as there are wanted ranks at most, so they are sent to every task."""
+    few = long.sparkSession.createDataFrame([(i, f, b, float(lo), float(hi)) for i, f, b, lo, hi in places],
+                                            "slot int, feature_id int, bucket long, lo double, hi double")
+    on = (long["feature_id"] == few["feature_id"]) & (long["bucket"] == few["bucket"]) & long["value"].between(few["lo"], few["hi"])
+    return long.join(F.broadcast(few), on).select("slot", long["value"])
+
+
+def _parts(long: DataFrame, large: Sequence[tuple]) -> list[list]:
+    """Ordered counts of the parts of every opened bucket."""
+    rows = _inside(long, [(i, *o[:4]) for i, o in enumerate(large)])
+    probs = [i / PARTS for i in range(1, PARTS)]
+    cuts = {r["slot"]: sorted({c for v in r["q"] for c in (float(v), math.nextafter(float(v), math.inf))})
+            for r in rows.groupBy("slot").agg(F.percentile_approx("value", probs, 8 * PARTS).alias("q")).collect()}
+    table = long.sparkSession.createDataFrame(list(cuts.items()), "slot int, cuts array<double>")
+    part = F.size(F.filter("cuts", lambda c: c <= F.col("value")))
+    counted = (rows.join(F.broadcast(table), "slot").select("slot", part.alias("part"), "value").groupBy("slot", "part")
+               .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect())
+    out: list[list] = [[] for _ in large]
+    for r in sorted(counted, key=lambda r: r["part"]):
+        out[r["slot"]].append(r)
+    return out
+
+
 def ntile_ends(n: int, k: int) -> list[int]:
     """Last rank of each of the first k-1 tiles; the first n mod k are longer."""
     size, extra = divmod(n, k)

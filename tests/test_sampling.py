@@ -197,19 +197,72 @@ def test_inexact_distance_does_not_depend_on_the_layout(rows):
     assert got[0] == got[1]
 
 
-def test_buckets_grow_with_the_rows(spark, monkeypatch):
+@pytest.mark.parametrize("shape", ["flat", "steep", "repeated"])
+def test_opened_buckets_give_the_same_ranks_for_any_number_of_rows(spark, monkeypatch, shape):
+    """Exact order statistics, and as many rows at the driver for 100 times the rows."""
+    from driftspark.plans import buckets
+
+    monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 50)
+    monkeypatch.setattr(buckets, "PARTS", 4)
+    monkeypatch.setattr(buckets, "CUT_SAMPLE_ROWS", 500)
+    value = {"flat": "cast(pmod(id * 7919, 100003) AS double)", "steep": "exp(pmod(id * 7919, 100003) / 2000D)",
+             "repeated": "cast(CASE WHEN id % 3 = 0 THEN 5 ELSE pmod(id * 7919, 100003) END AS double)"}[shape]
+    most = {}
+    collect, seen = type(spark.range(1)).collect, []
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    for n in (400, 40_000):
+        df = spark.range(n).selectExpr(f"{value} AS v")
+        values = sorted(r[0] for r in collect(df))
+        long = buckets.to_long(df, ["v"], buckets.fit_cuts(df, ["v"], 4))
+        seen.clear()
+        found, totals = buckets.order_statistics(long, lambda _, m: [1, m // 3, m // 2, m])
+        assert totals == {0: n} and [found[0, r] for r in (1, n // 3, n // 2, n)] == [values[r - 1] for r in (1, n // 3, n // 2, n)]
+        most[n] = max(map(len, seen))
+    assert most[40_000] <= 4 * 2 * 4 + 4  # ranks x parts, with a cut on either side of each
+
+
+@pytest.mark.parametrize("shape", ["flat", "steep", "repeated"])
+def test_subdivided_buckets_keep_the_order(spark, monkeypatch, shape):
     from pyspark.sql import functions as F
 
     from driftspark.plans import buckets
 
+    value = {"flat": "cast(id AS double)", "steep": "CASE WHEN id = 7 THEN double('Infinity') ELSE exp(id / 300D) END",
+             "repeated": "cast(id % 7 AS double)"}[shape]
+    df = spark.range(20_000).selectExpr(f"{value} AS v")
+    long = buckets.to_long(df, ["v"], buckets.fit_cuts(df, ["v"], 4))
     monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 500)
-    for n in (4_000, 40_000):
-        df = spark.range(n).selectExpr("cast(pmod(id * 7919, 100003) AS double) AS v")
-        long = buckets.to_long(df, ["v"], buckets.fit_cuts(df, ["v"], 4))
-        assert long.groupBy("bucket").count().agg(F.max("count")).first()[0] < 1_000
-        found, _ = buckets.order_statistics(long, lambda _, m: [1, m // 2, m])
-        values = sorted((i * 7919) % 100003 for i in range(n))
-        assert [found[0, r] for r in (1, n // 2, n)] == [values[0], values[n // 2 - 1], values[-1]]
+    fine = buckets.subdivided(long, 20_000, 4)
+    rows = sorted((r.bucket, r.lo, r.hi, r.n) for r in fine.groupBy("bucket").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).collect())
+    assert sum(r[3] for r in rows) == 20_000 and all(a[2] < b[1] for a, b in zip(rows, rows[1:]))
+    if shape == "flat":
+        assert max(r[3] for r in rows) <= 600
+    assert buckets.subdivided(long, 20_000, 40) is long
+
+
+def test_distances_of_opened_buckets(spark, monkeypatch):
+    """KS, W1, AUC, quantiles and the permutation test do not change when buckets are opened."""
+    from driftspark.operators import ks, metrics, permutation, wasserstein
+    from driftspark.plans import buckets
+
+    df = spark.range(3_000).selectExpr("id", "cast(pmod(id * 7919, 1009) AS double) AS x", "exp(pmod(id * 31, 997) / 99D) AS y",
+                                       "cast(id % 5 = 0 AS int) AS label")
+    a, b = df.where("id % 3 > 0"), df.where("id % 3 = 0").withColumn("x", df.x + 20)
+    cols, key = ["x", "y"], ["id"]
+
+    def run():
+        return [sorted(map(tuple, t.collect())) for t in (
+            ks.ks_exact(a, b, cols, n_buckets=4), wasserstein.w1_features(a, b, cols, key, n_buckets=4),
+            wasserstein.w1_features(a, b, cols, key, "quantile_union", n_buckets=4), metrics.auc(df, "label", "y"),
+            ks.quantile_table(df, cols, [0.1, 0.5, 0.77]), permutation.swd_null(a, b, cols, key, 3, 5, n_buckets=2),
+            wasserstein.swd(a, b, cols, key, n_projections=3, n_buckets=4))]
+
+    before = run()
+    monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 60)
+    monkeypatch.setattr(permutation, "MOST_ROWS", 60)
+    for one, other in zip(before, run(), strict=True):
+        assert [[v if not isinstance(v, float) else pytest.approx(v, rel=1e-9) for v in r] for r in one] == [list(r) for r in other]
 
 
 def test_label_borders_outside_the_band(spark, monkeypatch):
