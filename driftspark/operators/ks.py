@@ -37,18 +37,26 @@ def _gap(ci: str, cj: str, ni: str, nj: str) -> str:
     return f"CASE WHEN {ni} > 0 AND {nj} > 0 THEN abs(({ci}) / {ni} - ({cj}) / {nj}) ELSE 0D END"
 
 
+def count_cube(long: DataFrame, member: str) -> DataFrame:
+    """Rows, least and largest value of every (feature, bucket, member): one
+    map-side count, of features x buckets x members rows at most. Any sample
+    made of whole members (blocks, windows, sides) is a sum of cells."""
+    return long.groupBy("feature_id", "bucket", member).agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
 def ks_samples(df: DataFrame, features: Sequence[str], member: str,
                samples: Sequence[str], pairs: Sequence[tuple[int, int, int]],
                n_buckets: int = 256, exact: bool = True, nulls: str = "drop",
                cuts: dict[str, list[float]] | None = None, bounds: bool = False,
-               n: int | None = None) -> DataFrame:
+               n: int | None = None, cube: DataFrame | None = None) -> DataFrame:
     """KS distance of many pairs of (overlapping) samples at once.
 
     ``samples`` are SQL conditions on the column ``member``; ``pairs`` are
     ``(pair_id, i, j)`` over them. Returns ``(pair, feature, ks)``.
 
-    Pass 1 counts each sample per bucket of each feature: a map-side
-    aggregate whose shuffle is features x buckets rows. It yields the distance
+    Pass 1 is the :func:`count_cube`, or reads one: every sample is a sum of
+    its cells, so its size does not matter. It yields the distance
     at every bucket end, and a bound on what can happen inside a bucket. Only
     buckets whose bound exceeds the distance already reached are sorted in
     pass 2; a bucket holding a single value never is.
@@ -56,7 +64,7 @@ def ks_samples(df: DataFrame, features: Sequence[str], member: str,
     ``nulls="drop"`` leaves nulls out; ``"count"`` keeps them in the sample
     size only. ``exact=False`` stops after pass 1; with ``bounds`` it then adds
     ``ks_most``, so that the exact distance lies in [ks, ks_most]. ``n`` saves
-    a count when the number of rows is known.
+    a count when the number of rows is known, ``cube`` the scan of pass 1.
     """
     if not features:
         raise ValueError("feature columns must be non-empty")
@@ -71,9 +79,10 @@ def ks_samples(df: DataFrame, features: Sequence[str], member: str,
     m, k = range(len(samples)), range(len(pairs))
     inside = [f"CASE WHEN {s} THEN 1 ELSE 0 END" for s in samples]
     c = [f"c{i}" for i in m]
-    hist = long.groupBy("feature_id", "bucket").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"),
-        *[F.expr(f"sum({x}) AS {n}") for x, n in zip(inside, c)])
+    cells = count_cube(long, member) if cube is None else cube
+    hist = cells.groupBy("feature_id", "bucket").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        *[F.expr(f"sum(n * {x}) AS {c_}") for x, c_ in zip(inside, c)])
     hist = running(hist, ["feature_id"], c)
     end, bound = [], []
     for x, (_, i, j) in enumerate(pairs):

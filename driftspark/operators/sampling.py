@@ -7,19 +7,26 @@ import random
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from driftspark.functions.hashing import HASH_BITS, PERM_PRIME, hash_key, perm_hash, perm_parts
-from driftspark.operators.ks import exact_cuts, ks_samples
+from driftspark.operators.ks import count_cube, exact_cuts, ks_samples
 from driftspark.plans.buckets import (
+    bucket_bits,
     fit_cuts,
     hash_rank,
-    hash_tile_cuts,
     hash_tiles,
+    ntile_ends,
+    order_statistics,
     smallest,
     tile_by_cuts,
+    to_long,
 )
+from driftspark.plans.workdir import new_path
+
+# Deviations of a border beyond its expected place that a store covers, for tables of MANY rows or more.
+BAND, MANY = 8, 10_000
 
 
 def sample_size(epsilon: float = 0.05, alpha: float = 0.10) -> int:
@@ -142,7 +149,7 @@ def bounded_target(k: int) -> int:
 
 def convergence(blocks: DataFrame, features: Sequence[str], t_from: int = 2, t_to: int = 20,
                 exact: bool = True, nulls: str = "drop", cuts: dict | None = None,
-                bounds: bool = False) -> DataFrame:
+                bounds: bool = False, cube: DataFrame | None = None) -> DataFrame:
     """KS distance between the first t-1 and the first t blocks, for all t in
     one plan: ``(t, feature, ks)``."""
     ts = list(range(t_from, t_to + 1))
@@ -150,20 +157,19 @@ def convergence(blocks: DataFrame, features: Sequence[str], t_from: int = 2, t_t
     pairs = [(t, i, i + 1) for i, t in enumerate(ts)]
     return (ks_samples(prefix(blocks, t_to), features, "block_id", samples, pairs,
                        n_buckets=256 if exact or bounds else 50, exact=exact, nulls=nulls, cuts=cuts,
-                       bounds=bounds)
+                       bounds=bounds, cube=cube)
             .withColumnRenamed("pair", "t"))
 
 
-def first_converged(blocks: DataFrame, features: Sequence[str], t_from: int, t_to: int, epsilon: float,
-                    exact: bool, nulls: str, cuts: dict) -> int | None:
-    """Smallest t-1 in the span whose step moved no feature by more than
-    ``epsilon``.
+def first_converged(blocks: DataFrame, features: Sequence[str], t_to: int, epsilon: float,
+                    exact: bool, nulls: str, cuts: dict, cube: DataFrame) -> int | None:
+    """Smallest t-1 whose step moved no feature by more than ``epsilon``.
 
-    The counts per bucket bound every distance from both sides, which settles
-    nearly all steps in one pass; only a step whose bounds enclose ``epsilon``
-    is computed exactly.
+    The cells of the cube bound every distance from both sides, which settles
+    nearly all steps without reading a row; only a step whose bounds enclose
+    ``epsilon`` is computed exactly, from its first blocks.
     """
-    table = convergence(blocks, features, t_from, t_to, False, nulls, cuts, bounds=exact)
+    table = convergence(blocks, features, 2, t_to, False, nulls, cuts, bounds=exact, cube=cube)
     worst = table.groupBy("t").agg(F.max("ks").alias("ks"),
                                    F.max("ks_most" if exact else "ks").alias("most"))
     for r in sorted(worst.collect()):
@@ -171,12 +177,54 @@ def first_converged(blocks: DataFrame, features: Sequence[str], t_from: int, t_t
             continue
         if r["most"] <= epsilon:
             return r["t"] - 1
-        one = convergence(blocks, features, r["t"], r["t"], True, nulls, cuts)
+        one = convergence(blocks, features, r["t"], r["t"], True, nulls, cuts, cube=cube)
         if one.agg(F.max("ks")).first()[0] <= epsilon:
             return r["t"] - 1
     return None
 
 
+class PrefixStore:
+    """The rows that the first blocks of a table can hold, hash key and
+    features only, in one scan; ``n`` rows in all are counted on the way.
+
+    Hash keys are uniform, so the first ``t`` of ``k`` blocks end close to
+    t / k of their range; a band of BAND deviations is kept beyond that, and a
+    table whose border lies outside it is stored whole. Files are in the order
+    of the key, so that a prefix of blocks skips the others' row groups.
+    """
+
+    def __init__(self, df: DataFrame, features: Sequence[str], key: Sequence[str], k: int, t: int, seed: int):
+        rows = df.select(hash_key(key, seed).alias("_h"), *[F.col(c).cast("double").alias(c) for c in features])
+        share = min(1.0, t / k)
+        self.n, self.rows = self._write(rows, share)
+        self.ranks = [r for r in ntile_ends(self.n, k) if r < self.n][:t]
+        self.cuts = self._borders()
+        if len(self.cuts) < len(set(self.ranks)):
+            self.n, self.rows = self._write(rows, 1.0)
+            self.cuts = self._borders()
+
+    @staticmethod
+    def _write(rows: DataFrame, share: float) -> tuple[int, DataFrame]:
+        spark, seen = rows.sparkSession, Observation()
+        path = new_path(spark, "blocks")
+        # the band is as wide as for few rows: at most BAND / 2 / sqrt(MANY) of the range
+        edge = min(1.0, share + BAND * math.sqrt(share * (1 - share) / MANY))
+        (rows.observe(seen, F.count(F.lit(1)).alias("n")).where(F.col("_h") < F.lit(int(edge * 2**HASH_BITS)))
+         .sortWithinPartitions("_h").write.parquet(path))
+        return seen.get["n"], spark.read.schema(rows.schema).parquet(path)
+
+    def _borders(self) -> list[int]:
+        """Last hash key of each of the first blocks, as far as they are stored."""
+        shift = HASH_BITS - bucket_bits(self.rows.sparkSession)
+        long = self.rows.select(F.lit(0).alias("feature_id"), F.col("_h").alias("value"), F.shiftright("_h", shift).cast("int").alias("bucket"))
+        found, _ = order_statistics(long, lambda _, m: [r for r in self.ranks if r <= m])
+        return [found[0, r] for r in sorted(set(self.ranks)) if (0, r) in found]
+
+    def blocks(self) -> DataFrame:
+        """Stored rows with their ``block_id``; the last is cut short."""
+        return tile_by_cuts(self.rows, F.col("_h"), self.cuts, "block_id")
+
+
 def adaptive_sample(df: DataFrame, features: Sequence[str] | None, key: Sequence[str], *,
                     preset: str = "generic", epsilon: float = 0.05, alpha: float = 0.10,
                     epsilon_a2: float = 0.02, seed: int = 42, exact: bool = True,
@@ -185,34 +233,38 @@ def adaptive_sample(df: DataFrame, features: Sequence[str] | None, key: Sequence
 
     Blocks are equal random tiles; block prefixes are compared until one more
     block no longer changes any feature's distribution by ``epsilon_a2``. The
-    steps are tried in a few growing groups, one plan per group, so a table
-    that converges early reads only its first blocks.
+    table is read twice: for the :class:`PrefixStore`, and for the sample that
+    is returned. Borders, cut points and the count cube come from the store,
+    all steps from the cube.
     """
     p = {**PRESETS[preset], **override}
-    features = list(features or p.get("features") or [])
+    features = list(dict.fromkeys(features or p.get("features") or []))
     if not features:
         raise ValueError("feature columns must be non-empty")
     df = coarse_subset(df, key, coarse_parts(p["m"], epsilon, alpha), seed)
     if p.get("rows"):
         target = bounded_target(sample_size(epsilon, alpha)) if p["rows"] == "auto" else p["rows"]
         df = smallest(df, key, target, seed + 2)
-    cuts, n = hash_tile_cuts(df, key, p["k"], seed)
-    if n == 0:
+    store = PrefixStore(df, features, key, p["k"], p["t_max"], seed)
+    if store.n == 0:
         raise ValueError("input window is empty")
-    blocks = tile_by_cuts(df, hash_key(key, seed), cuts, "block_id")
-    t_eff = min(p["t_max"], len(cuts) + 1)
-    chosen, t = None, 2
-    # one set of cut points, from the first blocks, serves all steps
-    few = min(3, t_eff)
-    first = prefix(blocks, few)
-    bins = fit_cuts(first, features, 256, n * few // p["k"]) if exact else exact_cuts(first, features, 50)
-    while chosen is None and t <= t_eff:
-        stop = min(t_eff, 3 if t == 2 else 3 * t)
-        chosen = first_converged(blocks, features, t, stop, epsilon_a2, exact, nulls, bins)
-        t = stop + 1
+    t_eff = min(p["t_max"], len(store.cuts) + (len(store.ranks) < p["t_max"]))
+    chosen = None
+    if t_eff >= 2:
+        blocks = store.blocks()
+        # one set of cut points, from the first blocks, serves all steps
+        few = min(3, t_eff)
+        first = prefix(blocks, few)
+        bins = fit_cuts(first, features, 256, store.n * few // p["k"]) if exact else exact_cuts(first, features, 50)
+        path = new_path(df.sparkSession, "cube")
+        long = to_long(prefix(blocks, t_eff), features, bins, ["block_id"], keep_nulls=nulls == "count")
+        count_cube(long, "block_id").write.parquet(path)
+        cube = df.sparkSession.read.parquet(path)
+        chosen = first_converged(blocks, features, t_eff, epsilon_a2, exact, nulls, bins, cube)
     if chosen is None:
         chosen = max(1, t_eff - 1)
-    out = prefix(blocks, chosen)
+    out = tile_by_cuts(df, hash_key(key, seed), store.cuts, "block_id")
+    out = prefix(out, chosen)
     return out if keep_block else out.drop("block_id")
 
 

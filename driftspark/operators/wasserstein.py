@@ -258,7 +258,7 @@ class Projected:
         return fit_cuts(project(few, self.features, self.dirs, [])[0], self.names, n_buckets, rows)
 
     def long(self, cuts: dict[str, list[float]], most: int | None = None) -> DataFrame:
-        long = to_long(self.wide, self.names, cuts, self.keep, salt="_a")
+        long = to_long(self.wide, self.names, cuts, self.keep, salt="_a").withColumn("bucket", F.col("bucket").cast("long"))
         return subdivided(long, sum(self.n), min(map(len, cuts.values())) + 1, most=most)
 
 

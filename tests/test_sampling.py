@@ -103,13 +103,15 @@ def test_adaptive_sample(rows):
 def test_bounds_enclose_the_distance(rows):
     b = sampling.assign_blocks(rows, ["id"], 50)
     exact = {(r.t, r.feature): r.ks for r in sampling.convergence(b, ["x", "y"]).collect()}
-    from driftspark.operators.ks import fit_cuts
+    from driftspark.operators import ks
+    from driftspark.plans.buckets import fit_cuts, to_long
     cuts = fit_cuts(rows, ["x", "y"], 8)
     for r in sampling.convergence(b, ["x", "y"], exact=False, bounds=True, cuts=cuts).collect():
         assert r.ks <= exact[r.t, r.feature] <= r.ks_most
     # wide bounds: every step has to be settled exactly
     want = min((t for t in range(2, 21) if max(v for (u, _), v in exact.items() if u == t) <= 0.02), default=None)
-    assert sampling.first_converged(b, ["x", "y"], 2, 20, 0.02, True, "drop", cuts) == (want and want - 1)
+    cube = ks.count_cube(to_long(b.where("block_id < 20"), ["x", "y"], cuts, ["block_id"]), "block_id")
+    assert sampling.first_converged(b, ["x", "y"], 20, 0.02, True, "drop", cuts, cube) == (want and want - 1)
 
 
 def test_adaptive_sample_edges(rows):
@@ -197,6 +199,46 @@ def test_inexact_distance_does_not_depend_on_the_layout(rows):
     assert got[0] == got[1]
 
 
+def test_adaptive_sample_reads_the_table_twice(spark, monkeypatch):
+    """Once for the store of the first blocks, once for the result; the same
+    rows where the border lies outside the band and the table is stored whole."""
+    from driftspark.operators import sampling
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    n = 6_000
+    df = spark.range(n).selectExpr("id", "cast(pmod(id * 7919, 1009) AS double) AS x", "exp(pmod(id * 31, 997) / 99D) AS y")
+    df = df.mapInArrow(counted, df.schema)
+    got = sorted(map(tuple, sampling.adaptive_sample(df, ["x", "y"], ["id"], epsilon_a2=0.05, keep_block=True).collect()))
+    assert read.value == 2 * n and 0 < len(got) < n
+    monkeypatch.setattr(sampling, "BAND", -1000)
+    assert sorted(map(tuple, sampling.adaptive_sample(df, ["x", "y"], ["id"], epsilon_a2=0.05, keep_block=True).collect())) == got
+
+
+def test_cube_gives_the_convergence_of_the_rows(spark):
+    """Bounds from the cube enclose the exact distances of every step, and a
+    sample of any blocks is a sum of cells."""
+    from driftspark.operators import ks, sampling
+    from driftspark.plans import buckets
+
+    df = spark.range(3_000).selectExpr("id", "CASE WHEN id % 11 > 0 THEN cast(pmod(id * 7919, 1009) AS double) END AS x")
+    blocks = sampling.assign_blocks(df, ["id"], 10)
+    cuts = buckets.fit_cuts(df, ["x"], 16)
+    for nulls in ("drop", "count"):
+        cube = ks.count_cube(buckets.to_long(blocks, ["x"], cuts, ["block_id"], keep_nulls=nulls == "count"), "block_id").cache()
+        exact = {r.t: r.ks for r in sampling.convergence(blocks, ["x"], 2, 10, nulls=nulls).collect()}
+        again = {r.t: r.ks for r in sampling.convergence(blocks, ["x"], 2, 10, nulls=nulls, cuts=cuts, cube=cube).collect()}
+        bound = {r.t: (r.ks, r.ks_most) for r in sampling.convergence(
+            blocks, ["x"], 2, 10, False, nulls, cuts, bounds=True, cube=cube).collect()}
+        assert exact == again and all(lo <= exact[t] + 1e-12 and exact[t] <= hi + 1e-12 for t, (lo, hi) in bound.items())
+        assert cube.count() <= 10 * (len(cuts["x"]) + 2)
+
+
 @pytest.mark.parametrize("shape", ["flat", "steep", "repeated"])
 def test_opened_buckets_give_the_same_ranks_for_any_number_of_rows(spark, monkeypatch, shape):
     """Exact order statistics, and as many rows at the driver for 100 times the rows."""
