@@ -24,9 +24,11 @@ from driftspark.catalog.base import (
 from driftspark.functions.hashing import PERM_PRIME
 from driftspark.operators import ks
 from driftspark.operators import permutation as perm
+from driftspark.operators import sketches as sk
 from driftspark.operators import wasserstein as ws
 from driftspark.operators.drift import swd_by_window
 from driftspark.operators.metrics import null_density
+from driftspark.plans.workdir import new_path
 
 _SIDES = f"sides AS ({sql_sides(LINE_FEATURES, LINE_KEY)})"
 _LONG = sql_long("sides", LINE_FEATURES, "side")
@@ -257,6 +259,52 @@ def swd_diagnostics(spark, d):
     return rounded(r, "max_abs_diff", "w1_first", "w1_mean", "w1_std")
 
 
+# ---- stored sketches --------------------------------------------------------
+
+_YEARS = "year(l_shipdate)"
+
+
+def _year_sketches(spark, d):
+    """Sketches of every shipping year, stored in two parts and read back."""
+    rows = lines(spark, d).withColumn("y", F.year("l_shipdate"))
+    path = new_path(spark, "sketches")
+    for part in ("l_linenumber % 2 = 0", "l_linenumber % 2 <> 0"):
+        sk.append_sketches(sk.window_sketches(rows.where(part), "y", LINE_FEATURES), path)
+    return rows, sk.read_sketches(spark, path)
+
+
+def _sketch_sql(earlier: str) -> str:
+    return (f"WITH w AS (SELECT *, {_YEARS} AS y FROM lineitem), ys AS (SELECT DISTINCT y FROM w), p AS ("
+            + " UNION ALL ".join(f"SELECT y, '{f}' AS feature, {f}::DOUBLE AS v FROM w" for f in LINE_FEATURES)
+            + f""") SELECT ys.y::INTEGER AS "window", feature, count(*) FILTER (p.y = ys.y) AS n, count(*) FILTER ({earlier}) AS n_before,
+    true AS within FROM ys, p GROUP BY ys.y, feature HAVING count(*) FILTER ({earlier}) > 0""")
+
+
+def _sketch_facts(spark, d, against):
+    """Sizes, and whether the distance of the stored sketches lies within the
+    error of two such sketches of the exact one."""
+    rows, stored = _year_sketches(spark, d)
+    years = [r["window"] for r in stored.select("window").distinct().orderBy("window").collect()]
+    before = {y: f"y < {y}" if against == "before" else f"y = {x}" for x, y in zip([None, *years], years)}
+    samples = [c for y in years[1:] for c in (f"y = {y}", before[y])]
+    exact = ks.ks_samples(rows, LINE_FEATURES, "y", samples, [(y, 2 * i, 2 * i + 1) for i, y in enumerate(years[1:])])
+    got = sk.sketch_drift(stored, against)
+    exact = exact.select(F.col("pair").alias("window"), "feature", F.col("ks").alias("exact"))
+    # a bound that holds for 99 of 100 pairs: twice of it for all
+    return got.join(exact, ["window", "feature"]).select(
+        "window", "feature", "n", "n_before", (F.abs(F.col("ks") - F.col("exact")) <= 2 * sk.ks_error()).alias("within"))
+
+
+@query("sketch_drift", _sketch_sql("p.y < ys.y"))
+def sketch_drift(spark, d):
+    return _sketch_facts(spark, d, "before")
+
+
+@query("sketch_drift_previous", _sketch_sql("p.y = (SELECT max(o.y) FROM ys o WHERE o.y < ys.y)"))
+def sketch_drift_previous(spark, d):
+    return _sketch_facts(spark, d, "previous")
+
+
 # ---- permutation test -------------------------------------------------------
 
 PERMS, PDIRS = 30, 6
