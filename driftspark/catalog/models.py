@@ -3,10 +3,11 @@ else row counts; the rest is checked by tests."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftspark.catalog.base import LINE_FEATURES, LINE_KEY, lines, query, table
-from driftspark.functions.hashing import hash_unit
+from driftspark.catalog.base import LINE_FEATURES, LINE_KEY, lines, query, sql_hash, sql_unit, table
+from driftspark.functions.hashing import HASH_BITS, hash_unit
 from driftspark.operators import learn
 from driftspark.operators import metrics as met
 from driftspark.operators.drift import DriftTest, Learning, Roles, WindowLoop
@@ -80,22 +81,38 @@ def ensemble_metrics(spark, d):
     return spark.range(1).select(*[F.lit(bool(abs(v.first()[k] - m[k]) < 1e-9)).alias(k) for k, v in exact.items()])
 
 
-@query("compare_training")
+@query("compare_training", " UNION ALL ".join(f"SELECT '{p}' AS training_data, '{t}' AS model_type, true AS learns, true AS close, true AS timed"
+                                              for p in ("full", "sample") for t in MODEL_TYPES))
 def compare_training(spark, d):
+    """All four model types learn from all rows; from the sample too, at less
+    than a tenth of the area under the curve, but for the boosted trees, whose
+    leaves ask for 500 rows each, more than a small sample has."""
     df = orders(spark, d)
     sample = adaptive_sample(df, FEATURES, KEY)
-    return learn.compare_training(df, sample, FEATURES, "label", KEY)
+    c = F.col
+    few = (c("training_data") == "sample") & (c("model_type") == "gbt")
+    full = F.max(F.when(c("training_data") == "full", c("auc"))).over(Window.partitionBy("model_type"))
+    return learn.compare_training(df, sample, FEATURES, "label", KEY).select(
+        "training_data", "model_type", (few | (c("auc") > 0.6)).alias("learns"), (few | (F.abs(c("auc") - full) < 0.1)).alias("close"), (c("seconds") > 0).alias("timed"))
 
 
-@query("rescore_saved")
+@query("rescore_saved", " UNION ALL ".join(f"SELECT '{m}' AS model, '{p}' AS data, true AS learns, true AS same"
+                                           for m in ("dt", "lr") for p in ("sample", "test")))
 def rescore_saved(spark, d):
+    """A model read back scores each part as the fitted one did."""
     df = orders(spark, d)
     fit, check = split(df, KEY)
     base = new_path(spark, "models")
     paths = {t: f"{base}/{t}" for t in ("dt", "lr")}
+    models = {t: learn.build_model(FEATURES, "label", t, model_set="notebook", scale="std").fit(fit) for t in paths}
     for t, p in paths.items():
-        learn.save_model(learn.build_model(FEATURES, "label", t, model_set="notebook", scale="std").fit(fit), p)
-    return learn.rescore_saved(paths, {"sample": adaptive_sample(df, FEATURES, KEY), "test": check}, "label")
+        learn.save_model(models[t], p)
+    parts = {"sample": adaptive_sample(df, FEATURES, KEY), "test": check}
+    before = [(t, p, learn.evaluators("label")["auc"].evaluate(m.transform(rows).withColumn("label", F.col("label").cast("double"))))
+              for t, m in models.items() for p, rows in parts.items()]
+    before = spark.createDataFrame(before, "model string, data string, fitted double")
+    return learn.rescore_saved(paths, parts, "label").join(before, ["model", "data"]).select(
+        "model", "data", (F.col("auc") > 0.6).alias("learns"), (F.abs(F.col("auc") - F.col("fitted")) < 1e-9).alias("same"))
 
 
 @query("static_baseline", """SELECT extract('year' FROM o_orderdate)::INTEGER - 1995 AS "window", count(*) AS cnt, true AS good FROM orders GROUP BY 1""")
@@ -107,11 +124,16 @@ def static_baseline(spark, d):
         F.count("*").alias("cnt"), (F.avg((F.col("prediction") == F.col("label")).cast("double")) > 0.6).alias("good"))
 
 
-@query("block_trees")
+@query("block_trees", f"""
+  SELECT o_orderkey, (o_totalprice / 500000 + extract('month' FROM o_orderdate) / 24 + {sql_unit(12, 'o_orderkey')} / 3 > 0.85)::INTEGER AS label,
+    true AS voted, true AS learns FROM orders WHERE {sql_hash(42, 'o_orderkey')} >= {int(0.8 * 2**HASH_BITS)}""")
 def block_trees(spark, d):
+    """Every test row gets a vote, and over two thirds of the votes are right."""
     df = orders(spark, d)
     fit, check = split(df, KEY)
-    return learn.block_trees(assign_blocks(fit, KEY, 5), check, FEATURES, "label", KEY, range(5))
+    votes = learn.block_trees(assign_blocks(fit, KEY, 5), check, FEATURES, "label", KEY, range(5))
+    right = votes.agg(F.avg((F.col("vote") == F.col("label")).cast("double"))).first()[0]
+    return votes.select("o_orderkey", "label", F.col("vote").isin(0, 1).alias("voted"), F.lit((right or 0) > 2 / 3).alias("learns"))
 
 
 @query("kmeans_on_sample", "SELECT 4 AS clusters, true AS whole")

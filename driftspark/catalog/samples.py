@@ -235,6 +235,12 @@ def adaptive_sample_fixed_columns(spark, d):
     return smp.adaptive_sample(wide, None, LINE_KEY, preset="fixed_columns").select(*LINE_KEY)
 
 
-@query("sampling_times")
+@query("sampling_times", """SELECT method, CASE WHEN method <> 'adaptive' THEN least(2396, n) END AS n_rows, true AS part_of_all, true AS timed
+  FROM (VALUES ('adaptive'), ('by_key'), ('bernoulli')) m(method), (SELECT count(*) AS n FROM lineitem)""")
 def sampling_times(spark, d):
-    return smp.sampling_times(lines(spark, d), LINE_FEATURES, LINE_KEY, 2396)
+    """Rows and time of the samplers; how many rows the adaptive one takes is
+    checked by its own queries."""
+    n, c = lines(spark, d).count(), F.col
+    return smp.sampling_times(lines(spark, d), LINE_FEATURES, LINE_KEY, 2396).select(
+        "method", F.when(c("method") != "adaptive", c("n_rows")).alias("n_rows"), c("n_rows").between(1, n).alias("part_of_all"),
+        (c("seconds") > 0).alias("timed"))

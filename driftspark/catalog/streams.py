@@ -24,25 +24,30 @@ def every_nth(spark, d):
 
 
 def _lines(spark, d):
-    """CSV lines; some are too short, some hold a word."""
+    """CSV lines; some are too short, some hold a word, some a number with a
+    type letter, which is none, and some NaN, which is one."""
     e = table(spark, d, "events")
     i = F.col("event_id")
     good = F.concat_ws(",", i.cast("string"), F.col("user_id").cast("string"), F.col("value").cast("string"))
     return e.select(i.alias("pos"), F.when(i % 11 == 3, F.concat_ws(",", i.cast("string"), F.lit("1")))
                     .when(i % 13 == 5, F.concat_ws(",", i.cast("string"), F.lit("none"), F.lit("2.5")))
+                    .when(i % 17 == 7, F.concat_ws(",", i.cast("string"), F.lit("1d"), F.lit("2.5")))
+                    .when(i % 19 == 4, F.concat_ws(",", i.cast("string"), F.col("user_id").cast("string"), F.lit("NaN")))
                     .otherwise(good).alias("value"))
 
 
-_GOOD = "SELECT event_id, user_id, value FROM events WHERE NOT (event_id % 11 = 3) AND NOT (event_id % 13 = 5)"
+_GOOD = """SELECT event_id, user_id, CASE WHEN event_id % 19 <> 4 THEN value END AS value, event_id % 19 = 4 AS not_a_number FROM events
+  WHERE NOT (event_id % 11 = 3) AND NOT (event_id % 13 = 5) AND NOT (event_id % 17 = 7)"""
 
 
-@query("publish_rows", f"SELECT event_id::DOUBLE AS event_id, user_id::DOUBLE AS user_id, value FROM ({_GOOD})")
+@query("publish_rows", f"SELECT event_id::DOUBLE AS event_id, user_id::DOUBLE AS user_id, value, not_a_number FROM ({_GOOD})")
 def publish_rows(spark, d):
     """Lines -> valid rows -> messages -> files -> rows again."""
     names = ["event_id", "user_id", "value"]
     path = new_path(spark, "messages")
     ingest.publish(ingest.to_messages(ingest.parse_rows(_lines(spark, d), names), names), path)
-    return ingest.decode_json(spark.read.text(path), "event_id double, user_id double, value double")
+    rows = ingest.decode_json(spark.read.text(path), "event_id double, user_id double, value double")
+    return rows.select("event_id", "user_id", F.nanvl("value", F.lit(None)).alias("value"), F.isnan("value").alias("not_a_number"))
 
 
 _SIZED = """WITH m AS (SELECT event_id, '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS j FROM events),

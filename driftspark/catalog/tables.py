@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftspark.catalog.base import (
@@ -113,9 +114,19 @@ def saved_sample(spark, d):
     return files.save_sample(s.select("o_orderkey", "o_totalprice"), new_path(spark, "sample"))
 
 
-@query("file_sizes")
+_FILES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("file_sizes", " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, true AS bytes_there, true AS units_follow, true AS adds_up" for t in _FILES)
+       + " UNION ALL SELECT NULL, true, true, true")
 def file_sizes(spark, d):
-    return files.file_sizes(spark, d, "*.parquet")
+    """One row per table file and one for all: sizes are positive, MB and GB
+    follow from the bytes, and the total is their sum."""
+    c, total = F.col, F.sum(F.when(F.col("file").isNotNull(), F.col("bytes"))).over(Window.partitionBy())
+    return files.file_sizes(spark, d, "*.parquet").withColumn("_total", total).select(
+        "file", (c("bytes") > 0).alias("bytes_there"),
+        ((F.abs(c("mb") * 1024**2 - c("bytes")) <= 0.0051 * 1024**2) & (F.abs(c("gb") * 1024**3 - c("bytes")) <= 0.00051 * 1024**3)).alias("units_follow"),
+        (c("file").isNotNull() | (c("bytes") == c("_total"))).alias("adds_up"))
 
 
 # ---- projections and filters ------------------------------------------------

@@ -7,7 +7,7 @@ import random
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions.hashing import HASH_BITS, PERM_PRIME, hash_key, perm_hash, perm_parts
@@ -25,8 +25,8 @@ from driftspark.plans.buckets import (
 )
 from driftspark.plans.workdir import new_path
 
-# Deviations of a border beyond its expected place that a store covers, for tables of MANY rows or more.
-BAND, MANY = 8, 10_000
+# Deviations of a border beyond its expected place that a store covers.
+BAND = 8
 
 
 def sample_size(epsilon: float = 0.05, alpha: float = 0.10) -> int:
@@ -185,7 +185,8 @@ def first_converged(blocks: DataFrame, features: Sequence[str], t_to: int, epsil
 
 class PrefixStore:
     """The rows that the first blocks of a table can hold, hash key and
-    features only, in one scan; ``n`` rows in all are counted on the way.
+    features only, in one scan, after a count of its ``n`` rows, for which a
+    plain Parquet table is not read.
 
     Hash keys are uniform, so the first ``t`` of ``k`` blocks end close to
     t / k of their range; a band of BAND deviations is kept beyond that, and a
@@ -196,22 +197,19 @@ class PrefixStore:
     def __init__(self, df: DataFrame, features: Sequence[str], key: Sequence[str], k: int, t: int, seed: int):
         rows = df.select(hash_key(key, seed).alias("_h"), *[F.col(c).cast("double").alias(c) for c in features])
         share = min(1.0, t / k)
-        self.n, self.rows = self._write(rows, share)
+        self.n = df.count()
+        self.rows = self._write(rows, share)
         self.ranks = [r for r in ntile_ends(self.n, k) if r < self.n][:t]
         self.cuts = self._borders()
         if len(self.cuts) < len(set(self.ranks)):
-            self.n, self.rows = self._write(rows, 1.0)
+            self.rows = self._write(rows, 1.0)
             self.cuts = self._borders()
 
-    @staticmethod
-    def _write(rows: DataFrame, share: float) -> tuple[int, DataFrame]:
-        spark, seen = rows.sparkSession, Observation()
-        path = new_path(spark, "blocks")
-        # the band is as wide as for few rows: at most BAND / 2 / sqrt(MANY) of the range
-        edge = min(1.0, share + BAND * math.sqrt(share * (1 - share) / MANY))
-        (rows.observe(seen, F.count(F.lit(1)).alias("n")).where(F.col("_h") < F.lit(int(edge * 2**HASH_BITS)))
-         .sortWithinPartitions("_h").write.parquet(path))
-        return seen.get["n"], spark.read.schema(rows.schema).parquet(path)
+    def _write(self, rows: DataFrame, share: float) -> DataFrame:
+        path = new_path(rows.sparkSession, "blocks")
+        edge = min(1.0, share + BAND * math.sqrt(share * (1 - share) / max(1, self.n)))
+        rows.where(F.col("_h") < F.lit(int(edge * 2**HASH_BITS))).sortWithinPartitions("_h").write.parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
     def _borders(self) -> list[int]:
         """Last hash key of each of the first blocks, as far as they are stored."""
@@ -233,8 +231,8 @@ def adaptive_sample(df: DataFrame, features: Sequence[str] | None, key: Sequence
 
     Blocks are equal random tiles; block prefixes are compared until one more
     block no longer changes any feature's distribution by ``epsilon_a2``. The
-    table is read twice: for the :class:`PrefixStore`, and for the sample that
-    is returned. Borders, cut points and the count cube come from the store,
+    table is counted, then read twice: for the :class:`PrefixStore`, and for
+    the sample that is returned. Borders, cut points and the count cube come from the store,
     all steps from the cube.
     """
     p = {**PRESETS[preset], **override}

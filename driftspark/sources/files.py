@@ -63,25 +63,25 @@ def listed_windows(spark: SparkSession, paths: Sequence[str], **kw) -> DataFrame
     if not paths:
         raise ValueError("window paths must be non-empty")
     df = read_any(spark, list(dict.fromkeys(paths)), **kw)
-    # the path as listed is the file's own path or a folder above it
-    plain = F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/+", "/")
-    places = []  # a path may be listed more than once
-    for i, p in enumerate(paths):
-        inside = re.sub("^[a-z0-9]+:/+", "/", p).rstrip("/")
-        places.append(F.when((plain == inside) | plain.startswith(inside + "/"), i))
-    return df.withColumn("window_id", F.explode(F.array_compact(F.array(*places))))
+    # the path as listed is the file's own path or a folder above it: every file
+    # is met by all its folders once, and no row is tested against the list
+    inside = [(i, re.sub("^[a-z0-9]+:/+", "/", p).rstrip("/")) for i, p in enumerate(paths)]
+    listed = spark.createDataFrame(inside, "window_id int, _at string")
+    files = df.select(F.col("_metadata.file_path").alias("_path")).distinct()
+    steps = F.split(F.regexp_replace("_path", "^[a-z0-9]+:/+", "/"), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    windows = files.select("_path", F.explode(above).alias("_at")).join(listed, "_at").select("_path", "window_id")
+    return df.withColumn("_path", F.col("_metadata.file_path")).join(windows, "_path").drop("_path")
 
 
 def write_windows(df: DataFrame, path: str, key: Sequence[str], files: int | None = None) -> None:
     """All windows in one job. A window is spread over ``files`` tasks by row
     key, or over as many as its rows ask for, so a large one is no straggler."""
-    rows = {r["window_id"]: r["count"] for r in df.groupBy("window_id").count().collect()}  # one row per window
-    many = F.lit(files or 1)
-    for w, n in rows.items():
-        if not files and n > ROWS_PER_FILE:
-            many = F.when(F.col("window_id") == w, -(-n // ROWS_PER_FILE)).otherwise(many)
-    part = F.pmod(F.xxhash64(*key), many)
-    (df.withColumn("_part", part).repartition("window_id", "_part").drop("_part")
+    parts = F.lit(files) if files else F.greatest(F.ceil(F.col("count") / ROWS_PER_FILE), F.lit(1))
+    sizes = df.groupBy("window_id").count().select(F.col("window_id").alias("_window"), parts.cast("int").alias("_parts"))
+    df = df.join(sizes, F.col("window_id").eqNullSafe(F.col("_window")))
+    part = F.pmod(F.xxhash64(*key), F.col("_parts"))
+    (df.withColumn("_part", part).repartition("window_id", "_part").drop("_part", "_parts", "_window")
      .write.mode("overwrite").partitionBy("window_id").parquet(path))
 
 
