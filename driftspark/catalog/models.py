@@ -124,14 +124,18 @@ def static_baseline(spark, d):
         F.count("*").alias("cnt"), (F.avg((F.col("prediction") == F.col("label")).cast("double")) > 0.6).alias("good"))
 
 
+def block_trees(spark, d):
+    df = orders(spark, d)
+    fit, check = split(df, KEY)
+    return learn.block_trees(assign_blocks(fit, KEY, 5), check, FEATURES, "label", KEY, range(5))
+
+
 @query("block_trees", f"""
   SELECT o_orderkey, (o_totalprice / 500000 + extract('month' FROM o_orderdate) / 24 + {sql_unit(12, 'o_orderkey')} / 3 > 0.85)::INTEGER AS label,
     true AS voted, true AS learns FROM orders WHERE {sql_hash(42, 'o_orderkey')} >= {int(0.8 * 2**HASH_BITS)}""")
-def block_trees(spark, d):
+def block_votes(spark, d):
     """Every test row gets a vote, and over two thirds of the votes are right."""
-    df = orders(spark, d)
-    fit, check = split(df, KEY)
-    votes = learn.block_trees(assign_blocks(fit, KEY, 5), check, FEATURES, "label", KEY, range(5))
+    votes = block_trees(spark, d)
     right = votes.agg(F.avg((F.col("vote") == F.col("label")).cast("double"))).first()[0]
     return votes.select("o_orderkey", "label", F.col("vote").isin(0, 1).alias("voted"), F.lit((right or 0) > 2 / 3).alias("learns"))
 
