@@ -107,6 +107,39 @@ def test_wrapped_licences(spark):
         [(0, 0, "MIT"), (0, 4, "MIT"), (1, 2, "BSD"), (2, 3, "GPL"), (3, 0, "MIT"), (3, 0, "MIT"), (4, 1, "MIT"), (6, 1, "GPL")])
 
 
+def test_licences_in_very_long_texts(spark):
+    """Licence words all along one line, and along lines of one paragraph: the
+    windows do not carry the text."""
+    notice = "Licensed under the Apache License, Version 2.0"
+    docs = documents(spark, [(1, "the license of plain words and mill town " * 25_000 + "\n\n" + notice, "en", "a", 1),
+                             (2, "the license of plain words\n" * 40_000 + "\n" + notice, "en", "a", 1),
+                             (3, (notice + " see the file. ") * 2_000, "en", "a", 1), *ROWS])
+    out = licences.scan(docs, *licences.train(documents(spark))).collect()
+    assert {(r["doc_id"], r["line"], r["family"]) for r in out} == {(1, 2, "Apache-2.0"), (2, 40_001, "Apache-2.0"), (3, 0, "Apache-2.0")}
+    assert sorted(r["word"] for r in out if r["doc_id"] == 3) == list(range(0, 11 * 2_000 - 30, 30))
+
+
+def test_windows_of_paragraphs(spark):
+    """Against plain code: windows over several lines, with line and place of every word."""
+    texts = ["a b\nc d e\n\nf g\nh", "one line only here", "", "\n\na\n\n", " ".join("abcdefgh" * 12) + "\n" + " ".join("xyz" * 20) + "\n\n\n"
+             + "\n".join("pqrst" * 30), "a\nb"]
+
+    def plain(text):
+        spans, out = [[]], []
+        for at, line in enumerate(text.split("\n")):
+            ws = licences.plain_words(line)
+            spans = spans if ws else [*spans, []]
+            spans[-1] += [(at, k + 1, w) for k, w in enumerate(ws)]
+        for s in spans:
+            cuts = [s[k:k + licences.WINDOW] for k in range(0, max(len(s) - licences.WINDOW + licences.STEP, 1), licences.STEP)]
+            out += [c for c in cuts if c and c[0][0] < c[-1][0]]
+        return out if sum(map(len, spans)) >= licences.MIN_WORDS else []
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", licences.paragraph_windows(df.text).alias("w")).collect()
+    assert {r["text"]: [[tuple(x) for x in w] for w in r["w"]] for r in got} == {t: plain(t) for t in texts}
+
+
 def test_anchors_lose_nothing():
     """Without them less than SIMILAR of any statement is left."""
     found = set(licences.anchors())
