@@ -97,8 +97,12 @@ def char_spans(text: str | None, runs) -> list[dict]:
         return []
     raw = text.encode("utf-8", "replace")
     at = [m.span() for m in WORD.finditer(raw.lower())]
-    place = lambda k: len(raw[:k].decode("utf-8", "replace"))
-    return [{"start": place(at[a][0]), "end": place(at[b - 1][1])} for a, b in runs]
+    out, byte, point = [], 0, 0
+    for edge in (e for a, b in runs for e in (at[a][0], at[b - 1][1])):  # rising
+        point += len(raw[byte:edge].decode("utf-8", "replace"))
+        byte = edge
+        out.append(point)
+    return [{"start": a, "end": b} for a, b in zip(out[::2], out[1::2])]
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",

@@ -19,6 +19,8 @@ of the page in linear time. Repeated rows are extracted on their own.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -116,7 +118,7 @@ def tokens(page: str):
                 stop = TAG_STOP.search(page, i)
                 if not stop or stop[0] == ">":
                     break
-                end = seek(stop[0], stop.end(), page) if page[:stop.start()][-40:].rstrip()[-1:] == "=" else -1
+                end = seek(stop[0], stop.end(), page) if page[max(0, stop.start() - 40):stop.start()].rstrip()[-1:] == "=" else -1
                 i = stop.end() if end < 0 else end + 1
             end = stop.start() if stop else n
             at = end + 1
@@ -224,6 +226,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     holders: list[Holder] = []
     stack: list[tuple[str, str]] = []  # (element, why it hides)
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by name
     hiding = depth_article = links = 0
     holder = -1
     parts: list[str] = []
@@ -240,6 +243,7 @@ def blocks(page: str) -> list[Block]:
     def pop():
         nonlocal hiding, depth_article, links, heading, holder
         name, hides = stack.pop()
+        places[name].pop()
         if hides and hides != "always":  # other text may follow without a new block
             flush()
         hiding -= hides == "always"
@@ -264,15 +268,12 @@ def blocks(page: str) -> list[Block]:
             flush()
         if kind == "open":
             ends = {"p"} if name in BLOCKS and name not in CLOSES else CLOSES.get(name, set())
-            if ends:
+            if any(places[x] for x in ends):
                 fences = FENCES.get(name, set()) | {"article", "main", "div", "section", "body", "table", "nav", "aside"}
-                k = len(stack)
-                while k and stack[k - 1][0] not in fences:
-                    k -= 1
-                if any(x in ends for x, _ in stack[k:]):
-                    first = next(i for i in range(k, len(stack)) if stack[i][0] in ends)
-                    while len(stack) > first:
-                        pop()
+                fence = max((places[x][-1] for x in fences if places[x]), default=-1)
+                inner = [places[x][k] for x in ends if (k := bisect_right(places[x], fence)) < len(places[x])]
+                while inner and len(stack) > min(inner):
+                    pop()
             if name in VOID:
                 continue
             hides = hidden(name, token[2])
@@ -282,6 +283,7 @@ def blocks(page: str) -> list[Block]:
                 flush()
                 holders.append(Holder(hides, holder))
                 holder = len(holders) - 1
+            places[name].append(len(stack))
             stack.append((name, hides))
             hiding += hides == "always"
             if name in ("article", "main") and not hides and not hiding:
@@ -291,7 +293,7 @@ def blocks(page: str) -> list[Block]:
             depth_article += name in ("article", "main") and not hides
             links += name == "a"
             heading = heading or name in HEADINGS
-        elif any(x == name for x, _ in stack):
+        elif places[name]:
             while stack[-1][0] != name:
                 pop()
             pop()

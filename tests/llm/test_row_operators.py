@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from compare import compare
@@ -155,6 +156,17 @@ def test_overlap(spark, max_bytes):
     assert [rows[2][1][s["start"]:s["end"]] for s in r["hit_spans"]] == ["naïve-漢字 test"]
 
 
+def test_overlap_spans_of_many_runs():
+    text = " ".join(f"wörd{i}\U0001f600 -" for i in range(40_000))
+    runs = [[i, i + 2] for i in range(0, 39_990, 5)]
+    start = time.perf_counter()
+    spans = decontaminate.char_spans(text, runs)
+    assert time.perf_counter() - start < 5
+    assert all(text[s["start"]:s["end"]].startswith(f"wörd{a} "[:-1]) and text[s["start"]:s["end"]].split()[0::2] == [
+        f"wörd{k}\U0001f600" for k in range(a, b)] for s, (a, b) in zip(spans, runs))
+    assert len(spans) == len(runs)
+
+
 def test_overlap_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not decontaminate.find_overlap(documents(spark), bench).where("n_hit > 0 or contaminated").count()
@@ -234,6 +246,19 @@ def test_html_holders_are_linear():
         html_text.main_text(page)
 
 
+@pytest.mark.parametrize("page", ["<b>{}</i>", "<b>x<hr>", '<a href="x">y</a> ', "<p>a", "<ul><li>a", "<table><tr><td>a", "<div class='widget'><b>a"])
+def test_html_time_grows_with_the_page(page):
+    def seconds(n):
+        head, _, tail = page.partition("{}")
+        text = head * n + tail * n
+        start = time.perf_counter()
+        html_text.main_text(text)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(24_000) < 8 * max(seconds(6_000), 0.05)
+
+
 @pytest.mark.parametrize("page", [None, "", "plain words only", "<", "<p", "<p>a<!-- open", "<a href='x>y", "</>", "<script>never closed", "&#xZZ; &bogus;",
                                   "<p>" * 20_000 + "deep", "<a title=\"" * 20_000, "<div class='x'>" * 5_000, "< 3 and > 2", "\x00<p>\x00"])
 def test_html_odd_pages(page):
