@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -17,7 +19,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.functions.columns import score_vector, threshold, weighted_probability
@@ -39,6 +41,7 @@ NOTEBOOK = {
     "lr": (LogisticRegression, dict(maxIter=50, regParam=0.0), False),
 }
 MODEL_SETS = {"standard": STANDARD, "notebook": NOTEBOOK}
+PARALLEL = 4  # fits at a time
 # Columns a fitted model adds besides its score.
 MODEL_COLUMNS = ["features_raw", "features", "rawPrediction", "probability", "prediction"]
 
@@ -104,24 +107,50 @@ class Fitted:
         return f"w{self.window_idx:05d}-{self.model_type}"
 
 
-def fit_all(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str,
-            window_idx: int = 0, seed: int = 42, types: Sequence[str] = MODEL_TYPES, **build) -> list[Fitted]:
-    """Fit every model type. Training and validation rows are cut to the
-    columns in use and kept for all fits."""
+A, B = TypeVar("A"), TypeVar("B")
+
+
+def side_by_side(spark: SparkSession, work: Callable[[A], B], items: Sequence[A], parallel: int = PARALLEL) -> list[B]:
+    """``work`` of every item, in their order; the Spark jobs of up to
+    ``parallel`` items run at once, each item in a scheduler pool of its own
+    (these share the executors evenly where ``spark.scheduler.mode`` is FAIR).
+    The stages of one fit are short and many, so alone it leaves cores idle.
+    The first error is raised when the items at work have ended; none is begun
+    after it."""
+    def run(item: A) -> B:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"item-{item}")
+        return work(item)
+
+    with ThreadPoolExecutor(max(1, min(parallel, len(items)))) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(run), i) for i in items]
+        try:
+            return [j.result() for j in jobs]
+        except BaseException:
+            pool.shutdown(wait=True, cancel_futures=True)
+            raise
+
+
+def fit_all(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str, window_idx: int = 0,
+            seed: int = 42, types: Sequence[str] = MODEL_TYPES, parallel: int = PARALLEL, **build) -> list[Fitted]:
+    """Fit every model type, ``parallel`` at a time. Training and validation
+    rows are cut to the columns in use and kept for all fits."""
     cols = [*features, label]
     train, valid = (d.select(*cols).persist(StorageLevel.MEMORY_AND_DISK) for d in (train, valid))
-    out = []
+
+    def one(t: str) -> Fitted:
+        start = time.perf_counter()
+        model = build_model(features, label, t, seed, **build).fit(train)
+        seconds = time.perf_counter() - start
+        m = evaluate_frame(model.transform(valid), label)
+        return Fitted(model, t, window_idx, m["auc"], m["f1"], m["accuracy"], seconds)
+
     try:
-        for t in types:
-            start = time.perf_counter()
-            model = build_model(features, label, t, seed, **build).fit(train)
-            seconds = time.perf_counter() - start
-            m = evaluate_frame(model.transform(valid), label)
-            out.append(Fitted(model, t, window_idx, m["auc"], m["f1"], m["accuracy"], seconds))
+        for d in (train, valid):
+            d.count()  # kept before the fits begin, so that no two of them read the source
+        return side_by_side(train.sparkSession, one, list(types), parallel)
     finally:
         train.unpersist()
         valid.unpersist()
-    return out
 
 
 def best_of(fitted: Sequence[Fitted]) -> Fitted:
@@ -215,12 +244,15 @@ def rescore_saved(paths: dict[str, str], data: dict[str, DataFrame], label: str)
 
 
 def block_trees(blocks: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-                key: Sequence[str], block_ids: Sequence[int], seed: int = 42) -> DataFrame:
-    """One tree per sample block, then a majority vote: ``key, label, vote``."""
-    votes = None
-    for b in block_ids:
+                key: Sequence[str], block_ids: Sequence[int], seed: int = 42, parallel: int = PARALLEL) -> DataFrame:
+    """One tree per sample block, ``parallel`` at a time, then a majority vote:
+    ``key, label, vote``."""
+    def fit(b: int) -> PipelineModel:
         train = blocks.where(F.col("block_id") == b).select(*features, label)
-        model = build_model(features, label, "dt", seed, scale="none").fit(train)
+        return build_model(features, label, "dt", seed, scale="none").fit(train)
+
+    votes = None
+    for model in side_by_side(blocks.sparkSession, fit, list(block_ids), parallel):
         v = model.transform(test).select(*key, label, F.col("prediction").cast("int").alias("prediction"))
         votes = v if votes is None else votes.unionByName(v)
     return majority_vote(votes, [*key, label])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from driftspark.functions.schemas import MANIFEST_SCHEMA
+from driftspark.plans.workdir import entries
 
 # Rows of one file of a window, about.
 ROWS_PER_FILE = 2_000_000
@@ -85,6 +86,14 @@ def write_windows(df: DataFrame, path: str, key: Sequence[str], files: int | Non
      .write.mode("overwrite").partitionBy("window_id").parquet(path))
 
 
+def window_folders(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the windows that :func:`write_windows` left at ``path``, in
+    order, from the names of their folders; the one of rows without a number is
+    left out."""
+    names = (n.split("=")[1] for n in entries(spark, path) if n.startswith("window_id="))
+    return sorted(int(n) for n in names if n != "__HIVE_DEFAULT_PARTITION__")
+
+
 def write_blocks(df: DataFrame, path: str, col: str = "block_id") -> DataFrame:
     """Block-partitioned Parquet, read back: block filters then prune files."""
     df.write.mode("overwrite").partitionBy(col).parquet(path)

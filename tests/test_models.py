@@ -1,9 +1,12 @@
 """Base models, ensembles and the window loop."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from driftspark.operators import drift, learn, metrics, sampling
+from driftspark.sources import files
 
 FEATURES, KEY = ["a", "b"], ["id"]
 
@@ -109,6 +112,79 @@ def test_window_loop(spark, rows, tmp_path, when):
     assert {w.name for w in (tmp_path / "loop" / "samples").glob("window=*")} == {"window=0", "window=2"}
 
 
+class CountingLoop(drift.WindowLoop):
+    """Only counts the rows of a window: how windows are read, without tests and fits."""
+
+    def _step(self, df, n, window, last, when):
+        row = dict.fromkeys([c.split()[0] for c in drift.LOG.split(", members")[0].split(", ")])
+        return row | {"window": window, "n": n, "members": []}
+
+
+def test_loop_reads_its_table_a_fixed_number_of_times(spark, rows, tmp_path):
+    """The rows are read as often for many windows as for few, and each step
+    filters on the folder of its window."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    seen = []
+    for n in (2, 6):
+        table = rows.withColumn("window_id", F.pmod("id", F.lit(n)).cast("int")).mapInPandas(counted, rows.schema)
+        loop = CountingLoop(spark, drift.Roles(FEATURES, KEY), folder=f"{tmp_path}/{n}")
+        before = read.value
+        log = loop.run(table).collect()
+        seen.append(read.value - before)
+        assert [(r.window, r.n) for r in log] == [(i, 1200 // n) for i in range(n)]
+        assert not (tmp_path / str(n) / "windows").exists()
+    assert seen[0] == seen[1] <= 2 * 1200
+
+    files.write_windows(rows, f"{tmp_path}/w", KEY)
+    loop = CountingLoop(spark, drift.Roles(FEATURES, KEY), folder=f"{tmp_path}/l")
+    plan = loop.stored(f"{tmp_path}/w", rows, 1)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(window_id" in plan and plan.rstrip().count("(window_id") >= 2
+    assert [r.n for r in loop.run_stored(f"{tmp_path}/w", rows).collect()] == [400, 400, 400]
+    assert files.window_folders(spark, f"{tmp_path}/w") == [0, 1, 2]
+    assert loop.run(rows).count() == 3 and loop.run(rows.limit(0)).count() == 3  # all in the log
+    with pytest.raises(ValueError):
+        loop.run(rows, "never")
+
+
+def test_fits_run_at_the_same_time(spark, rows, monkeypatch):
+    """Each of two fits waits until the other has begun; same figures as one after the other."""
+    train, valid = sampling.split(rows, KEY)
+    alone = learn.fit_all(train, valid, FEATURES, "label", types=["dt", "lr"], parallel=1)
+    meet, build = threading.Barrier(2, timeout=60), learn.build_model
+
+    def built(*args, **kw):
+        meet.wait()
+        return build(*args, **kw)
+
+    monkeypatch.setattr(learn, "build_model", built)
+    both = learn.fit_all(train, valid, FEATURES, "label", types=["dt", "lr"], parallel=2)
+    assert [f.model_type for f in both] == ["dt", "lr"] and learn.best_of(both).model_type == learn.best_of(alone).model_type
+    for x, y in zip(alone, both):
+        assert (y.auc, y.f1, y.accuracy) == pytest.approx((x.auc, x.f1, x.accuracy))
+
+
+def test_side_by_side_errors(spark):
+    begun = []
+
+    def work(i):
+        begun.append(i)
+        if i == 1:
+            raise ValueError("one")
+        return spark.range(i).count()
+
+    assert learn.side_by_side(spark, lambda i: spark.range(i).count(), [5, 3, 4], 2) == [5, 3, 4]
+    assert learn.side_by_side(spark, work, [], 2) == []
+    with pytest.raises(ValueError, match="one"):
+        learn.side_by_side(spark, work, [1, *range(2, 40)], 1)
+    assert len(begun) < 39
+
+
 def test_window_tables(spark, rows, tmp_path):
     rows.write.parquet(f"{tmp_path}/t")
     rows.write.option("header", True).csv(f"{tmp_path}/c")
