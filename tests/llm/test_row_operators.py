@@ -156,6 +156,35 @@ def test_overlap(spark, max_bytes):
     assert [rows[2][1][s["start"]:s["end"]] for s in r["hit_spans"]] == ["naïve-漢字 test"]
 
 
+def test_overlap_segments_hold_every_window_once(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT", 20)
+    for n in (0, 1, 12, 13, 19, 20, 21, 27, 28, 29, 100):
+        ws = [f"w{i}" for i in range(n)]
+        cut = [s.split() for s in decontaminate.segments(" ".join(ws))]
+        assert all(len(c) <= 20 for c in cut)
+        got = [c[i:i + 13] for c in cut for i in range(max(len(c) - 12, 1))]
+        assert got == [ws[i:i + 13] for i in range(max(n - 12, 1) if n else 0)]
+
+
+def test_overlap_of_copies_in_parts(spark, monkeypatch):
+    """A text under thousands of ids, and one longer than a part."""
+    monkeypatch.setattr(decontaminate, "SEGMENT", 20)
+    text, long = " ".join(f"c{i}" for i in range(30)), " ".join(f"L{i}" for i in range(300))
+    items = [(i, text) for i in range(2000)] + [(5000, long), (5001, "c1 c2 c3"), (None, "L7 L8"), (None, long)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "x " + text, "en", "a", 1), (2, long, "en", "a", 1), (3, "L7 L8 y", "en", "a", 1), (3, "L7 L8 y", "en", "a", 1), (None, "c1 c2 c3", "en", "a", 1)] + ROWS
+    docs = documents(spark, rows)
+    once = decontaminate.find_overlap(docs, bench)
+    in_parts = decontaminate.find_overlap(docs, bench, max_bytes=500)
+    assert once.columns == in_parts.columns and once.schema.simpleString() == in_parts.schema.simpleString()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", repr(r))
+    got = sorted(in_parts.collect(), key=key)
+    assert got == sorted(once.collect(), key=key)
+    by_id = {r["doc_id"]: r for r in got}
+    assert len(by_id[1]["items"]) == 2001 and by_id[2]["n_hit"] == 300 and by_id[2]["items"] == ["5000"]
+    assert (by_id[3]["n_hit"], by_id[3]["items"]) == (2, [])
+
+
 def test_overlap_spans_of_many_runs():
     text = " ".join(f"wörd{i}\U0001f600 -" for i in range(40_000))
     runs = [[i, i + 2] for i in range(0, 39_990, 5)]
