@@ -26,7 +26,7 @@ from driftspark.functions.columns import (
 from driftspark.functions.hashing import hash_unit
 from driftspark.operators import extra, tidy
 from driftspark.operators import windows as win
-from driftspark.operators.ensemble import join_scores
+from driftspark.operators.ensemble import join_scores, store_bucketed
 from driftspark.operators.ks import quantile_table
 from driftspark.operators.wasserstein import feature_moments
 from driftspark.plans.buckets import hash_rank
@@ -237,6 +237,17 @@ def joined_merge(spark, d):
     return _joined(spark, d, True)
 
 
+@query("join_scores_bucketed", _JOINED)
+def joined_bucketed(spark, d):
+    """Rows and score tables stored in buckets of the key: no row is moved."""
+    o, scores = _score_tables(spark, d)
+    stored = []
+    for i, t in enumerate([o.select("o_orderkey", "o_totalprice"), *scores]):
+        path = new_path(spark, "bucketed")
+        stored.append(store_bucketed(t, f"scores_{i}_{path[-32:]}", path, ["o_orderkey"], 8))
+    return rounded(join_scores(stored[0], stored[1:], ["o_orderkey"], merge=True), "s1", "s2", "s3")
+
+
 @query("union_missing", """
   SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer
   UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier""")

@@ -40,6 +40,15 @@ def soft_vote(scores: DataFrame, members: DataFrame, key: Sequence[str], at: flo
             .withColumn("ensemble_prediction", (F.col("ensemble_score") >= at).cast("double")))
 
 
+def store_bucketed(df: DataFrame, name: str, path: str, key: Sequence[str], buckets: int) -> DataFrame:
+    """``df`` as table ``name`` in files at ``path``, bucketed and sorted by
+    ``key``. Tables of one bucket count are joined, or grouped, on the key
+    without moving rows; the rows are dealt once, when they are written."""
+    (df.repartition(buckets, *key).write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def join_scores(df: DataFrame, scores: Sequence[DataFrame], key: Sequence[str],
                 merge: bool = False) -> DataFrame:
     """Stored score tables side by side with the rows, by key.
