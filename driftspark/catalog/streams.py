@@ -8,6 +8,7 @@ from driftspark.catalog.base import query, rounded, table
 from driftspark.operators.drift import DriftTest, Learning, Roles
 from driftspark.plans.workdir import new_path
 from driftspark.streaming import ingest
+from driftspark.streaming.messages import MessageLog
 from driftspark.streaming.monitor import DriftMonitor
 
 MESSAGE = "event_id long, user_id long, value double"
@@ -73,6 +74,25 @@ def stream_json_files(spark, d):
     return spark.read.schema(MESSAGE).json(path)
 
 
+@query("message_log", """
+  WITH m AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS "offset" FROM events)
+  SELECT "offset", event_id, user_id, value FROM m WHERE "offset" % 10 = 9""")
+def message_log(spark, d):
+    """Events as messages of a log, published in two halves; a stream takes
+    every tenth offset of the first, stops, and goes on from its checkpoint
+    when the second is there."""
+    spark.dataSource.register(MessageLog)
+    e = table(spark, d, "events")
+    middle = e.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    log, path, state = new_path(spark, "log"), new_path(spark, "log-out"), new_path(spark, "stream-state")
+    for half in (F.col("event_id") <= middle, F.col("event_id") > middle):
+        (ingest.to_messages(e.where(half).orderBy("event_id"), ["event_id", "user_id", "value"])
+         .write.format("message_log").mode("append").save(log))
+        taken = ingest.every_nth(spark.readStream.format("message_log").load(log), "offset", 10)
+        ingest.json_sink(ingest.decode_json(taken, MESSAGE, keep=["offset"]), path, state, once=True).awaitTermination()
+    return spark.read.schema(f"offset long, {MESSAGE}").json(path)
+
+
 @query("window_stats", """
   SELECT epoch_us(time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '2024-01-01')) // 1000000 AS start_s, event_type, count(*) AS n,
     round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1, 2""")
