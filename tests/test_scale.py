@@ -19,3 +19,34 @@ def test_levels_are_not_sent_to_every_task(spark, method):
     out = wasserstein.w1_of(method)(sides(spark), ["g"])
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 1
+
+
+def planes(spark, n=600, seed=5):
+    """Two sides with a hot value, in two features."""
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({"x": np.round(rng.normal(size=n), 3), "y": rng.integers(0, 3, n).astype(float), "side": np.arange(n) % 2, "w": np.arange(n) % 3})
+    pdf.loc[: n // 2, ["x", "y"]] = 1.0
+    return pdf, spark.createDataFrame(pdf)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 20])
+def test_packed_values_give_the_exact_distance(spark, monkeypatch, most):
+    monkeypatch.setattr(wasserstein, "MOST_ROWS", most)
+    pdf, df = planes(spark)
+    dirs = wasserstein.directions(3, 2, 1)
+    for cuts in ([[0.0]] * 3, [[-0.5, 0.0, 0.25, 1.0]] * 3):
+        got = {(r["w"], r["feature_id"]): r["w1"] for r in
+               wasserstein.w1_packed(df, ["x", "y"], dirs, cuts, len(pdf), ["w"]).collect()}
+        for (w, g), w1 in got.items():
+            a, b = (np.sort(pdf[(pdf.w == w) & (pdf.side == s)][["x", "y"]].to_numpy() @ dirs[g]) for s in (0, 1))
+            v = np.sort(np.concatenate([a, b]))
+            gap = np.abs(np.searchsorted(a, v, "right") / len(a) - np.searchsorted(b, v, "right") / len(b))
+            assert w1 == pytest.approx(float(np.sum(gap[:-1] * np.diff(v))), abs=1e-12)
+        assert len(got) == 9
+
+
+def test_a_sliced_distance_makes_no_row_per_value(spark):
+    _, df = planes(spark, 60)
+    df = df.withColumn("id", df["w"])
+    out = wasserstein.swd(df.where("side = 0"), df.where("side = 1"), ["x", "y"], ["id"], n_projections=3)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
