@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from driftspark.operators import wasserstein
+from driftspark.operators import permutation, wasserstein
 
 
 def sides(spark, n=400, m=60, seed=3):
@@ -50,3 +50,24 @@ def test_a_sliced_distance_makes_no_row_per_value(spark):
     df = df.withColumn("id", df["w"])
     out = wasserstein.swd(df.where("side = 0"), df.where("side = 1"), ["x", "y"], ["id"], n_projections=3)
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [9, 140])
+def test_labels_are_read_as_they_were_written(n):
+    """As bits of a row, or from its hash numbers where there are many."""
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"_a": rng.integers(0, 2**40, 50), "_b": rng.integers(0, 2**40, 50), "side": rng.integers(0, 2, 50)})
+    border = np.array([0, *rng.integers(0, 2**40, n)])
+    write, read, width = permutation._tags(border)
+    tags = write(pdf)
+    assert tags.shape == (50, width) and width <= permutation.HASHES
+    for lo, hi in ((0, n + 1), (3, 9), (8, 10)):
+        assert (read(tags, lo, hi) == permutation._labels(pdf, border, lo, hi)).all()
+
+
+def test_a_null_distribution_makes_no_row_per_value(spark):
+    _, df = planes(spark, 60)
+    df = df.withColumn("id", df["w"])
+    out = permutation.swd_null(df.where("side = 0"), df.where("side = 1"), ["x", "y"], ["id"], 3, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "named_struct" not in plan and "MapInPandas" in plan
