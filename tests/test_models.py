@@ -1,8 +1,10 @@
 """Base models, ensembles and the window loop."""
 
 import threading
+import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from driftspark.operators import drift, learn, metrics, sampling
@@ -152,6 +154,45 @@ def test_loop_reads_its_table_a_fixed_number_of_times(spark, rows, tmp_path):
         loop.run(rows, "never")
 
 
+class MeetingLoop(CountingLoop):
+    """Window 4 drifts; a window waits for the others that are looked at with it."""
+
+    def __init__(self, *args, **kw):
+        super().__init__(*args, **kw)
+        self.at_once, self.most, self.looked, self.lock = 0, 0, [], threading.Lock()
+
+    def _step(self, df, n, window, last, when):
+        with self.lock:
+            self.at_once += 1
+            self.most = max(self.most, self.at_once)
+            self.looked.append((window, last["window"] if last else None))
+        time.sleep(1)
+        with self.lock:
+            self.at_once -= 1
+        return super()._step(df, n, window, last, when) | {"retrained": window in (0, 4), "drift": window == 4, "reference": window}
+
+    def _train(self, df, window):
+        return Row(window=window, model_type="dt", auc=1.0, f1=1.0)
+
+    def voters(self, members):
+        return []
+
+
+def test_windows_are_looked_at_ahead_of_the_log(spark, rows, tmp_path):
+    loop = MeetingLoop(spark, drift.Roles(FEATURES, KEY), folder=f"{tmp_path}/l")
+    log = loop.run(rows.withColumn("window_id", F.pmod("id", F.lit(7)).cast("int"))).collect()
+    assert [(r.window, r.drift) for r in log] == [(i, i == 4) for i in range(7)]
+    assert loop.most > 1
+    # the last look at a window is by the state after the drift before it
+    assert all(last >= 4 for w, last in dict(loop.looked).items() if w > 4)
+    assert loop._entry(4)["members"][-1]["window"] == 4
+
+
+def test_a_large_window_is_several_files(spark, tmp_path):
+    files.write_windows(spark.range(400_000).withColumn("window_id", F.lit(0)), f"{tmp_path}/w", ["id"])
+    assert len(list((tmp_path / "w" / "window_id=0").glob("*.parquet"))) >= 2
+
+
 def test_fits_run_at_the_same_time(spark, rows, monkeypatch):
     """Each of two fits waits until the other has begun; same figures as one after the other."""
     train, valid = sampling.split(rows, KEY)

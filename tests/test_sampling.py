@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftspark.operators import extra, sampling, windows
+from driftspark.operators import extra, ks, sampling, windows
 from driftspark.plans import buckets
 
 
@@ -320,3 +320,14 @@ def test_label_borders_outside_the_band(spark, monkeypatch):
     assert permutation.permutation_cuts(keyed, range(1, 6), 300) == want
     monkeypatch.setattr(permutation, "BAND", 0.01)
     assert permutation.permutation_cuts(keyed, range(1, 6), 300) == want
+
+
+def test_step_bounds_are_those_of_the_plan(spark):
+    b = spark.range(500).selectExpr("cast(id % 5 AS int) AS block_id", "if(id % 9 = 0, null, cast(id * 7919 % 83 AS double)) AS x", "1D AS y")
+    for nulls in ("drop", "count"):
+        cuts = buckets.fit_cuts(b, ["x", "y"], 16)
+        cube = ks.count_cube(buckets.to_long(b, ["x", "y"], cuts, ["block_id"], keep_nulls=nulls == "count"), "block_id")
+        want = sampling.convergence(b, ["x", "y"], 2, 5, False, nulls, cuts, bounds=True, cube=cube)
+        want = want.groupBy("t").agg(F.max("ks"), F.max("ks_most")).collect()
+        got = ks.step_bounds(cube, range(2, 6)).groupBy("t").agg(F.max("ks"), F.max("ks_most")).collect()
+        assert sorted(got) == sorted(want)
