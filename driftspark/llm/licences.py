@@ -8,9 +8,9 @@ words of adjacent lines, as notices are often wrapped; a line without words
 ends a paragraph. The model is trained on the statements below in several
 cuts, and for ``unknown`` on plain sentences about licences and on lines of at
 most SAMPLE documents of the corpus. A family's probability must pass a floor,
-calibrated on unknown lines that were kept out of the fit, and the window must
-hold SIMILAR of the 2-grams of a statement of that family. A line that is just
-the name of a licence is taken by its name.
+calibrated on the unknown lines of all documents that the fit has not seen, and
+the window must hold SIMILAR of the 2-grams of a statement of that family. A
+line that is just the name of a licence is taken by its name.
 
 Only windows that hold SIMILAR of any statement are scored, which needs words
 that most texts lack (:func:`anchors`); this leaves the result as it is. The
@@ -25,20 +25,23 @@ table.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import col, table, without, write_table
+from driftspark.llm.common import SLICE, col, drop_table, table, without, write_table
 
 BINS = 1 << 13
 WINDOW, STEP = 60, 30
 MIN_WORDS = 4
 SAMPLE = 400          # corpus documents in the fit
-SAMPLE_BYTES = 8192   # longer ones are not taken for the fit
+SAMPLE_BYTES = 8192   # longer ones are not taken for the fit, only for the floor
 SIMILAR = 0.6
 FLOOR, FALSE_SHARE = 0.5, 0.001  # least floor; share of kept-out unknown paragraphs above it
 UNKNOWN = "unknown"
@@ -161,16 +164,111 @@ def paragraphs(df: DataFrame, text: str) -> DataFrame:
         *kept, "__at", F.col("__w.start").alias("__start"), F.col("__w.words").alias("__words")).where(F.size("__words") >= MIN_WORDS)
 
 
+def unknown_windows(df: DataFrame, text: str) -> DataFrame:
+    """The windows of lines that say nothing of licences."""
+    said = ["licens", "licenc", "copyright", "creative commons", "public domain", "redistribut", "all rights reserved"]
+    joined = F.array(F.array_join("__words", " "))  # joined once a window
+    return paragraphs(df, text).where(~F.exists(joined, lambda j: reduce(Column.__or__, (j.contains(x) for x in said))))
+
+
+def hashed(strings) -> np.ndarray:
+    """The bins in which HashingTF counts an Arrow array of strings: 32-bit
+    murmur hashes of their bytes, made once per distinct string."""
+    import pyarrow as pa
+
+    enc = strings.cast(pa.large_string()).dictionary_encode()
+    words = enc.dictionary
+    if not len(words):
+        return np.zeros(0, np.int64)
+    off = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    data = np.zeros(int(off[-1]) + 4, np.uint8)
+    if off[-1]:
+        data[:-4] = np.frombuffer(words.buffers()[2], np.uint8, int(off[-1]))
+    quads = np.ndarray(len(data) - 3, "<u4", data, strides=(1,))  # four bytes from every place on
+    size = np.diff(off)
+
+    def turned(x, by):
+        return x << np.uint32(by) | x >> np.uint32(32 - by)
+
+    def mixed(k):
+        return turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+
+    h = np.full(len(words), 42, np.uint32)
+    left = np.arange(len(words))
+    for k in range(int(size.max()) // 4):
+        left = left[size[left] >= 4 * k + 4]
+        h[left] = turned(h[left] ^ mixed(quads[off[left] + 4 * k]), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    tail = (size & 3).astype(np.uint32)
+    last = quads[off[:-1] + (size - (size & 3))] & ((np.uint32(1) << (tail << np.uint32(3))) - np.uint32(1))
+    h ^= mixed(last)
+    h ^= size.astype(np.uint32)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return (h & np.uint32(BINS - 1)).astype(np.int64)[enc.indices.to_numpy()]
+
+
+def best_family(words, weights: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
+    """The highest probability of a family for every window of an Arrow array
+    of lists of words, as ``model.transform(vectors(...))`` has it."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    flat, n = words.flatten(), pc.list_value_length(words).to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    same = np.flatnonzero(row[1:] == row[:-1])
+    pairs = pc.binary_join_element_wise(flat.take(pa.array(same)), flat.take(pa.array(same + 1)), " ")
+    keys = np.sort(np.concatenate([row, row[same]]) * BINS + np.concatenate([hashed(flat), hashed(pairs)]))
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]][:len(keys)]]
+    row, z = keys // BINS, np.tile(intercepts, (len(n), 1))
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][:len(row)])
+    if len(first):
+        z[row[first]] += np.add.reduceat(weights[keys % BINS], first)
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z[:, 1:].max(axis=1) / z.sum(axis=1)
+
+
+def floor_of(windows: DataFrame, model: LogisticRegressionModel) -> float:
+    """The percentile 1 - FALSE_SHARE of the windows' highest probabilities of
+    a family, FLOOR at least. All windows are scored; kept are the values above
+    FLOOR, the greatest one below it and the number of all."""
+    import pyarrow as pa
+
+    weights, intercepts = np.ascontiguousarray(model.coefficientMatrix.toArray().T), model.interceptVector.toArray()
+    sent = windows.sparkSession.sparkContext.broadcast((weights, intercepts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [best_family(batch.column(0).slice(at, SLICE), *sent.value) for at in range(0, batch.num_rows, SLICE)]
+            if parts:
+                p = np.concatenate(parts)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([len(p)], pa.int64()), pa.array([p[p <= FLOOR].max(initial=0.0)], pa.float64()),
+                    pa.array([p[p > FLOOR]], pa.list_(pa.float64()))], names=["n", "below", "above"])
+
+    found = write_table(windows.select("__words").mapInArrow(run, "n long, below double, above array<double>"), "licence-floor")
+    n, below = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("below"), F.lit(0.0))).first()
+    at = (n - 1) * (1 - FALSE_SHARE)
+    over = max(n - 2 - int(at), 0)  # so many are greater than both values beside the percentile
+    top = [r[0] for r in found.select(F.explode("above").alias("p")).orderBy(F.desc("p")).offset(over).limit(2).collect()]
+    drop_table(found)
+    sent.destroy()
+    if n < 2 or not top:
+        return max(FLOOR, *top, 0.0)
+    high, low = (*top, below)[:2]
+    return max(FLOOR, low + (high - low) * (at - int(at)))
+
+
 def train(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> tuple[LogisticRegressionModel, float]:
-    """(model, floor)."""
+    """(model, floor). Two thirds of at most SAMPLE documents make the fit, all
+    other documents, whole, the floor."""
     spark = docs.sparkSession
-    chosen = docs.select(col(ident).alias("id")).where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    sample = docs.select(col(ident).alias("id"), col(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(
-        F.broadcast(chosen), "id")
-    unknown = paragraphs(sample, "text").where(~F.array_join("__words", " ").rlike(
-        "licen[sc]|copyright|creative commons|public domain|redistribut|all rights reserved"))
-    unknown = write_table(unknown.select(F.lit(0.0).alias("label"), "__words",
-                                         (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("out")), "licence-sample")
+    chosen = write_table(docs.select(col(ident).alias("id")).where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(SAMPLE),
+                         "licence-chosen")
+    texts, out = docs.select(col(ident).alias("id"), col(text).alias("text")), F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    short = F.coalesce(F.octet_length("text") <= SAMPLE_BYTES, F.lit(False))
+    unknown = write_table(unknown_windows(texts.where(short).join(F.broadcast(chosen), "id"), "text").select(
+        F.lit(0.0).alias("label"), "__words", out.alias("out")), "licence-sample")
     known = rows_of(spark, statement_cuts(), ["label", "text"]).select("label", words_of(F.col("text")).alias("__words"))
     n_unknown = max(1, unknown.count())
     # a statement counts as much as all cuts of its size need to balance the corpus sample
@@ -178,10 +276,9 @@ def train(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> tuple[L
         unknown.where("not out").select("label", "__words", F.lit(1.0))))
     model = LogisticRegression(featuresCol="__features", labelCol="label", weightCol="w", family="multinomial", regParam=2e-4,
                                maxIter=60, standardization=False).fit(data)
-    best = model.transform(vectors(unknown.where("out"))).select(
-        F.array_max(F.slice(vector_to_array("probability"), 2, len(STATEMENTS))).alias("p"))
-    high = best.agg(F.percentile("p", F.lit(1 - FALSE_SHARE))).first()[0]
-    return model, max(FLOOR, high or 0.0)
+    fitted = F.broadcast(chosen.distinct().where(~out).withColumn("fitted", F.lit(True)))
+    rest = texts.join(fitted, "id", "left").where(F.col("fitted").isNull() | ~short).select("text")
+    return model, floor_of(unknown_windows(rest, "text"), model)
 
 
 def plain_words(text: str) -> list[str]:
@@ -211,7 +308,14 @@ def anchors() -> list[str]:
 
 
 def with_anchor(text: Column) -> Column:
-    return F.lower(text).rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(anchors()) + r")(?![\p{L}\p{N}])")
+    """Looked up where a word begins, and by first letters: most places are
+    passed by at once."""
+    heads: dict[str, list[str]] = {}
+    for w in anchors():
+        heads.setdefault(w[0], []).append(w[1:])
+    words = "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in heads.items())
+    return F.concat(F.lit(" "), F.lower(text)).rlike(
+        r"[^a-z0-9\p{L}\p{N}](?=[" + "".join(heads) + r"])(?:" + words + r")(?![\p{L}\p{N}])")
 
 
 def line_windows(line: Column) -> Column:
@@ -274,8 +378,9 @@ def scan(docs: DataFrame, model: LogisticRegressionModel, floor: float, text: st
         F.col("__w.w").alias("__words"), F.col("__w.at").alias("__lines"), F.lit(None).cast("string").alias("__title"))
     rows = single.unionByName(wide).where(F.arrays_overlap("__words", F.array(*map(F.lit, anchors()))))
     rows = rows.crossJoin(fixed).withColumn("__named", F.col("__titles")[F.col("__title")])
-    held = lambda pairs: F.transform("__statements", lambda f: F.array_max(F.transform(
-        f, lambda s: F.size(F.array_intersect(s, pairs)) / F.size(s))))
+    # an array of one element names the pairs, so that they are hashed once a window and not once a statement
+    held = lambda pairs: F.transform(F.array(pairs), lambda own: F.transform("__statements", lambda f: F.array_max(
+        F.transform(f, lambda s: F.size(F.array_intersect(s, own)) / F.size(s)))))[0]
     rows = rows.withColumn("__held", held(pair_hashes(F.col("__words"))))
     rows = rows.where(F.col("__named").isNotNull() | (F.size("__words") >= MIN_WORDS) & (F.array_max("__held") >= SIMILAR))
     p = F.slice(vector_to_array("probability"), 2, len(STATEMENTS))

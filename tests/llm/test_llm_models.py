@@ -4,8 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.cases import ROWS, clashing, documents
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from driftspark.llm import attention, licences
@@ -119,6 +122,32 @@ def test_licences_in_very_long_texts(spark):
     assert sorted(r["word"] for r in out if r["doc_id"] == 3) == list(range(0, 11 * 2_000 - 30, 30))
 
 
+def test_licence_floor_of_all_documents(spark, monkeypatch):
+    """Unknown lines near a statement stand in documents that the fit never
+    reads (one too long, one without id, the rest beyond SAMPLE): the floor is
+    that of all of them, as the model itself scores every line."""
+    monkeypatch.setattr(licences, "SAMPLE", 5)
+    near = ["released under the mit", "under the gnu general public", "this work is under creative attribution international"]
+    chosen = {r[0] for r in spark.range(41).orderBy(F.xxhash64("id"), "id").limit(5).collect()}
+    texts = [f"The old mill number {i} stood by the river.\n{'' if i in chosen else near[i % 2]}" for i in range(40)]
+    texts.append(near[0] + "\n" + "plain words of a long text again\n" * 400)
+    rows = [*((i, t, "en", "a", 1) for i, t in enumerate(texts)), (None, near[1], "en", "a", 1)]
+    docs = documents(spark, rows)
+    model, floor = licences.train(docs)
+    windows = licences.unknown_windows(docs.select("text"), "text")
+    p = model.transform(licences.vectors(windows)).select(F.array_max(F.slice(vector_to_array("probability"), 2, 99)).alias("p")).toPandas().p
+    words = spark.createDataFrame([([*w.split()],) for w in ["a b c d", "the é 日本語 " + "x" * 99, near[0] + " the the the"]], "__words array<string>")
+    want = [max(r[0][1:]) for r in model.transform(licences.vectors(words)).select(vector_to_array("probability")).collect()]
+    got = licences.best_family(pa.array([r["__words"] for r in words.collect()]), model.coefficientMatrix.toArray().T, model.interceptVector.toArray())
+    assert got == pytest.approx(want, abs=1e-9)
+    assert licences.best_family(pa.array([], pa.list_(pa.string())), model.coefficientMatrix.toArray().T, model.interceptVector.toArray()).size == 0
+    assert floor > licences.FLOOR and p.max() >= floor  # five documents, none of them kept out, gave FLOOR
+    for least, share in ((0.5, 0.001), (0.2, 0.01), (0.01, 0.3), (0.0, 0.5), (1.0, 0.1)):
+        monkeypatch.setattr(licences, "FLOOR", least)
+        monkeypatch.setattr(licences, "FALSE_SHARE", share)
+        assert licences.floor_of(windows, model) == pytest.approx(max(least, np.quantile(p, 1 - share)), abs=1e-9)
+
+
 def test_windows_of_paragraphs(spark):
     """Against plain code: windows over several lines, with line and place of every word."""
     texts = ["a b\nc d e\n\nf g\nh", "one line only here", "", "\n\na\n\n", " ".join("abcdefgh" * 12) + "\n" + " ".join("xyz" * 20) + "\n\n\n"
