@@ -12,7 +12,7 @@ calibrated on the unknown lines of all documents that the fit has not seen, and
 the window must hold SIMILAR of the 2-grams of a statement of that family. A
 line that is just the name of a licence is taken by its name.
 
-Only windows that hold SIMILAR of any statement are scored, which needs words
+The scan scores only windows that hold SIMILAR of any statement, which needs words
 that most texts lack (:func:`anchors`); this leaves the result as it is. The
 result has one row per confirmed window: line and word where it starts,
 family, probability and similarity. A window of several lines is left out
@@ -25,17 +25,15 @@ table.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import SLICE, col, drop_table, table, without, write_table
+from driftspark.llm.common import col, drop_table, table, without, write_table
 
 BINS = 1 << 13
 WINDOW, STEP = 60, 30
@@ -171,88 +169,17 @@ def unknown_windows(df: DataFrame, text: str) -> DataFrame:
     return paragraphs(df, text).where(~F.exists(joined, lambda j: reduce(Column.__or__, (j.contains(x) for x in said))))
 
 
-def hashed(strings) -> np.ndarray:
-    """The bins in which HashingTF counts an Arrow array of strings: 32-bit
-    murmur hashes of their bytes, made once per distinct string."""
-    import pyarrow as pa
-
-    enc = strings.cast(pa.large_string()).dictionary_encode()
-    words = enc.dictionary
-    if not len(words):
-        return np.zeros(0, np.int64)
-    off = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-    data = np.zeros(int(off[-1]) + 4, np.uint8)
-    if off[-1]:
-        data[:-4] = np.frombuffer(words.buffers()[2], np.uint8, int(off[-1]))
-    quads = np.ndarray(len(data) - 3, "<u4", data, strides=(1,))  # four bytes from every place on
-    size = np.diff(off)
-
-    def turned(x, by):
-        return x << np.uint32(by) | x >> np.uint32(32 - by)
-
-    def mixed(k):
-        return turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
-
-    h = np.full(len(words), 42, np.uint32)
-    left = np.arange(len(words))
-    for k in range(int(size.max()) // 4):
-        left = left[size[left] >= 4 * k + 4]
-        h[left] = turned(h[left] ^ mixed(quads[off[left] + 4 * k]), 13) * np.uint32(5) + np.uint32(0xE6546B64)
-    tail = (size & 3).astype(np.uint32)
-    last = quads[off[:-1] + (size - (size & 3))] & ((np.uint32(1) << (tail << np.uint32(3))) - np.uint32(1))
-    h ^= mixed(last)
-    h ^= size.astype(np.uint32)
-    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
-    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
-    h ^= h >> np.uint32(16)
-    return (h & np.uint32(BINS - 1)).astype(np.int64)[enc.indices.to_numpy()]
-
-
-def best_family(words, weights: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
-    """The highest probability of a family for every window of an Arrow array
-    of lists of words, as ``model.transform(vectors(...))`` has it."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    flat, n = words.flatten(), pc.list_value_length(words).to_numpy()
-    row = np.repeat(np.arange(len(n)), n)
-    same = np.flatnonzero(row[1:] == row[:-1])
-    pairs = pc.binary_join_element_wise(flat.take(pa.array(same)), flat.take(pa.array(same + 1)), " ")
-    keys = np.sort(np.concatenate([row, row[same]]) * BINS + np.concatenate([hashed(flat), hashed(pairs)]))
-    keys = keys[np.r_[True, keys[1:] != keys[:-1]][:len(keys)]]
-    row, z = keys // BINS, np.tile(intercepts, (len(n), 1))
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][:len(row)])
-    if len(first):
-        z[row[first]] += np.add.reduceat(weights[keys % BINS], first)
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z[:, 1:].max(axis=1) / z.sum(axis=1)
-
-
 def floor_of(windows: DataFrame, model: LogisticRegressionModel) -> float:
     """The percentile 1 - FALSE_SHARE of the windows' highest probabilities of
-    a family, FLOOR at least. All windows are scored; kept are the values above
-    FLOOR, the greatest one below it and the number of all."""
-    import pyarrow as pa
-
-    weights, intercepts = np.ascontiguousarray(model.coefficientMatrix.toArray().T), model.interceptVector.toArray()
-    sent = windows.sparkSession.sparkContext.broadcast((weights, intercepts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [best_family(batch.column(0).slice(at, SLICE), *sent.value) for at in range(0, batch.num_rows, SLICE)]
-            if parts:
-                p = np.concatenate(parts)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([len(p)], pa.int64()), pa.array([p[p <= FLOOR].max(initial=0.0)], pa.float64()),
-                    pa.array([p[p > FLOOR]], pa.list_(pa.float64()))], names=["n", "below", "above"])
-
-    found = write_table(windows.select("__words").mapInArrow(run, "n long, below double, above array<double>"), "licence-floor")
-    n, below = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("below"), F.lit(0.0))).first()
+    a family, FLOOR at least. All windows are scored once; then the values above
+    FLOOR are sorted, and of the others the greatest one is taken."""
+    best = F.array_max(F.slice(vector_to_array("probability"), 2, len(STATEMENTS)))
+    scored = write_table(model.transform(vectors(windows.select("__words"))).select(best.alias("p")), "licence-floor")
+    n, below = scored.agg(F.count("p"), F.coalesce(F.max(F.when(F.col("p") <= FLOOR, F.col("p"))), F.lit(0.0))).first()
     at = (n - 1) * (1 - FALSE_SHARE)
     over = max(n - 2 - int(at), 0)  # so many are greater than both values beside the percentile
-    top = [r[0] for r in found.select(F.explode("above").alias("p")).orderBy(F.desc("p")).offset(over).limit(2).collect()]
-    drop_table(found)
-    sent.destroy()
+    top = [r[0] for r in scored.where(F.col("p") > FLOOR).orderBy(F.desc("p")).offset(over).limit(2).collect()]
+    drop_table(scored)
     if n < 2 or not top:
         return max(FLOOR, *top, 0.0)
     high, low = (*top, below)[:2]
