@@ -113,17 +113,29 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def grams(words: Column) -> Column:
-    n = F.size(words) - 1
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n, F.lit(0))), F.slice(words, 2, F.greatest(n, F.lit(0))),
-                       lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+def grams(joined: Column) -> Column:
+    """1- and 2-grams of words joined by a space. A pair is seen ahead of its
+    first word, so that the next one starts at the second."""
+    pairs = F.regexp_extract_all(joined, F.lit(r"\G(?=([^ ]+ [^ ]+))[^ ]+ "), F.lit(1))
+    return F.concat(F.split(joined, " "), pairs)
+
+
+def once(value: Column) -> Column:
+    """A value made once per row, however often it is used, and after every
+    filter before it: Spark moves no condition on it below a generator."""
+    return F.explode(F.array(value))
 
 
 def pair_hashes(words: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.xxhash64(words[i], words[i + 1])))
 
 
+def least_pairs() -> int:
+    """With fewer 2-grams no window holds SIMILAR of a statement."""
+    sizes = {len(set(zip(ws, ws[1:]))) for many in STATEMENTS.values() for ws in map(plain_words, many)}
+    return min(next(k for k in range(n + 1) if k / n >= SIMILAR) for n in sizes)
+
+
 def rows_of(spark: SparkSession, values: list[tuple], names: list[str]) -> DataFrame:
     """A small constant table."""
     cells = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in values))
@@ -132,7 +144,7 @@ def rows_of(spark: SparkSession, values: list[tuple], names: list[str]) -> DataF
 
 def vectors(df: DataFrame) -> DataFrame:
     tf = HashingTF(inputCol="__grams", outputCol="__features", numFeatures=BINS, binary=True)
-    return tf.transform(df.withColumn("__grams", grams(F.col("__words"))))
+    return tf.transform(df.withColumn("__grams", grams(F.col("__joined"))))
 
 
 def families() -> list[str]:
@@ -154,19 +166,26 @@ def statement_cuts() -> list[tuple[float, str]]:
     return out
 
 
+def starts(words: Column) -> Column:
+    """Where the windows of a line start; only a line of less than MIN_WORDS
+    has a window of less."""
+    return F.sequence(F.lit(1), F.greatest(F.size(words) - (WINDOW - STEP), F.lit(1)), F.lit(STEP))
+
+
 def paragraphs(df: DataFrame, text: str) -> DataFrame:
-    """One row per window of a line, with __at (line number) and __words."""
-    lines = df.select(*map(col, df.columns), F.posexplode(F.split(F.coalesce(col(text), F.lit("")), "\n")).alias("__at", "__line"))
+    """One row per window of a line, with __joined, its words joined by a space:
+    a window is one value on its way, not an array of strings."""
     kept = [col(c) for c in df.columns if c.lower() != text.lower()]
-    return lines.select(*kept, "__at", F.explode(line_windows(F.col("__line"))).alias("__w")).select(
-        *kept, "__at", F.col("__w.start").alias("__start"), F.col("__w.words").alias("__words")).where(F.size("__words") >= MIN_WORDS)
+    lines = df.select(*kept, F.explode(F.split(F.coalesce(col(text), F.lit("")), "\n")).alias("__line"))
+    words = lines.select(*kept, once(words_of(F.col("__line"))).alias("__words")).where(F.size("__words") >= MIN_WORDS)
+    return words.select(*kept, F.explode(F.transform(starts(F.col("__words")), lambda s: F.array_join(
+        F.slice("__words", s, F.lit(WINDOW)), " "))).alias("__joined"))
 
 
 def unknown_windows(df: DataFrame, text: str) -> DataFrame:
     """The windows of lines that say nothing of licences."""
     said = ["licens", "licenc", "copyright", "creative commons", "public domain", "redistribut", "all rights reserved"]
-    joined = F.array(F.array_join("__words", " "))  # joined once a window
-    return paragraphs(df, text).where(~F.exists(joined, lambda j: reduce(Column.__or__, (j.contains(x) for x in said))))
+    return paragraphs(df, text).where(~reduce(Column.__or__, (F.col("__joined").contains(x) for x in said)))
 
 
 def floor_of(windows: DataFrame, model: LogisticRegressionModel) -> float:
@@ -174,7 +193,7 @@ def floor_of(windows: DataFrame, model: LogisticRegressionModel) -> float:
     a family, FLOOR at least. All windows are scored once; then the values above
     FLOOR are sorted, and of the others the greatest one is taken."""
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(STATEMENTS)))
-    scored = write_table(model.transform(vectors(windows.select("__words"))).select(best.alias("p")), "licence-floor")
+    scored = write_table(model.transform(vectors(windows.select("__joined"))).select(best.alias("p")), "licence-floor")
     n, below = scored.agg(F.count("p"), F.coalesce(F.max(F.when(F.col("p") <= FLOOR, F.col("p"))), F.lit(0.0))).first()
     at = (n - 1) * (1 - FALSE_SHARE)
     over = max(n - 2 - int(at), 0)  # so many are greater than both values beside the percentile
@@ -195,14 +214,15 @@ def train(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> tuple[L
     texts, out = docs.select(col(ident).alias("id"), col(text).alias("text")), F.pmod(F.xxhash64("id"), F.lit(3)) == 0
     short = F.coalesce(F.octet_length("text") <= SAMPLE_BYTES, F.lit(False))
     unknown = write_table(unknown_windows(texts.where(short).join(F.broadcast(chosen), "id"), "text").select(
-        F.lit(0.0).alias("label"), "__words", out.alias("out")), "licence-sample")
-    known = rows_of(spark, statement_cuts(), ["label", "text"]).select("label", words_of(F.col("text")).alias("__words"))
+        F.lit(0.0).alias("label"), "__joined", out.alias("out")), "licence-sample")
+    known = rows_of(spark, statement_cuts(), ["label", "text"]).select(
+        "label", F.array_join(words_of(F.col("text")), " ").alias("__joined"))
     n_unknown = max(1, unknown.count())
     # a statement counts as much as all cuts of its size need to balance the corpus sample
     data = vectors(known.withColumn("w", F.lit(max(1.0, n_unknown / 300))).union(
-        unknown.where("not out").select("label", "__words", F.lit(1.0))))
+        unknown.where("not out").select("label", "__joined", F.lit(1.0))))
     model = LogisticRegression(featuresCol="__features", labelCol="label", weightCol="w", family="multinomial", regParam=2e-4,
-                               maxIter=60, standardization=False).fit(data)
+                               maxIter=60, standardization=False, rawPredictionCol="", predictionCol="").fit(data)
     fitted = F.broadcast(chosen.distinct().where(~out).withColumn("fitted", F.lit(True)))
     rest = texts.join(fitted, "id", "left").where(F.col("fitted").isNull() | ~short).select("text")
     return model, floor_of(unknown_windows(rest, "text"), model)
@@ -245,40 +265,67 @@ def with_anchor(text: Column) -> Column:
         r"[^a-z0-9\p{L}\p{N}](?=[" + "".join(heads) + r"])(?:" + words + r")(?![\p{L}\p{N}])")
 
 
-def line_windows(line: Column) -> Column:
-    """Windows of one line: (start, words, title); the title is the whole line
-    where it is short enough for a name."""
+def window(at: Column, start: Column, words: Column, lines: Column | None = None, title: Column | None = None) -> Column:
+    return F.struct(at.alias("at"), start.alias("start"), words.alias("words"),
+                    (F.lit(None).cast("array<int>") if lines is None else lines).alias("lines"),
+                    (F.lit(None).cast("string") if title is None else title).alias("title"))
+
+
+def line_windows(line: Column, at: Column) -> Column:
+    """Windows of one line; the title is the whole line where it is short
+    enough for a name."""
     longest = max(len(plain_words(t)) for many in NAMES.values() for t in many)
 
     def cut(ws):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (WINDOW - STEP), F.lit(1)), F.lit(STEP))
-        return F.transform(starts, lambda s: F.struct(
-            s.alias("start"), F.slice(ws, s, F.lit(WINDOW)).alias("words"),
-            F.when(F.size(ws) <= longest, F.array_join(ws, " ")).alias("title")))
+        return F.transform(starts(ws), lambda s: window(
+            at, s, F.slice(ws, s, F.lit(WINDOW)), title=F.when(F.size(ws) <= longest, F.array_join(ws, " "))))
 
     # an array of one element names the words, so that they are found once a line
     return F.flatten(F.transform(F.array(words_of(line)), cut))
 
 
-def paragraph_windows(text: Column) -> Column:
-    """Windows over the joined words of adjacent lines, as arrays of words with
-    their line and place in it; a line without words lies between two
-    paragraphs. Windows of one line are left out."""
-    flat = F.flatten(F.transform(F.split(text, "\n"), lambda x, i: F.transform(words_of(x), lambda w, k: F.struct(
+def placed_words(text: Column) -> Column:
+    """All words of a text with their line and place in it."""
+    return F.flatten(F.transform(F.split(text, "\n"), lambda x, i: F.transform(words_of(x), lambda w, k: F.struct(
         i.alias("at"), (k + 1).alias("place"), w.alias("w")))))
 
+
+def paragraph_heads(ws: Column) -> Column:
+    """Where paragraphs begin in the words of a text, and its end; a line
+    without words lies between two paragraphs."""
+    every = F.when(F.size(ws) >= MIN_WORDS, F.sequence(F.lit(1), F.size(ws))).otherwise(F.array().cast("array<int>"))
+    first = F.filter(every, lambda i: (i == 1) | (ws[i - 1]["at"] - ws[F.greatest(i - 2, F.lit(0))]["at"] > 1))
+    return F.concat(first, F.array(F.size(ws) + 1))
+
+
+def joint_spans(ws: Column, heads: Column) -> Column:
+    """(start, n) of the windows over the joined words of adjacent lines.
+    Windows of one line are left out."""
+    spans = F.zip_with(F.slice(heads, 1, F.size(heads) - 1), F.slice(heads, 2, F.size(heads)), lambda a, b: F.transform(
+        F.sequence(a, F.greatest(b - 1 - (WINDOW - STEP), a), F.lit(STEP)),
+        lambda start: F.struct(start.alias("start"), F.least(F.lit(WINDOW), b - start).alias("n"))))
+    return F.filter(F.flatten(spans), lambda x: ws[x["start"] + x["n"] - 2]["at"] > ws[x["start"] - 1]["at"])
+
+
+def paragraph_windows(text: Column) -> Column:
+    """The words, with line and place, of every window over adjacent lines."""
     def cut(ws):
-        every = F.when(F.size(ws) >= MIN_WORDS, F.sequence(F.lit(1), F.size(ws))).otherwise(F.array().cast("array<int>"))
-        first = F.filter(every, lambda i: (i == 1) | (ws[i - 1]["at"] - ws[F.greatest(i - 2, F.lit(0))]["at"] > 1))
-        spans = F.zip_with(first, F.concat(F.slice(first, 2, F.size(first)), F.array(F.size(ws) + 1)), lambda a, b: F.struct(
-            a.alias("a"), b.alias("b")))
-        spans = F.filter(spans, lambda s: s["a"].isNotNull())
-        return F.flatten(F.transform(spans, lambda s: F.transform(
-            F.sequence(s["a"], F.greatest(s["b"] - 1 - (WINDOW - STEP), s["a"]), F.lit(STEP)),
-            lambda start: F.slice(ws, start, F.least(F.lit(WINDOW), s["b"] - start)))))
+        return F.flatten(F.transform(F.array(paragraph_heads(ws)), lambda heads: F.transform(
+            joint_spans(ws, heads), lambda x: F.slice(ws, x["start"], x["n"]))))
+
+    return F.flatten(F.transform(F.array(placed_words(text)), cut))
+
+
+def joint_windows(ws: Column, heads: Column) -> Column:
+    """The windows of :func:`paragraph_windows` that hold an anchor; no others
+    are copied."""
+    found = F.filter(joint_spans(ws, heads), lambda x: F.arrays_overlap(F.slice(ws, x["start"], x["n"])["w"], anchor_words()))
+    return F.transform(found, lambda x: window(ws[x["start"] - 1]["at"], ws[x["start"] - 1]["place"], F.slice(ws, x["start"], x["n"])["w"],
+                                               F.slice(ws, x["start"], x["n"])["at"]))
+
 
-    windows = F.flatten(F.transform(F.array(flat), cut))
-    return F.filter(windows, lambda w: F.element_at(w, -1)["at"] > F.element_at(w, 1)["at"])
+def anchor_words() -> Column:
+    return F.array(*map(F.lit, anchors()))
 
 
 def scan(docs: DataFrame, model: LogisticRegressionModel, floor: float, text: str = "text") -> DataFrame:
@@ -291,27 +338,34 @@ def scan(docs: DataFrame, model: LogisticRegressionModel, floor: float, text: st
     titles = F.create_map(*(F.lit(x) for k, f in enumerate(names) for t in dict.fromkeys(
         " ".join(plain_words(t)) for t in NAMES.get(f, ())) for x in (t, k)))
     # constants once per batch of rows, not per row
-    fixed = F.broadcast(docs.sparkSession.range(1).select(statements.alias("__statements"), titles.alias("__titles")))
+    fixed = F.broadcast(docs.sparkSession.range(1).select(
+        statements.alias("__statements"), F.array_distinct(F.flatten(F.flatten(statements))).alias("__hashes"), titles.alias("__titles")))
     # transformers add their columns under these names; none may exist before
     base = docs.select(F.monotonically_increasing_id().alias("__id"), F.struct(*map(col, kept)).alias("__row"),
                        F.coalesce(col(text), F.lit("")).alias("__text")).where(with_anchor(F.col("__text")))
-    single = base.select("__id", "__row", F.posexplode(F.split("__text", "\n")).alias("__at", "__line")).where(with_anchor(F.col("__line")))
-    # only windows leave the generators, never the words of a whole line or text
-    single = single.select("__id", "__row", "__at", F.explode(line_windows(F.col("__line"))).alias("__w")).select(
-        "__id", "__row", "__at", F.col("__w.start").alias("__start"), F.col("__w.words").alias("__words"),
-        F.lit(None).cast("array<int>").alias("__lines"), F.col("__w.title").alias("__title")).where(F.size("__words") >= 2)
-    wide = base.select("__id", "__row", F.explode(paragraph_windows(F.col("__text"))).alias("__w")).select(
-        "__id", "__row", F.element_at("__w", 1)["at"].alias("__at"), F.element_at("__w", 1)["place"].alias("__start"),
-        F.col("__w.w").alias("__words"), F.col("__w.at").alias("__lines"), F.lit(None).cast("string").alias("__title"))
-    rows = single.unionByName(wide).where(F.arrays_overlap("__words", F.array(*map(F.lit, anchors()))))
+    # a text that has an anchor comes as part 0, for windows over adjacent lines, and line by line after that
+    whole = F.col("__part") == 0
+    parts = base.select("__id", "__row", F.posexplode(F.concat(F.array("__text"), F.split("__text", "\n"))).alias("__part", "__text"))
+    parts = parts.where(whole | with_anchor(F.col("__text")))
+    ws, heads = F.col("__all"), F.col("__heads")
+    parts = parts.withColumn("__all", once(F.when(whole, placed_words(F.col("__text"))))).withColumn("__heads", once(paragraph_heads(ws)))
+    # only windows leave this generator, never the words of a whole line or text
+    rows = parts.select("__id", "__row", F.explode(F.when(whole, joint_windows(ws, heads)).otherwise(
+        line_windows(F.col("__text"), F.col("__part") - 1))).alias("__w"))
+    rows = rows.select("__id", "__row", *(F.col(f"__w.{c}").alias(f"__{c}") for c in ("at", "start", "words", "lines", "title"))).where(
+        (F.size("__words") >= 2) & F.arrays_overlap("__words", anchor_words()))
     rows = rows.crossJoin(fixed).withColumn("__named", F.col("__titles")[F.col("__title")])
     # an array of one element names the pairs, so that they are hashed once a window and not once a statement
     held = lambda pairs: F.transform(F.array(pairs), lambda own: F.transform("__statements", lambda f: F.array_max(
         F.transform(f, lambda s: F.size(F.array_intersect(s, own)) / F.size(s)))))[0]
-    rows = rows.withColumn("__held", held(pair_hashes(F.col("__words"))))
+    # most windows have too few pairs of all statements together
+    rows = rows.withColumn("__pairs", once(F.array_intersect("__hashes", pair_hashes(F.col("__words")))))
+    rows = rows.where(F.col("__named").isNotNull() | (F.size("__words") >= MIN_WORDS) & (F.size("__pairs") >= least_pairs()))
+    rows = rows.withColumn("__held", once(held(F.col("__pairs"))))
     rows = rows.where(F.col("__named").isNotNull() | (F.size("__words") >= MIN_WORDS) & (F.array_max("__held") >= SIMILAR))
     p = F.slice(vector_to_array("probability"), 2, len(STATEMENTS))
-    scored = model.transform(vectors(rows)).withColumn("__p", p)
+    # scored once, after that filter
+    scored = model.transform(vectors(rows.withColumn("__joined", F.array_join("__words", " ")))).withColumn("__p", once(p))
     scored = scored.withColumn("__family", F.coalesce("__named", F.array_position("__p", F.array_max("__p")).cast("int")))
     of_family = lambda c: F.element_at(c, F.col("__family"))
     found = scored.withColumn("__best", of_family("__p")).withColumn(

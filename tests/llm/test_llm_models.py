@@ -1,5 +1,6 @@
 """Classifiers and the pipeline: held-out accuracy, odd rows, plain code."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -163,6 +164,42 @@ def test_windows_of_paragraphs(spark):
     assert {r["text"]: [[tuple(x) for x in w] for w in r["w"]] for r in got} == {t: plain(t) for t in texts}
 
 
+def test_licence_windows_are_scored_once(spark):
+    """The model scores in one place, after the filter on similarity and below
+    no other one; the texts are read and searched for anchors once."""
+    docs = documents(spark)
+    model, floor = licences.train(docs)
+    plan = licences.scan(docs, model, floor)._jdf.queryExecution().optimizedPlan().toString()
+    # a line of the plan each: conditions that call the model, and generators that do
+    lines = [re.sub(r"^[\s:+|-]*", "", x) for x in plan.split("\n")]
+    assert not [x for x in lines if x.startswith(("Filter", "Join")) and "UDF(" in x]
+    assert sum("UDF(" in x for x in lines if x.startswith("Generate")) == 1
+    assert sum("monotonically_increasing_id" in x for x in lines) == 1
+
+
+def test_grams(spark):
+    """Against plain code; a pair begins at every word but the last, however long that is."""
+    texts = ["a b c", "one", "a a a a", "größe 東京 x1 ÿ", "word " * 70 + "x" * 1_000_000]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", licences.grams(F.col("t")).alias("g")).collect()
+    for t, g in got:
+        ws = t.split(" ")
+        assert Counter(g) == Counter(ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])])
+
+
+def test_joint_windows(spark):
+    """Those of paragraph_windows that hold an anchor, and no others."""
+    texts = ["the mit\nlicense of a town", "plain words\nof a mill", "a licensed\n\nfree town\nof mill", " ".join(["mill"] * 70) + "\nlicense x\n"
+             + "\n".join(["old town"] * 60), "one license of a line"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("every", licences.paragraph_windows(F.col("t"))).withColumn(
+        "ws", licences.placed_words(F.col("t")))
+    found, words = 0, set(licences.anchors())
+    for r in df.withColumn("got", licences.joint_windows(F.col("ws"), licences.paragraph_heads(F.col("ws")))).collect():
+        want = [(w[0]["at"], w[0]["place"], [x["w"] for x in w], [x["at"] for x in w], None) for w in r["every"] if words & {x["w"] for x in w}]
+        assert [tuple(w) for w in r["got"]] == want
+        found += len(want)
+    assert found == 4
+
+
 def test_anchors_lose_nothing():
     """Without them less than SIMILAR of any statement is left."""
     found = set(licences.anchors())
@@ -172,6 +209,9 @@ def test_anchors_lose_nothing():
         assert sum(not found & set(p) for p in pairs) < licences.SIMILAR * len(pairs)
     assert all(found & set(licences.plain_words(s)) for many in licences.NAMES.values() for s in many)
     assert not found & {"the", "of", "and", "to", "in"}
+    sizes = {len(set(zip(ws, ws[1:]))) for many in licences.STATEMENTS.values() for ws in map(licences.plain_words, many)}
+    least = licences.least_pairs()
+    assert all((least - 1) / n < licences.SIMILAR for n in sizes) and any(least / n >= licences.SIMILAR for n in sizes)
 
 
 def test_licences_query(spark):
