@@ -270,3 +270,46 @@ def test_a_hot_value_sits_alone_and_is_spread(spark):
     sizes = long.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("value").alias("d")).collect()
     assert max(r.n for r in sizes) < 9000 / 8
     assert sum(r.n for r in sizes if r.d == 1) >= 3000
+
+
+def _fresh_rows(spark, sizes=((40, 0.0), (9, 0.4))):
+    rng = np.random.default_rng(3)
+    sides = [pd.DataFrame(rng.standard_normal((n, 2)) + shift, columns=["x", "y"]).assign(k=np.arange(n)) for n, shift in sizes]
+    return [spark.createDataFrame(s) for s in sides], sides
+
+
+@pytest.mark.parametrize("name", ["test_frames"])
+def test_fresh_presets_draw_all_directions_and_permutations(monkeypatch, name):
+    from driftspark.catalog import ORACLES, distances
+
+    p, seen = permutation.TEST_PRESETS[name[5:]], {}
+    assert f"({p['n_permutations']}, {p['n_projections'] - 1}, " in ORACLES[name] and f"({p['n_permutations'] + 1}, 0, " not in ORACLES[name]
+    monkeypatch.setattr(distances, "_balances", lambda *_: ())
+    monkeypatch.setattr(distances, "rounded", lambda df, *_, **__: df)
+    monkeypatch.setattr(permutation, "swd_test", lambda **kw: seen.update(kw))
+    getattr(distances, name)(None, "")
+    assert seen == {"preset": name[5:]}
+
+
+@pytest.mark.parametrize("method, split", [("quantile_union", "hash"), ("quantile_union", "exact"), ("interp", "exact"), ("exact", "exact")])
+def test_fresh_by_pairs_and_by_waves(spark, monkeypatch, method, split):
+    (ref, det), sides = _fresh_rows(spark)
+    kw = dict(n_projections=3, n_permutations=7, standardize="none", method=method, split=split, fresh=True)
+    pairs = {r.perm: r.swd for r in permutation.swd_null(ref, det, ["x", "y"], ["k"], **kw).collect()}
+    monkeypatch.setattr(permutation, "TASK_ROWS", 10)
+    monkeypatch.setattr(permutation, "WAVE_VALUES", 49 * 13)  # ends inside a permutation
+    waves = {r.perm: r.swd for r in permutation.swd_null(ref, det, ["x", "y"], ["k"], **kw).collect()}
+    assert set(pairs) == set(waves) == set(range(8))
+    assert all(abs(pairs[p] - waves[p]) < 1e-9 for p in pairs)
+    a, b = (s[["x", "y"]].to_numpy() for s in sides)
+    want = np.mean([METHODS[method](a @ d, b @ d) for d in wasserstein.directions(3, 2, 42)])
+    assert abs(pairs[0] - want) < 1e-9
+
+
+def test_fresh_with_a_side_that_a_split_leaves_empty(spark):
+    (ref, det), _ = _fresh_rows(spark, ((3, 0.0), (1, 0.0)))
+    kw = dict(n_projections=2, n_permutations=40, standardize="none", split="hash", fresh=True)
+    union = permutation.swd_null(ref, det, ["x", "y"], ["k"], method="quantile_union", **kw).collect()
+    exact = permutation.swd_null(ref, det, ["x", "y"], ["k"], method="exact", **kw).collect()
+    gone = {r.perm for r in exact if r.swd is None}
+    assert gone and {r.perm for r in union} == set(range(41)) - gone
