@@ -278,7 +278,7 @@ def _fresh_rows(spark, sizes=((40, 0.0), (9, 0.4))):
     return [spark.createDataFrame(s) for s in sides], sides
 
 
-@pytest.mark.parametrize("name", ["test_frames"])
+@pytest.mark.parametrize("name", ["test_frames", "test_fresh"])
 def test_fresh_presets_draw_all_directions_and_permutations(monkeypatch, name):
     from driftspark.catalog import ORACLES, distances
 
