@@ -313,3 +313,32 @@ def test_fresh_with_a_side_that_a_split_leaves_empty(spark):
     exact = permutation.swd_null(ref, det, ["x", "y"], ["k"], method="exact", **kw).collect()
     gone = {r.perm for r in exact if r.swd is None}
     assert gone and {r.perm for r in union} == set(range(41)) - gone
+
+
+def np_by_window(pdf, n_projections):
+    out, before = {}, None
+    for w in sorted(pdf.w.unique()):
+        x = pdf.loc[pdf.w == w, COLS].to_numpy(dtype=float)
+        if before is not None:
+            mean, std = before.mean(axis=0), before.std(axis=0)
+            a, b = ((v - mean) / np.where(std == 0, 1.0, std) for v in (before, x))
+            out[w] = np.mean([np_w1(a @ d, b @ d) for d in wasserstein.directions(n_projections, 3, 42)])
+        before = x
+    return out
+
+
+def test_windows_move_few_rows(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame(rng.standard_normal((30_000, 3)), columns=COLS).assign(id=np.arange(30_000), w=np.arange(30_000) % 3)
+    pdf["x"] += 0.2 * pdf.w
+    monkeypatch.setattr(wasserstein, "new_path", lambda _, name: f"{tmp_path}/{name}")
+    got = {r.w: r.swd for r in swd_by_window(spark.createDataFrame(pdf), "w", COLS, ["id"], 4).collect()}
+    want = np_by_window(pdf, 4)
+    assert all(abs(got[w] - want[w]) < 1e-9 for w in want)
+    cells = spark.read.parquet(f"{tmp_path}/cells").selectExpr("sum(octet_length(cells)) / 8").first()[0]
+    assert 0 < cells < 0.25 * 2 * 4 * 4 * np.sqrt(20_000)
+
+
+def test_one_window_or_none(spark):
+    df = spark.createDataFrame([(1, 1, 1.0, 2.0, 3.0), (2, 1, 2.0, 2.0, None)], "id long, w long, x double, y double, z double")
+    assert swd_by_window(df, "w", COLS, ["id"], 3).collect() == swd_by_window(df.limit(0), "w", COLS, ["id"], 3).collect() == []
