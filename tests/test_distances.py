@@ -327,6 +327,20 @@ def np_by_window(pdf, n_projections):
     return out
 
 
+@pytest.mark.parametrize("most, chunk", [(4_000_000, 262_144), (40, 7), (10_000, 1)])
+def test_windows_with_ties_and_odd_sizes(spark, monkeypatch, most, chunk):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"id": np.arange(3000) // 2, "w": rng.choice([-2, 0, 1, 7], 3000), "x": rng.standard_normal(3000).round(1),
+                        "y": np.where(rng.random(3000) < 0.6, 4.0, rng.exponential(2, 3000)), "z": 3.0})
+    pdf = pd.concat([pdf, pd.DataFrame({"id": [9000], "w": [9], "x": [1.0], "y": [2.0], "z": [4.0]})])
+    monkeypatch.setattr(wasserstein, "OPEN_VALUES", chunk)
+    monkeypatch.setattr(wasserstein, "CELLS_AT_ONCE", 16)
+    monkeypatch.setattr("driftspark.operators.drift.MOST_CELLS", most)
+    got = {r.w: r.swd for r in swd_by_window(spark.createDataFrame(pdf), "w", COLS, ["id"], 5).collect()}
+    want = np_by_window(pdf, 5)
+    assert set(got) == set(want) == {0, 1, 7, 9} and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
 def test_windows_move_few_rows(spark, monkeypatch, tmp_path):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame(rng.standard_normal((30_000, 3)), columns=COLS).assign(id=np.arange(30_000), w=np.arange(30_000) % 3)
