@@ -240,3 +240,39 @@ def test_window_tables(spark, rows, tmp_path):
                 lambda: drift.Roles([], KEY), lambda: drift.Roles(FEATURES, [])):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_small_windows_are_tested_in_the_same_jobs(spark, rows, tmp_path, monkeypatch):
+    """Four windows after the first, one of them shifted: no job of its own for
+    a window, and the distances and samples of the functions for any size."""
+    from driftspark.operators.permutation import swd_null
+
+    odd = F.when(F.pmod("id", F.lit(11)) == 3, None).otherwise(F.round("b", 1))
+    table = rows.withColumns({"window_id": F.pmod("id", F.lit(5)), "b": odd})
+    table = table.withColumn("a", F.when(F.col("window_id") == 2, F.col("a") + 2).otherwise(F.col("a")))
+    monkeypatch.setattr(drift.DriftTest, "null", lambda *_: pytest.fail("a window was tested alone"))
+    test = drift.DriftTest(0.05, 3, 39)
+    loop = drift.WindowLoop(spark, drift.Roles(["a", "b"], KEY, label=None), test, folder=f"{tmp_path}/l")
+    log = loop.run(table).collect()
+    assert [r.n for r in log] == [240] * 5 and [r.drift for r in log][:3] == [False, False, True]
+    one, two = (adaptive(test, table.where(f"window_id = {w}")) for w in (0, 2))
+    null = {r.perm: r.swd for r in swd_null(one, two, ["a", "b"], KEY, 3, 39).collect()}
+    got = {r.perm: r.swd for r in spark.read.parquet(f"{tmp_path}/l/nulls").where("window = 2").collect()}
+    assert set(got) == set(null) and all(abs(got[p] - null[p]) < 1e-9 for p in null)
+    assert log[2].swd == pytest.approx(null[0])
+
+
+def adaptive(test, df):
+    return test.sample(df, drift.Roles(["a", "b"], KEY, label=None))
+
+
+def test_a_sample_in_one_task_is_the_adaptive_sample(spark):
+    from driftspark.functions.hashing import hash_key
+    from driftspark.operators import small_windows
+
+    for n, spread in ((1, 1.0), (30, 1.0), (700, 1.0), (5000, 0.1)):
+        df = spark.range(n).select("id", (F.randn(3) * spread).alias("x"), F.when(F.rand(4) < 0.2, None).otherwise(F.floor(F.rand(5) * 4)).cast("double").alias("y"))
+        df = df.withColumn("_h", hash_key(["id"], 42)).localCheckpoint()
+        pdf = df.toPandas()
+        held = small_windows.sampled(pdf["_h"].to_numpy(), pdf[["x", "y"]].to_numpy(dtype=float).T, 50, 20)
+        assert set(pdf["id"][held]) == {r.id for r in sampling.adaptive_sample(df.drop("_h"), ["x", "y"], ["id"]).collect()}, n
